@@ -61,3 +61,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null reads as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """The DataFrame written to the shared folder as Parquet and read again: lineage ends, columns can be pruned."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """ids (one narrow row each, written or checkpointed) marked for broadcast if their number allows it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

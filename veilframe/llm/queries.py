@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontaminate, fingerprint, langid, mixing, packing, token_count, toxicity
+from veilframe.llm import decontaminate, fingerprint, jaccard, langid, mixing, packing, token_count, toxicity
 from veilframe.llm.common import held_out, table
 
 #: Folder of the public vocabularies; a parameter of the operators that use one.
@@ -44,9 +44,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing)
+    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard)
 }
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
@@ -67,5 +71,23 @@ counts AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(t.c) AS k
            FROM draws d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source AND d.part = t.part AND t.c <= d.u GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('mix|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key
 FROM counts, LATERAL (SELECT unnest(generate_series(1, k)) AS copy)
+""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM grams GROUP BY doc_id),
+kinds AS (SELECT k, any_value(n) AS n, min(doc_id) AS first_id, count(*) AS copies FROM sets GROUP BY k),
+members AS (SELECT kinds.k, kinds.n, grams.g FROM kinds JOIN grams ON grams.doc_id = kinds.first_id),
+near AS (SELECT a.k AS a, b.k AS b FROM members a JOIN members b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+         GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT k, k AS m FROM kinds UNION SELECT r.k, l.b FROM reach r JOIN links l ON r.m = l.a),
+least_id AS (SELECT r.k, min(kinds.first_id) AS component_id FROM reach r JOIN kinds ON kinds.k = r.m GROUP BY r.k),
+weight AS (SELECT l.a AS k, sum(kinds.copies) AS linked FROM links l JOIN kinds ON kinds.k = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(i.component_id, d.doc_id)::BIGINT AS component_id,
+       (coalesce(kinds.copies - 1, 0) + coalesce(w.linked, 0))::BIGINT AS n_links
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN kinds ON kinds.k = s.k LEFT JOIN least_id i ON i.k = s.k LEFT JOIN weight w ON w.k = s.k
 """,
 }
