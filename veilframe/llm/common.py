@@ -77,3 +77,20 @@ BROADCAST_IDS = 2_000_000
 def if_small(ids: DataFrame) -> DataFrame:
     """ids (one narrow row each, written or checkpointed) marked for broadcast if their number allows it."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+#: At most so many keys count as hot: those with more than 1 / HOT_KEYS of all rows.
+HOT_KEYS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """rows left-joined to groups (one row a key, with its number of rows in `copies`) without gathering a hot key in one task.
+
+    Keys with a large share of all rows, at most HOT_KEYS of them, are broadcast; the others shuffle.
+    Both tables are read twice, so they should be written ones. Rows with a null key match nothing.
+    """
+    bound = max(100, total // HOT_KEYS)
+    hot = F.broadcast(groups.filter(F.col(copies) > bound))
+    cold = groups.filter(F.col(copies) <= bound)
+    rest = rows.filter(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    return rows.join(hot, key).unionByName(rest).unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)

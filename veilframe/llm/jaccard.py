@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import if_small, slices, texts, written
+from veilframe.llm.common import if_small, join_groups, slices, texts, written
 from veilframe.llm.components import connected_components
 from veilframe.llm.hashing import mix, shingle_set
 
@@ -30,8 +30,6 @@ NUMERATOR, DENOMINATOR = 90, 100
 TILE, SLICE = 384, 4096
 #: Sets that a task remembers to have put out already.
 REMEMBERED = 100_000
-#: At most so many sets count as hot (each has more than 1 / HOT_SETS of the rows); they are broadcast.
-HOT_SETS = 10_000
 
 _NO_ID = 2**63 - 1
 
@@ -232,12 +230,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     several = written(several.select("key", "component_id", F.col("copies"), (F.greatest(F.col("copies") - 1, F.lit(0)) + F.col("links")).alias("n_links")), "groups")
 
-    # sets with a large share of all rows, a bounded number, are joined apart
-    count = rows.count()
-    hot = F.broadcast(several.filter(F.col("copies") > max(100, count // HOT_SETS)).drop("copies"))
-    cold = several.filter(F.col("copies") <= max(100, count // HOT_SETS)).drop("copies")
-    slim = rows.select("_id", "n", "key")
-    joined = slim.join(hot, "key").unionByName(slim.filter("n > 0").join(hot, "key", "left_anti").join(cold, "key", "left"), allowMissingColumns=True).unionByName(slim.filter("n = 0"), allowMissingColumns=True)
+    joined = join_groups(rows.select("_id", "n", "key"), several, "key", "copies", rows.count())
     doc_id = lambda c: F.when(F.col(c) == _NO_ID, F.lit(None)).otherwise(F.col(c)).cast("long")
     return joined.withColumn("component_id", F.coalesce("component_id", "_id")).select(
         doc_id("_id").alias("doc_id"), F.col("n").alias("n_shingles"), doc_id("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")

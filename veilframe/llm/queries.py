@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontaminate, fingerprint, jaccard, langid, mixing, packing, token_count, toxicity
-from veilframe.llm.common import held_out, table
+from veilframe.llm import decontaminate, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
+from veilframe.llm.common import fresh_path, held_out, table
 
 #: Folder of the public vocabularies; a parameter of the operators that use one.
 VOCABULARIES = "/opt/tokenizers"
@@ -48,9 +48,20 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), archive)
+    return warc.page_records(warc.read_archive(spark, archive, payloads=False))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard)
+    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage)
 }
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
