@@ -94,3 +94,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, total
     cold = groups.filter(F.col(copies) <= bound)
     rest = rows.filter(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left")
     return rows.join(hot, key).unionByName(rest).unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def keep_rows(docs: DataFrame, columns: list[str], keep) -> DataFrame:
+    """Rows of docs, all columns as they are, for which keep(batch of the named columns) gives True; no shuffle.
+
+    keep takes an Arrow batch and returns a list of booleans.
+    """
+    order = [docs.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own = pa.RecordBatch.from_arrays([part.column(i) for i in order], columns)
+            yield part.filter(pa.array(keep(own), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ hit Myers' bit-parallel distance tells whether the whole item is there.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import slices, texts
+from veilframe.llm.common import keep_rows, slices, texts
 
 #: Edits allowed per character of an item; fewer if a piece would get shorter than LEAST_PIECE.
 ERROR_RATE, LEAST_PIECE = 0.08, 14
@@ -113,6 +113,29 @@ class Matcher:
         return sorted(found)
 
 
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, error_rate: float, least_piece: int) -> list[Callable[[], Matcher]]:
+    """For each block of items what gives a task its matcher; a worker builds it once."""
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+
+    def block(number: int) -> Callable[[], Matcher]:
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        shared = benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], normalise(r["text"])) for r in own.collect()])  # about BLOCK_CHARS characters
+        key = uuid.uuid4().hex
+
+        def matcher() -> Matcher:
+            if key not in _built:
+                while len(_built) >= 2:
+                    _built.pop(next(iter(_built)))
+                _built[key] = Matcher(shared.value, error_rate, least_piece)
+            return _built[key]
+
+        return matcher
+
+    return [block(k) for k in range(blocks)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> DataFrame:
     """doc_id, item_id, edits, match_end of every item that a document holds with at most budget() edits.
 
@@ -124,29 +147,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     The items are the query set: they are measured first, and go to the tasks in blocks of about
     BLOCK_CHARS characters, each block against all rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, edits int, match_end long"
-
-    def against(block: int) -> DataFrame:
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["item_id"], normalise(r["text"])) for r in own.collect()])
-        key = uuid.uuid4().hex
 
+    def against(block: Callable[[], Matcher]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _built.get(key)
-            if matcher is None:
-                _built.clear()
-                matcher = _built[key] = Matcher(shared.value, error_rate, least_piece)
+            matcher = block()
             for part in slices(batches):
                 found = [(doc_id, *hit) for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True) for hit in matcher.find(normalise(text))]
                 if found:
-                    ids, items_, edits, ends = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items_, pa.int64()), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], ["doc_id", "item_id", "edits", "match_end"])
+                    ids, items, edits, ends = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], ["doc_id", "item_id", "edits", "match_end"])
+
+        return rows.mapInArrow(run, "doc_id long, item_id long, edits int, match_end long")
+
+    return reduce(DataFrame.unionByName, map(against, _blocks(benchmark, item_id_col, item_text_col, error_rate, least_piece)))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> DataFrame:
+    """The rows of docs that hold no item, all columns as they are."""
 
-        return rows.mapInArrow(run, schema)
+    def apart(rows: DataFrame, block: Callable[[], Matcher]) -> DataFrame:
+        return keep_rows(rows, [text_col], lambda batch: [not block().find(normalise(t)) for t in texts(batch.column(0))])
 
-    return reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
+    return reduce(apart, _blocks(benchmark, item_id_col, item_text_col, error_rate, least_piece), docs)

@@ -235,3 +235,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn("component_id", F.coalesce("component_id", "_id")).select(
         doc_id("_id").alias("doc_id"), F.col("n").alias("n_shingles"), doc_id("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """docs with the row of the least id of each component of ngram_join, all columns as they are.
+
+    Of rows with equal ids one stays. Rows without an id stay.
+    """
+    joined = ngram_join(docs.select(id_col, text_col), id_col, text_col, **join)
+    linked = written(joined.filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "linked")
+    kept = docs.join(if_small(linked), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = written(docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = if_small(repeated)
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns])).select(*[F.col(f"`{c}`") for c in docs.columns])

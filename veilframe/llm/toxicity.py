@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import held_out, slices, texts
+from veilframe.llm.common import held_out, keep_rows, slices, texts
 from veilframe.llm.hashing import NON_WORDS, word_hashes
 
 BITS = 20
@@ -134,3 +134,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        own = Model(*shared.value)
+        return [own.score(t) < threshold for t in texts(batch.column(0))]
+
+    return keep_rows(docs, [text_col], keep)
