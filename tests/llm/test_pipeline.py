@@ -1,0 +1,33 @@
+import corpus_pipeline
+from veilframe.llm import decontaminate, toxicity
+from veilframe.llm.common import table, written
+from tests.llm.test_jaccard import brute_force
+
+import numpy as np
+
+
+def test_stages_follow_their_operators(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        kept[name] = docs.collect()
+    first, second, third, fourth = (kept[n] for n in names[:4])
+    start = table(spark, sf_dir, "documents")
+    model = toxicity.train(start, table(spark, sf_dir, "labels"))
+    assert {r["doc_id"] for r in first} == {r["doc_id"] for r in start.collect() if model.score(r["text"]) < toxicity.THRESHOLD}
+    assert {r["doc_id"] for r in second} == {i for i, _, c, _ in brute_force([(r["doc_id"], r["text"]) for r in first]) if i == c}
+    items = [decontaminate.normalise(r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    clean = {r["doc_id"] for r in second if not any(i in decontaminate.normalise(r["text"]) for i in items)}
+    assert {r["doc_id"] for r in third} <= clean and len(third) >= 0.97 * len(clean)
+    assert {r["doc_id"] for r in fourth} <= {r["doc_id"] for r in third}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {d for r in packed for d in r["doc_ids"]} == {r["doc_id"] for r in fourth}
+    assert sum(np.diff(r["cu_seqlens"]).sum() for r in packed) == sum(r["n_tokens"] for r in packed)
+
+
+def test_run(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0

@@ -1,0 +1,66 @@
+import hashlib
+import random
+import re
+
+from tests.llm import cases
+from veilframe.llm import secrets
+
+BITS = None
+
+
+def bits(spark):
+    global BITS
+    if BITS is None:
+        BITS = secrets.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return BITS
+
+
+def brute_force(text, table):
+    index = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    ratio = lambda s: sum(round(table[index[a] * len(index) + index[b]], 6) for a, b in zip(s, s[1:], strict=False))
+    base = [(m.start(), rank, m.end(), kind) for rank, (kind, pattern, group, least) in enumerate(secrets.BASE) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    more = [(m.start(), 3, m.end(), "random") for m in re.finditer(secrets.CANDIDATE, text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base) and ratio(m[0]) >= secrets.LEAST_BITS * (len(m[0]) - 1)]
+    line = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+    kinds = [sum(k == kind for *_, k in base) for kind, *_ in secrets.BASE]
+    return (*kinds, len(more), hashlib.sha256(line(base).encode()).hexdigest(), line(base + more))
+
+
+def texts():
+    rng = random.Random(8)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "passwd", "=", ":", " = ", '"', "'", "\n", "é", "🙂", "AKIA", " ", "word", "x", "token=token:abcdef", "ſecret"]
+    made = []
+    for _ in range(300):
+        strings = [pick("0123456789abcdef", rng.randint(18, 30)), pick("ABCXYZ0189", rng.randint(10, 20)), pick(secrets.ALPHABET, rng.randint(15, 40)), "internationalization_of_ordinary_names", "the-quick-brown-fox-jumps-over"]
+        made.append("".join(rng.choice(parts + strings) for _ in range(rng.randint(0, 25))))
+    return made
+
+
+def test_spans_against_python(spark):
+    own = texts()
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets.scan(docs, bits(spark)).collect()}
+    want = {k: brute_force(t, bits(spark)) for k, t in enumerate(own)}
+    assert got == want and sum(w[3] for w in want.values()) > 20
+
+
+def test_models_tell_random_from_ordinary(spark):
+    rng = random.Random(9)
+    random_ones = ["".join(rng.choice(secrets.ALPHABET) for _ in range(32)) for _ in range(100)]
+    ordinary = ["theandinthererestionof", "ofthenationingertion-the", "onthestationandtheheris", "in_the_nation_and_the_other"]
+    docs = spark.createDataFrame(list(enumerate(random_ones + ordinary)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(docs, bits(spark)).collect()}
+    assert sum(got[k] for k in range(100)) >= 95 and sum(got[k] for k in range(100, 104)) == 0
+
+
+def test_odd_rows(spark):
+    got = secrets.scan(cases.documents(spark), bits(spark)).collect()
+    want = [(r[0], *brute_force(r[1] or "", bits(spark))) for r in cases.rows()]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    empty = cases.documents(spark, [])
+    assert secrets.scan(empty, secrets.learn(empty)).collect() == []
+
+
+def test_native_plan(spark):
+    plan = secrets.scan(cases.documents(spark), bits(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
