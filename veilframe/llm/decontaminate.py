@@ -90,7 +90,7 @@ class Matcher:
             self.pieces.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, least edits, end of the first best match in the normalised text) of every item in the text."""
+        """(item id, least edits, end of the first best match in the normalised text) of every item in the text, in the order of their first pieces."""
         if not self.items:
             return []
         windows: dict[int, list[list[int]]] = {}
@@ -110,7 +110,7 @@ class Matcher:
             best, at = min(pattern.search(text, max(0, start), min(len(text), end)) for start, end in own)
             if best <= pattern.errors:
                 found.append((item_id, best, at))
-        return sorted(found)
+        return found
 
 
 def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, error_rate: float, least_piece: int) -> list[Callable[[], Matcher]]:
