@@ -37,10 +37,12 @@ def _prepared(rules: Sequence[Rule], phone_prefixes: Sequence[str], leading_zero
 
 def candidates(text: Column, rules: Sequence[Rule]) -> Column:
     """array<struct<rule, pos, value>> of all rules' matches in a text: one scan serves every rule."""
-    found = [
-        F.transform(F.coalesce(regex.extract_all(text, r.pattern), F.array().cast("array<string>")), lambda x, i, k=k: F.struct(F.lit(k).alias("rule"), i.alias("pos"), x.alias("value")))
-        for k, r in enumerate(rules)
-    ]
+
+    def own(k: int, rule: Rule) -> Column:
+        hits = F.coalesce(regex.extract_all(text, rule.pattern), F.array().cast("array<string>"))
+        return F.transform(hits, lambda x, i: F.struct(F.lit(k).alias("rule"), i.alias("pos"), x.alias("value")))
+
+    found = [own(k, r) for k, r in enumerate(rules)]
     return F.concat(*found)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -85,7 +85,7 @@ class Rule:
     enabled: bool = True
     description: str = ""
     template: SimpleTemplate | SegmentTemplate | None = None
-    params: dict[str, Any] | None = field(default=None)
+    params: dict[str, Any] | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
