@@ -74,9 +74,10 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def if_small(ids: DataFrame) -> DataFrame:
-    """ids (one narrow row each, written or checkpointed) marked for broadcast if their number allows it."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def if_small(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """ids (narrow rows, written or checkpointed) marked for broadcast if there are `most` (BROADCAST_IDS) at most."""
+    most = BROADCAST_IDS if most is None else most
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 #: At most so many keys count as hot: those with more than 1 / HOT_KEYS of all rows.

@@ -27,7 +27,9 @@ WIDTH = 3
 #: Linked if DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 90, 100
 #: Rows of a tile's side, columns of a slice.
-TILE, SLICE = 384, 4096
+TILE, SLICE = 1024, 4096
+#: Candidates (some 100 bytes each) up to this number are broadcast to their texts; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 200_000
 #: Sets that a task remembers to have put out already.
 REMEMBERED = 100_000
 
@@ -202,16 +204,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = dealt.mapInArrow(_agreeing, "pivot long, sid long").distinct()
     met = written(met, "agreeing")
     groups = met.unionByName(met.select("pivot", F.col("pivot").alias("sid")).distinct())
-    sizes = met.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(TILE)).cast("int").alias("parts"))
-    members = groups.join(sizes, "pivot").groupBy("sid").agg(F.collect_list(F.struct("pivot", "parts")).alias("of"))  # pivots of one set: fewer than its blocks
+    sizes = written(met.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(TILE)).cast("int").alias("parts")), "pivots")
+    members = groups.join(if_small(sizes), "pivot").groupBy("sid").agg(F.collect_list(F.struct("pivot", "parts")).alias("of"))  # pivots of one set: fewer than its blocks
 
-    chosen = written(sets.withColumn("sid", _short()).join(members.select("sid"), "sid", "left_semi").select("key", "first_id", "copies", "sid"), "candidates")
+    chosen = written(sets.withColumn("sid", _short()).join(members, "sid").select("key", "first_id", "copies", "of"), "candidates")
     wanted = if_small(chosen.select(F.col("first_id").alias("_id")).distinct())
     contents = source.join(wanted, "_id", "left_semi").select("text").mapInArrow(_contents(width), "key binary, grams binary")
     parts = F.col("at.parts")
     own = F.pmod(F.xxhash64("key"), parts).cast("int")
     tiles = (
-        contents.join(chosen, "key").join(members, "sid")
+        contents.join(if_small(chosen, BROADCAST_CANDIDATES), "key")
         .select("key", "copies", "grams", F.col("of.pivot").alias("pivots"), F.explode("of").alias("at"))
         .select("key", "copies", "grams", "pivots", F.col("at.pivot").alias("pivot"), own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         .select("key", "copies", "grams", "pivots", "pivot", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
