@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import cases
-from veilframe.llm import jaccard
+from veilframe.llm import common, jaccard
 from veilframe.llm.components import connected_components
 from veilframe.llm.hashing import shingle_set, word_hashes
 
@@ -102,6 +102,9 @@ def test_large_group_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 16)
     monkeypatch.setattr(jaccard, "SLICE", 50)
     assert run(spark, rows) == want
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_CANDIDATES", 0)
+    assert run(spark, rows) == want
 
 
 def test_odd_rows(spark):
