@@ -75,9 +75,10 @@ def pattern_spans(text: Column, pattern: str) -> Column:
     """[start, end) in UTF-8 bytes of a pattern's matches; empty matches are left out."""
     kind = "array<struct<start:int,end:int>>"
     java = regex.checked(pattern)
-    hits = F.filter(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda h: h != "")
-    marked = F.split(F.regexp_replace(text, f"{java}", "\0"), "\0", -1)
-    found = F.arrays_zip(F.slice(marked, F.lit(1), F.greatest(F.size(hits), F.lit(0))).alias("part"), hits.alias("hit"))
+    every, parts = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
+    # splitting passes over an empty match at the very start, so that there are as many parts as matches
+    hits = F.when(F.size(parts) > F.size(every), every).otherwise(F.slice(every, F.lit(2), F.size(every)))
+    found = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("part"), hits.alias("hit"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.octet_length(x["part"])
@@ -86,4 +87,5 @@ def pattern_spans(text: Column, pattern: str) -> Column:
         return F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.when(text.rlike(java), F.aggregate(found, start, step)["spans"]).otherwise(F.array().cast(kind))
+    spans = F.filter(F.aggregate(found, start, step)["spans"], lambda x: x["end"] > x["start"])
+    return F.when(text.rlike(java), spans).otherwise(F.array().cast(kind))

@@ -93,7 +93,7 @@ _CELLS = "table string, at long, cells map<string,string>"
 def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
     """All tables of a database: __table, then the columns of all tables in the order first seen; missing ones and NULL are empty."""
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_contents(_sqlite_rows), _CELLS)
-    heads = [(r["table"], list(r["cells"])) for r in rows.filter("at = 0").orderBy("table").collect()]  # a row a table
+    heads = [(r["table"], r["names"]) for r in rows.filter("at = 0").select("table", F.map_keys("cells").alias("names")).orderBy("table").collect()]  # a row a table
     names = list(dict.fromkeys(c for _, own in heads for c in own))
     counts = {r["table"]: r["count"] for r in rows.filter("at > 0").groupBy("table").count().collect()}
     before, shift = 0, {}
