@@ -44,14 +44,9 @@ def replace(text: Column, old: str, new: str, use_regex: bool = False) -> Column
     return regex.replace_all(text, old, new) if use_regex else F.replace(text, F.lit(old), F.lit(new))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z as a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def contains_keyword(text: Column, keyword: str) -> Column:
-    """Whether the text holds the keyword; ASCII letters in either case."""
-    return ascii_lower(text).contains(ascii_lower(F.lit(keyword)))
+    """Whether the text holds the keyword; ASCII letters (and no others) in either case."""
+    return text.rlike("(?i)" + regex.quoted(keyword)) if keyword else text.isNotNull()
 
 
 def keyword_spans(text: Column, keyword: str) -> Column:
