@@ -100,5 +100,15 @@ weight AS (SELECT l.a AS k, sum(kinds.copies) AS linked FROM links l JOIN kinds
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(i.component_id, d.doc_id)::BIGINT AS component_id,
        (coalesce(kinds.copies - 1, 0) + coalesce(w.linked, 0))::BIGINT AS n_links
 FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN kinds ON kinds.k = s.k LEFT JOIN least_id i ON i.k = s.k LEFT JOIN weight w ON w.k = s.k
+""",
+    "op10_warc_salvage": """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT page_id, n, array_to_string(list_transform(range(1, 41), lambda i:
+  ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS b FROM hashed),
+coded AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+  + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS digest FROM bits),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM coded)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM firsts
 """,
 }
