@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 ROW = "_row_idx"
 #: Row ids up to this number are compared in the filter itself; more are joined.
 INLINE_ROWS = 1000
+#: Starts of file blocks (a path and two numbers each) up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def number_rows(df: DataFrame, in_files: bool = True) -> DataFrame:
@@ -23,7 +25,9 @@ def number_rows(df: DataFrame, in_files: bool = True) -> DataFrame:
     blocks = marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
     starts = blocks.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
-    numbered = marked.join(F.broadcast(starts), ["_file", "_block"])
+    # files and partitions together are at least as many as blocks, and are known without a job
+    few = df.rdd.getNumPartitions() + (len(df.inputFiles()) if in_files else 0) <= BROADCAST_BLOCKS
+    numbered = marked.join(F.broadcast(starts) if few else starts, ["_file", "_block"])
     return numbered.select((F.col("_at") + F.col("_shift")).alias(ROW), *[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -59,16 +59,18 @@ def with_reasons(sheet: DataFrame, rules: Sequence[ColumnRule], phone_prefixes:
     """The sheet with _reasons: what is wrong with each row, in the order of the rules, then of the comparisons."""
     if not rules:
         raise InvalidInput("请至少选择一条校验规则")
-    reasons, idcard, births = [], None, {}
-    for r in rules:
+    reasons, idcard, births, verdicts = [], None, {}, {}
+    for i, r in enumerate(rules):
         check_column(sheet, r.column)
-        own = verdict(F.col(f"`{r.column}`"), r.rule, r.params, phone_prefixes)
-        reasons.append(_reason(r.column, ~own["valid"], own["note"]))
+        # a projection of its own, so that what uses a verdict twice doesn't work it out twice
+        verdicts[f"_verdict_{i}"] = verdict(F.col(f"`{r.column}`"), r.rule, r.params, phone_prefixes)
+        valid, note = F.col(f"_verdict_{i}.valid"), F.col(f"_verdict_{i}.note")
+        reasons.append(_reason(r.column, ~valid, note))
         tag = (r.params or r.rule.params or {}).get("validator")
         if tag in ("idcard", "idCard"):
-            idcard = (F.coalesce(F.col(f"`{r.column}`"), F.lit("")), own["valid"])  # the last one holds
+            idcard = (F.coalesce(F.col(f"`{r.column}`"), F.lit("")), valid)  # the last one holds
         if tag == "birth":
-            births[r.column] = own["valid"]
+            births[r.column] = valid
     for r in rules:
         if r.cross_field is None or idcard is None:
             continue
@@ -84,7 +86,7 @@ def with_reasons(sheet: DataFrame, rules: Sequence[ColumnRule], phone_prefixes:
             known = births.get(r.cross_field.birth, validators.is_birth(raw))
             message = F.concat(F.lit("出生日期与身份证号不一致: 身份证"), own, F.lit("，出生日期"), raw)
             reasons.append(_reason(r.cross_field.birth, valid & known & (validators.clean_birth(raw) != own), message))
-    return sheet.withColumn(REASONS, F.array_compact(F.array(*reasons)).cast(_REASON))
+    return sheet.withColumns(verdicts).withColumn(REASONS, F.array_compact(F.array(*reasons)).cast(_REASON)).drop(*verdicts)
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

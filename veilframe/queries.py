@@ -13,6 +13,9 @@ from veilframe.operators import columns, extract, search, validate
 from veilframe.operators import sheet as sheets
 from veilframe.operators.sheet import ROW
 from veilframe.plans.rules import PRESETS, Rule, Segment, SegmentTemplate, SimpleTemplate, built_in
+from veilframe.plans.script import ScriptRunner
+from veilframe.sources import logs, pcap, plain
+from veilframe.storage import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -466,3 +469,98 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     undone = after.drop("c_name").join(before, ROW)
     redone = undone.drop("c_name").join(after, ROW)
     return undone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_undo")).join(redone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_redo")), "c_custkey")
+
+
+# sources and sinks, by way of files in the shared folder
+
+
+def _file(spark: SparkSession, lines: DataFrame, kind: str, eol: str = "\n") -> str:
+    path = fresh_path(spark, kind)
+    sinks.write_lines(lines, path, eol)
+    return path
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) AS _row_idx, c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export as CSV, import again."""
+    made = as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    body = sinks.csv_lines(made, header=False)
+    path = fresh_path(spark, "csv")
+    names = ",".join(sheets.headers(made))
+    sinks.write_lines(body.select(ROW, F.when(F.col(ROW) == body.agg(F.min(ROW)).first()[0], F.concat(F.lit(names + "\r\n"), "line")).otherwise(F.col("line")).alias("line")).repartition(1), path)
+    return plain.read_csv(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS _row_idx, p_name, p_size::VARCHAR AS p_size FROM part")
+def source_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = as_sheet(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_size")
+    return plain.read_json(spark, _file(spark, sinks.json_objects(made), "jsonl"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS _row_idx, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = as_sheet(table(spark, sf_dir, "nation").withColumn("row", F.col("n_nationkey") + 1), "row", "n_name", "n_regionkey")
+    path = fresh_path(spark, "json")
+    sinks.write_lines(sinks.json_array_lines(made), path, "\n", single_file=True)
+    return plain.read_json(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS _row_idx, o_orderpriority || ' ' || o_orderkey AS content FROM orders")
+def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("line"))
+    return plain.read_txt(spark, _file(spark, made, "txt", "\r\n"))
+
+
+_LOG = """'10.0.' || (user_id % 256) || '.' || (event_id % 256) || ' - u' || user_id || ' [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] "GET /' || event_type || ' HTTP/1.1" ' || (200 + event_id % 5) || ' ' || CASE WHEN event_id % 3 = 0 THEN '-' ELSE event_id::VARCHAR END || ' "-" "agent ' || event_id || '"'"""
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY event_id) AS _row_idx, '10.0.' || (user_id % 256) || '.' || (event_id % 256) AS remote_host, '-' AS ident, 'u' || user_id AS remote_user, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_local,
+  'GET' AS request_method, '/' || event_type AS request_url, 'HTTP/1.1' AS request_protocol, (200 + event_id % 5)::VARCHAR AS status,
+  CASE WHEN event_id % 3 = 0 THEN '0' ELSE event_id::VARCHAR END AS body_bytes_sent, '-' AS http_referer, 'agent ' || event_id AS http_user_agent, {_LOG} AS raw_line FROM events"""
+)
+def source_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    text = lambda c: F.col(c).cast("string")
+    sent = F.when(F.col("event_id") % 3 == 0, "-").otherwise(text("event_id"))
+    line = F.concat(
+        F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(" - u"), text("user_id"), F.lit(" ["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('] "GET /'), "event_type",
+        F.lit(' HTTP/1.1" '), 200 + F.col("event_id") % 5, F.lit(" "), sent, F.lit(' "-" "agent '), text("event_id"), F.lit('"'),
+    )
+    return logs.read_log(spark, _file(spark, e.select(F.col("event_id").alias(ROW), line.alias("line")), "log"))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) AS _row_idx, s_suppkey::VARCHAR AS frame_no, '10.0.0.1' AS src_ip, '' AS dst_ip, 'POST' AS method, s_name AS host, '/' AS uri, s_name AS body, '' AS user_agent FROM supplier")
+def source_dissected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.hex(F.col("s_name").cast("binary"))
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(ROW), F.concat_ws("\t", F.col("s_suppkey"), F.lit("10.0.0.1"), F.lit(""), F.lit("POST"), F.col("s_name"), F.lit("/"), body).alias("line"))
+    return pcap.read_dissected(spark, _file(spark, made, "tsv"))
+
+
+@query("SELECT 'AMERICA' AS name, '3' AS n, '' AS total UNION ALL SELECT 'asia', '7', '' UNION ALL SELECT '', '', '10'")
+def source_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script: what changes tables runs first, then the queries, united by column name."""
+    script = """CREATE TABLE r (name TEXT, n INT); INSERT INTO r VALUES ('AMERICA', 3), ('ASIA', 4), ('GONE', 1);
+    SELECT name, n FROM r; SELECT sum(n) AS total FROM r; UPDATE r SET n = n + 3, name = lower(name) WHERE name = 'ASIA'; DELETE FROM r WHERE n < 2;"""
+    return ScriptRunner(spark).script(script).result
+
+
+_PAIRED = "SELECT o_orderkey, '110105' || strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS base, strftime(o_orderdate + INTERVAL (o_orderkey % 2) DAY, '%Y-%m-%d') AS birth, CASE WHEN o_orderkey % 3 = 0 THEN '女' ELSE 'male' END AS sex FROM orders"
+_PAIRED_ID = f"SELECT o_orderkey, base || substr('10X98765432', {_ID_SUM} % 11 + 1, 1) AS idcard, birth, sex FROM ({_PAIRED})"
+
+
+@query(
+    f"""WITH d AS (SELECT *, CASE WHEN substr(idcard, 17, 1)::INT % 2 = 1 THEN '男' ELSE '女' END AS g FROM ({_PAIRED_ID}))
+SELECT o_orderkey AS source_row, 'sex' AS field, '性别不一致: 身份证推断' || g || '，性别列' || sex AS reason FROM d WHERE g <> CASE WHEN sex = '女' THEN '女' ELSE '男' END
+UNION ALL SELECT o_orderkey, 'birth', '出生日期与身份证号不一致: 身份证' || substr(idcard, 7, 8) || '，出生日期' || birth FROM d WHERE replace(birth, '-', '') <> substr(idcard, 7, 8)"""
+)
+def validate_cross_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id card against the sex and birth columns of its row."""
+    key = F.col("o_orderkey")
+    base = F.concat(F.lit("110105"), F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((key % 1000).cast("string"), 3, "0"))
+    birth = F.date_format(F.date_add(F.to_date("o_orderdate"), (key % 2).cast("int")), "yyyy-MM-dd")
+    made = table(spark, sf_dir, "orders").select(key.alias(ROW), base.alias("base"), birth.alias("birth"), F.when(key % 3 == 0, "女").otherwise("male").alias("sex"))
+    total = sum((F.ascii(F.substr("base", F.lit(i), F.lit(1))) - 48) * w for i, w in enumerate(validators.ID_WEIGHTS, 1))
+    own = made.select(ROW, F.concat("base", F.element_at(F.array(*map(F.lit, validators.ID_CHECKS)), total % 11 + 1)).alias("idcard"), "birth", "sex")
+    rule = validate.ColumnRule("idcard", RULES["idcard-validate"], validate.CrossField("sex", "birth"))
+    return validate.reasons(validate.with_reasons(own, [rule]))

@@ -90,5 +90,5 @@ def text_lines(sheet: DataFrame, template: str, columns: Sequence[str] | None =
 def write_lines(lines: DataFrame, path: str, eol: str = "\r\n", single_file: bool = False) -> None:
     """Writes lines in order, as part files that follow each other; single_file gathers them in one task, for small sheets."""
     order = [c for c in (ROW, "at") if c in lines.columns]
-    ordered = lines.orderBy(*order)
-    (ordered.coalesce(1) if single_file else ordered).select("line").write.option("lineSep", eol).text(path)
+    ordered = lines.repartition(1).sortWithinPartitions(*order) if single_file else lines.orderBy(*order)
+    ordered.select("line").write.option("lineSep", eol).text(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import re
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from decimal import Decimal
@@ -58,24 +57,22 @@ def _batches(rows: Iterator[tuple[str, int, dict[str, str]]]) -> Iterator[pa.Rec
 def _sqlite_rows(data: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
     if not data:
         return
-    with tempfile.NamedTemporaryFile(suffix=".db") as file:
-        file.write(data)
-        file.flush()
-        connection = sqlite3.connect(f"file:{file.name}?mode=ro", uri=True)
-        connection.text_factory = lambda b: b.decode("utf-8", "replace")
-        quote = lambda name: '"' + name.replace('"', '""') + '"'
-        try:
-            tables = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-            for table in tables:
-                cursor = connection.execute(f"SELECT * FROM {quote(table)}")
-                names = [d[0] for d in cursor.description]
-                yield table, 0, dict.fromkeys(names, "")  # row 0 carries the columns of tables without rows
-                for at, row in enumerate(cursor, 1):
-                    yield table, at, {n: cell_text(v) for n, v in zip(names, row, strict=True)}
-        except sqlite3.DatabaseError as e:
-            raise DataSourceError(str(e)) from None
-        finally:
-            connection.close()
+    connection = sqlite3.connect(":memory:")
+    connection.text_factory = lambda b: b.decode("utf-8", "replace")
+    quote = lambda name: '"' + name.replace('"', '""') + '"'
+    try:
+        connection.deserialize(data)
+        tables = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+        for table in tables:
+            cursor = connection.execute(f"SELECT * FROM {quote(table)}")
+            names = [d[0] for d in cursor.description]
+            yield table, 0, dict.fromkeys(names, "")  # row 0 carries the columns of tables without rows
+            for at, row in enumerate(cursor, 1):
+                yield table, at, {n: cell_text(v) for n, v in zip(names, row, strict=True)}
+    except sqlite3.DatabaseError as e:
+        raise DataSourceError(str(e)) from None
+    finally:
+        connection.close()
 
 
 def _contents(reader):
