@@ -82,11 +82,15 @@ def is_ipv6(text: Column) -> Column:
     return text.rlike(IPV6)
 
 
+def idcard_check(text: Column) -> Column:
+    """The check character of a text that begins with 17 digits. The text is named once, so plans stay small whatever it is made of."""
+    weighted = F.zip_with(F.split(F.substring(text, 1, 17), ""), F.array(*map(F.lit, ID_WEIGHTS)), lambda d, w: (F.ascii(d) - 48) * w)
+    return F.element_at(F.array(*map(F.lit, ID_CHECKS)), F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 11 + 1)
+
+
 def is_idcard(text: Column) -> Column:
     """18 characters, the last one the check character of the weighted sum; x counts as X. Date and region aren't looked at."""
-    total = reduce(lambda a, b: a + b, [(F.ascii(F.substr(text, F.lit(i), F.lit(1))) - 48) * w for i, w in enumerate(ID_WEIGHTS, 1)])
-    check = F.element_at(F.array(*map(F.lit, ID_CHECKS)), total % 11 + 1)
-    return F.when(text.rlike(r"\A[0-9]{17}[0-9Xx]\z"), F.upper(F.substr(text, F.lit(18), F.lit(1))) == check).otherwise(False)
+    return F.when(text.rlike(r"\A[0-9]{17}[0-9Xx]\z"), F.upper(F.substr(text, F.lit(18), F.lit(1))) == idcard_check(text)).otherwise(False)
 
 
 def idcard_gender(text: Column) -> Column:

@@ -560,7 +560,6 @@ def validate_cross_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat(F.lit("110105"), F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((key % 1000).cast("string"), 3, "0"))
     birth = F.date_format(F.date_add(F.to_date("o_orderdate"), (key % 2).cast("int")), "yyyy-MM-dd")
     made = table(spark, sf_dir, "orders").select(key.alias(ROW), base.alias("base"), birth.alias("birth"), F.when(key % 3 == 0, "女").otherwise("male").alias("sex"))
-    total = sum((F.ascii(F.substr("base", F.lit(i), F.lit(1))) - 48) * w for i, w in enumerate(validators.ID_WEIGHTS, 1))
-    own = made.select(ROW, F.concat("base", F.element_at(F.array(*map(F.lit, validators.ID_CHECKS)), total % 11 + 1)).alias("idcard"), "birth", "sex")
+    own = made.select(ROW, F.concat("base", validators.idcard_check(F.col("base"))).alias("idcard"), "birth", "sex")
     rule = validate.ColumnRule("idcard", RULES["idcard-validate"], validate.CrossField("sex", "birth"))
     return validate.reasons(validate.with_reasons(own, [rule]))
