@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import if_small, join_groups, slices, written
 
 RECORDS_PER_FILE = 2000
+#: Bytes of a gzip member that are unpacked at once.
+READ_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
@@ -147,18 +149,20 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
 
 def _member(data: bytes, at: int) -> tuple[list[dict[str, Any]], int]:
     """The records of the gzip member that starts here, and where it ends."""
-    unpack = zlib.decompressobj(31)
+    unpack, parts, view, read = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        inner = unpack.decompress(memoryview(data)[at:])
+        while read < len(data) and not unpack.eof:  # in steps, as what follows the member would be copied whole
+            parts.append(unpack.decompress(view[read : read + READ_BYTES]))
+            read = min(read + READ_BYTES, len(data))
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not unpack.eof:
         raise ValueError("gzip member without an end")
-    found, inside = [], 0
+    inner, found, inside = b"".join(parts), [], 0
     while inside < len(inner):
         record, inside = parse_record(inner, inside)
         found.append(record)
-    return found, len(data) - len(unpack.unused_data)
+    return found, read - len(unpack.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[dict[str, Any]]:
