@@ -26,8 +26,8 @@ from veilframe.llm.hashing import mix, shingle_set
 WIDTH = 3
 #: Linked if DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 90, 100
-#: Rows of a tile's side, columns of a slice.
-TILE, SLICE = 1024, 4096
+#: Rows of a tile's side at most, columns of a slice, n-grams of a tile (8 bytes each): rows of long sets come in smaller tiles.
+TILE, SLICE, TILE_GRAMS = 1024, 4096, 1 << 23
 #: Candidates (some 100 bytes each) up to this number are broadcast to their texts; more are joined by a shuffle.
 BROADCAST_CANDIDATES = 200_000
 #: Sets that a task remembers to have put out already.
@@ -57,7 +57,7 @@ class Levels:
 
 
 def block_hashes(grams: np.ndarray, levels: Levels) -> np.ndarray:
-    """A hash of the set's n-grams in each column block, at the level of its size and at the next one."""
+    """A hash of the set's n-grams in each column block, at the level of its size and at the next one; its last five bits are the bits of the level's largest size."""
     own = levels.of(len(grams))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
     found = []
@@ -65,7 +65,8 @@ def block_hashes(grams: np.ndarray, levels: Levels) -> np.ndarray:
         n = levels.blocks(level)
         cuts = np.searchsorted(grams, np.arange(1, n, dtype=np.uint64) * np.uint64((2**64 - 1) // n))
         ends = np.concatenate([[0], cuts, [len(grams)]])
-        found.append(mix(sums[ends[1:]] - sums[ends[:-1]] + mix(np.arange(n, dtype=np.uint64) + np.uint64(level << 40))))
+        hashed = mix(sums[ends[1:]] - sums[ends[:-1]] + mix(np.arange(n, dtype=np.uint64) + np.uint64(level << 40)))
+        found.append(hashed >> np.uint64(5) << np.uint64(5) | np.uint64(min(levels.most[level].bit_length(), 31)))
     return np.concatenate(found).view(np.int64)
 
 
@@ -97,7 +98,7 @@ def _short(key: str = "key"):
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (block, sid) in order: each sid with the least one that agrees with it on a block."""
+    """From (block, sid) in order: each sid with the least one that agrees with it on a block, and the bits of their largest size."""
     at, pivot, last = None, None, None
     for batch in batches:
         block, sid = batch.column("block").to_numpy(), batch.column("sid").to_numpy()
@@ -112,7 +113,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = (sid != own) & ((sid != before) | opens)
         at, pivot, last = block[-1], own[-1], sid[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(sid[keep])], ["pivot", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(sid[keep]), pa.array((block[keep] & 31).astype(np.int32))], ["pivot", "sid", "bits"])
 
 
 def _contents(width: int):
@@ -201,10 +202,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = rows.filter("n > 0").groupBy("key").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
     dealt = rows.select(F.explode("blocks").alias("block"), _short().alias("sid")).repartition("block").sortWithinPartitions("block", "sid")
-    met = dealt.mapInArrow(_agreeing, "pivot long, sid long").distinct()
+    met = dealt.mapInArrow(_agreeing, "pivot long, sid long, bits int").groupBy("pivot", "sid").agg(F.max("bits").alias("bits"))
     met = written(met, "agreeing")
-    groups = met.unionByName(met.select("pivot", F.col("pivot").alias("sid")).distinct())
-    sizes = written(met.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(TILE)).cast("int").alias("parts")), "pivots")
+    pairs = met.select("pivot", "sid")
+    groups = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("sid")).distinct())
+    side = F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.lit(TILE_GRAMS) / F.pow(F.lit(2), F.max("bits") + 1))))
+    sizes = written(met.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / side).cast("int").alias("parts")), "pivots")
     members = groups.join(if_small(sizes), "pivot").groupBy("sid").agg(F.collect_list(F.struct("pivot", "parts")).alias("of"))  # pivots of one set: fewer than its blocks
 
     chosen = written(sets.withColumn("sid", _short()).join(members, "sid").select("key", "first_id", "copies", "of"), "candidates")
