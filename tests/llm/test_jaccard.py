@@ -101,6 +101,7 @@ def test_large_group_in_tiles(spark, monkeypatch):
     assert run(spark, rows) == want
     monkeypatch.setattr(jaccard, "TILE", 16)
     monkeypatch.setattr(jaccard, "SLICE", 50)
+    monkeypatch.setattr(jaccard, "TILE_GRAMS", 1 << 11)  # sets of 78 shingles: tiles of 8 rows a side
     assert run(spark, rows) == want
     monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard, "BROADCAST_CANDIDATES", 0)
