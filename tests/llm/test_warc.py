@@ -41,6 +41,15 @@ def test_write_and_read(spark):
         assert got == {(r[2] or "").encode() for r in rows()}
 
 
+def test_rows_that_share_an_id(spark):
+    made = [(3, "u", "first", None), (4, "u", "second", None), (None, "a", "first", None), (None, "b", "second", None), (None, "c", "only here", None), (None, "d", "first", None), (9, "e", "first", None), (9, "f", "under a repeated id", None), (9, "g", "second", None)]
+    path = fresh_path(spark, "warc-test")
+    warc.write_archive(pages(spark, made), path)
+    read = warc.read_archive(spark, path)
+    assert sorted(map(tuple, warc.page_records(read).collect()), key=str) == expected(made)
+    assert {bytes(r["payload"]) for r in read.filter("type = 'response'").collect()} == {r[2].encode() for r in made}
+
+
 def test_empty_table(spark):
     path = fresh_path(spark, "warc-test")
     warc.write_archive(pages(spark, []), path)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import if_small, join_groups, slices, written
 
 RECORDS_PER_FILE = 2000
+#: Revisits (two ids and a digest: 36 bytes) up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_REVISITS = 500_000
 #: Bytes of a gzip member that are unpacked at once.
 READ_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -67,12 +69,6 @@ def make_record(page: int, url: str | None, payload: bytes, payload_digest: str,
     return "\r\n".join(lines).encode() + _END + block
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        payloads = [(h or "").encode() for h in part.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([digest(p) for p in payloads])], ["_id", "n", "digest"])
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         out = []
@@ -92,13 +88,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_f
 
     Digests are grouped, not payloads; a payload that a large share of the pages has is joined apart.
     """
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    digests = written(rows.select("_id", "html").mapInArrow(_digests, "_id long, n long, digest string").filter(F.col("n") >= min_bytes).select("_id", "digest"), "digests")
+    sha1 = F.unhex(F.sha1(F.coalesce(F.col(html_col), F.lit("")).cast("binary")))
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), sha1.alias("digest"))
+    digests = written(rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).select("_id", "digest"), "digests")
     firsts = written(digests.groupBy("digest").agg(F.min("_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "firsts")
-    revisits = written(join_groups(digests, firsts, "digest", "copies", digests.count()).filter("refers_to is not null and _id > refers_to").select("_id", "refers_to").distinct(), "revisits")
-    joined = rows.join(if_small(revisits), "_id", "left")
-    if min_bytes:
-        joined = joined.withColumn("refers_to", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes, F.col("refers_to")))
+    revisits = join_groups(digests, firsts, "digest", "copies", digests.count()).filter("refers_to is not null and _id > refers_to")
+    revisits = written(revisits.select("_id", "digest", "refers_to").distinct(), "revisits")  # rows can share an id, so its payload's digest too
+    joined = rows.join(if_small(revisits, BROADCAST_REVISITS), ["_id", "digest"], "left")
     records = joined.select("_id", "url", "html", "refers_to").mapInArrow(_records, "value string")
     records.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
 
