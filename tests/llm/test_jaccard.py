@@ -120,6 +120,30 @@ def test_odd_rows(spark):
     assert set(ids) == want and len(ids) == len(want)
 
 
+def test_one_of_each_of_repeated_ids(spark, monkeypatch):
+    rng = random.Random(13)
+    new = lambda: " ".join(rng.choice([f"w{k}" for k in range(400)]) for _ in range(60))
+    near = lambda t: t + " end"
+    a, b, c, d, e, f, g = (new() for _ in range(7))
+    rows = [
+        (1, a), (5, near(a)), (5, b),  # one row of id 5 belongs to another's group
+        (6, c), (6, d), (7, near(c)), (8, near(d)),  # two groups of one least id
+        (9, e), (9, near(e)), (9, e), (10, e.upper()),  # several rows in one group
+        (11, f), (11, None), (11, " "), (12, None), (12, ""),
+        (13, g), (14, near(g)), (None, near(b)), (None, a),
+    ]
+    for _ in range(2):
+        kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        ids = sorted((r["doc_id"] for r in kept if r["doc_id"] is not None))
+        assert ids == [1, 5, 6, 6, 9, 11, 12, 13]
+        texts = {(r["doc_id"], r["text"]) for r in kept}
+        assert texts >= {(1, a), (5, b), (11, f), (13, g), (None, near(b)), (None, a)}
+        assert texts <= set(rows)
+        for t in (c, d):
+            assert len(texts & {(6, t), (6, near(t))}) == 1
+        monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(5, 3), (3, 9), (8, 7), (9, 5), (8, 7)]])
 def test_components(spark, edges):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

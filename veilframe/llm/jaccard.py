@@ -186,17 +186,8 @@ def _tile(numerator: int, denominator: int):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row.
-
-    Words are runs of anything but ASCII white space, A-Z as a-z; a row's set are its distinct shingles
-    of `width` words, with fewer words the whole sequence. Two rows are linked if the Jaccard
-    similarity of their sets is at least numerator / denominator; rows with equal sets are.
-    component_id: the least id that links reach; n_links: other rows that a row is linked with.
-    Null texts and texts without words have no shingles, no links and their own id as component.
-    Rows without an id take part, and a component of only such rows has none. Repeated rows are rows of
-    their own. An empty table gives no rows. No link is lost, and no group is cut short.
-    """
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator: int, denominator: int, roots: bool = False) -> DataFrame:
+    """_id (_NO_ID for null), n, key, component_id (null without links), n_links of every row; with `roots` also root, a set's key that only the row's component has."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("text"))
     rows = written(source.mapInArrow(_rows(width, numerator, denominator), "_id long, n long, key binary, blocks array<long>"), "shingles")
     sets = rows.filter("n > 0").groupBy("key").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
@@ -227,32 +218,66 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reached = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = reached.withColumnRenamed("node", "key").join(chosen.select("key", "first_id"), "key")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    grouped = named.join(least, "component").select("key", "component_id")
+    root = ["root"] if roots else []
+    grouped = named.join(least, "component").select("key", "component_id", *[F.col("component").alias(c) for c in root])
     several = (
-        sets.filter("copies > 1").select("key", "copies", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
-        .unionByName(grouped.join(linked, "key").select("key", F.lit(0).cast("long").alias("copies"), "component_id", "links"))
-        .groupBy("key").agg(F.max("copies").alias("copies"), F.min("component_id").alias("component_id"), F.max("links").alias("links"))
+        sets.filter("copies > 1").select("key", "copies", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("links"), *[F.lit(None).cast("binary").alias(c) for c in root])
+        .unionByName(grouped.join(linked, "key").select("key", F.lit(0).cast("long").alias("copies"), "component_id", "links", *root))
+        .groupBy("key").agg(F.max("copies").alias("copies"), F.min("component_id").alias("component_id"), F.max("links").alias("links"), *[F.max(c).alias(c) for c in root])
     )
-    several = written(several.select("key", "component_id", F.col("copies"), (F.greatest(F.col("copies") - 1, F.lit(0)) + F.col("links")).alias("n_links")), "groups")
+    of_group = [F.coalesce(c, "key").alias(c) for c in root]
+    several = written(several.select("key", "component_id", F.col("copies"), (F.greatest(F.col("copies") - 1, F.lit(0)) + F.col("links")).alias("n_links"), *of_group), "groups")
+    return join_groups(rows.select("_id", "n", "key"), several, "key", "copies", rows.count())
 
-    joined = join_groups(rows.select("_id", "n", "key"), several, "key", "copies", rows.count())
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row.
+
+    Words are runs of anything but ASCII white space, A-Z as a-z; a row's set are its distinct shingles
+    of `width` words, with fewer words the whole sequence. Two rows are linked if the Jaccard
+    similarity of their sets is at least numerator / denominator; rows with equal sets are.
+    component_id: the least id that links reach; n_links: other rows that a row is linked with.
+    Null texts and texts without words have no shingles, no links and their own id as component.
+    Rows without an id take part, and a component of only such rows has none. Repeated rows are rows of
+    their own. An empty table gives no rows. No link is lost, and no group is cut short.
+    """
+    joined = _joined(docs, id_col, text_col, width, numerator, denominator)
     doc_id = lambda c: F.when(F.col(c) == _NO_ID, F.lit(None)).otherwise(F.col(c)).cast("long")
     return joined.withColumn("component_id", F.coalesce("component_id", "_id")).select(
         doc_id("_id").alias("doc_id"), F.col("n").alias("n_shingles"), doc_id("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+def _keys(width: int):
+    @F.arrow_udf("binary")
+    def keys(column: pa.Array) -> pa.Array:
+        """Each text's set key, as _rows gives it; empty without shingles."""
+        grams = (shingle_set(t, width) for t in texts(column))
+        return pa.array([set_key(g) if len(g) else b"" for g in grams], pa.binary())
+
+    return keys
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """docs with the row of the least id of each component of ngram_join, all columns as they are.
 
-    Of rows with equal ids one stays. Rows without an id stay.
+    Of rows with equal ids and links, one stays in each component that has no lesser id; of those without
+    links one stays, one with words if there is any. Rows without an id stay.
     """
-    joined = ngram_join(docs.select(id_col, text_col), id_col, text_col, **join)
-    linked = written(joined.filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "linked")
-    kept = docs.join(if_small(linked), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     repeated = written(docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").select(id_col), "repeated")
-    if repeated.isEmpty():
-        return kept
+    some = not repeated.isEmpty()
+    joined = _joined(docs.select(id_col, text_col), id_col, text_col, width, numerator, denominator, roots=some)
+    linked = written(joined.filter(f"_id <> {_NO_ID} and component_id <> _id").select(F.col("_id").alias(id_col)).distinct(), "linked")
+    if not some:
+        return docs.join(if_small(linked), id_col, "left_anti").select(*columns)
+
+    # An id stands for several rows here: which of them stays is told by their sets.
     again = if_small(repeated)
-    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(again, id_col, "left_anti").join(if_small(linked), id_col, "left_anti").select(*columns)
+    ids = if_small(repeated.select(F.col(id_col).cast("long").alias("_id")))
+    rows = joined.join(ids, "_id", "left_semi").filter("component_id is null or component_id = _id")
+    stay = rows.groupBy("_id", F.coalesce("root", F.lit(b"")).alias("root")).agg(F.max(F.coalesce("key", F.lit(b""))).alias("key")).select("_id", "key")
+    several = docs.join(again, id_col, "left_semi").select(F.col(id_col).cast("long").alias("_id"), F.struct(*columns).alias("row"), _keys(width)(text_col).alias("key"))
+    several = several.join(written(stay, "stay"), ["_id", "key"], "left_semi").dropDuplicates(["_id", "key"])
+    return once.unionByName(several.select("row.*"))
