@@ -119,6 +119,21 @@ def test_scripts(read, spark):
     assert read("e.sql", "-- nothing") == ([], [])
 
 
+def test_scripts_that_change_tables(read, spark):
+    made = "CREATE TABLE t (a INT, b TEXT); INSERT INTO t VALUES (1, 'x'), (2, 'y');"
+    assert read("f.sql", made + "DROP TABLE t; CREATE TABLE t (c TEXT); INSERT INTO t VALUES ('new');") == (["c"], [("new",)])
+    assert read("g.sql", "DROP TABLE IF EXISTS t;" + made + "DROP TABLE IF EXISTS `t`, u; CREATE TABLE t (c TEXT); INSERT INTO t VALUES ('new');") == (["c"], [("new",)])
+    assert read("h.sql", made + "CREATE TABLE IF NOT EXISTS t (c TEXT);") == (["a", "b"], [("1", "x"), ("2", "y")])
+    assert read("i.sql", made + "ALTER TABLE t ADD COLUMN n DECIMAL(5, 2) NULL, ADD PRIMARY KEY (a); INSERT INTO t VALUES (3, 'z', 0.5); ALTER TABLE t RENAME COLUMN b TO name; ALTER TABLE t DROP COLUMN a;") == (["name", "n"], [("x", ""), ("y", ""), ("z", "0.5")])
+    assert read("j.sql", made + "ALTER TABLE t RENAME TO u; INSERT INTO u VALUES (3, 'z');") == (["a", "b"], [("1", "x"), ("2", "y"), ("3", "z")])
+    for refused in ("INSERT OR IGNORE INTO t VALUES (1, 'z')", "INSERT OR REPLACE INTO t VALUES (1, 'z')", "INSERT IGNORE INTO t VALUES (1, 'z')", "ALTER TABLE t ADD n INT DEFAULT 5", "ALTER TABLE t MODIFY a TEXT"):
+        with pytest.raises(Unsupported):
+            ScriptRunner(spark).script(made + refused)
+    for wrong in ("DROP TABLE u", "DROP TABLE t", "CREATE TABLE t (c TEXT)", "ALTER TABLE u ADD n INT", "ALTER TABLE t ADD a INT", "ALTER TABLE t RENAME COLUMN q TO r", "ALTER TABLE t RENAME COLUMN a TO b", "ALTER TABLE t DROP COLUMN q"):
+        with pytest.raises(DataSourceError):
+            ScriptRunner(spark).script(made + wrong)
+
+
 def sheet(spark, rows, names):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], f"{ROW} long, " + ", ".join(f"`{n}` string" for n in names))
 

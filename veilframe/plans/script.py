@@ -12,9 +12,16 @@ from veilframe.errors import DataSourceError, Unsupported
 from veilframe.operators.sheet import union_by_name
 
 _piece = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`)|(--[^\n]*|/\*.*?\*/)|(;)""", re.S)
-_skipped = re.compile(r"(?i)\s*(use|set|create\s+database|lock\s+tables|unlock\s+tables|begin|commit|start\s+transaction|pragma|drop\s+table\s+if\s+exists)\b")
-_create = re.compile(r"(?is)\s*create\s+(?:temp\w*\s+)?table\s+(?:if\s+not\s+exists\s+)?([`\"\w.]+)\s*\((.*)\)")
-_insert = re.compile(r"(?is)\s*insert\s+(?:or\s+\w+\s+|ignore\s+)?into\s+([`\"\w.]+)\s*(?:\(([^)]*)\))?\s*(values\b.*|select\b.*)")
+_skipped = re.compile(r"(?i)\s*(use|set|create\s+database|lock\s+tables|unlock\s+tables|begin|commit|start\s+transaction|pragma)\b")
+_create = re.compile(r"(?is)\s*create\s+(?:temp\w*\s+)?table\s+(if\s+not\s+exists\s+)?([`\"\w.]+)\s*\((.*)\)")
+_drop = re.compile(r"(?is)\s*drop\s+(?:temporary\s+)?table\s+(if\s+exists\s+)?([`\"\w.\s,]+?)(?:\s+(?:restrict|cascade))?\s*\Z")
+_alter = re.compile(r"(?is)\s*alter\s+table\s+([`\"\w.]+)\s+(.*)")
+_rename = re.compile(r"(?is)\s*rename\s+(?:to|as)\s+([`\"\w.]+)\s*\Z")
+_rename_column = re.compile(r"(?is)\s*rename\s+(?:column\s+)?([`\"\w]+)\s+to\s+([`\"\w]+)\s*\Z")
+_drop_column = re.compile(r"(?is)\s*drop\s+(?:column\s+)?([`\"\w]+)\s*\Z")
+_add_column = re.compile(r"(?is)\s*add\s+(?:column\s+)?([`\"\w]+)(?:\s+(\w+(?:\s+\w+)*(?:\s*\([\d\s,]*\))?))??(?:\s+null)?\s*\Z")
+_filled = re.compile(r"(?i)\b(default|not\s+null|first|after|generated|as|check|references|unique|primary)\b")
+_insert = re.compile(r"(?is)\s*insert\s+into\s+([`\"\w.]+)\s*(?:\(([^)]*)\))?\s*(values\b.*|select\b.*)")
 _update = re.compile(r"(?is)\s*update\s+([`\"\w.]+)\s+set\s+(.*?)(?:\s+where\s+(.*))?\Z")
 _delete = re.compile(r"(?is)\s*delete\s+from\s+([`\"\w.]+)(?:\s+where\s+(.*))?\Z")
 _constraint = re.compile(r"(?i)\s*(primary|unique|key|index|constraint|foreign|check|fulltext)\b")
@@ -100,16 +107,55 @@ class ScriptRunner:
             raise DataSourceError(f"no such table: {table}")
         return table
 
+    def _forget(self, table: str) -> None:
+        self.spark.catalog.dropTempView(self.prefix + table)
+        del self.tables[table], self.columns[table]
+
+    def _alter(self, table: str, change: str) -> None:
+        """One change of a table; keys and constraints change no rows."""
+        kinds = self.columns[table]
+        if re.match(r"(?i)\s*add\b", change) and _constraint.match(change.strip()[3:]):
+            return
+        if m := _rename.match(change):
+            new = _name(m[1])
+            if new in self.tables:
+                raise DataSourceError(f"table already exists: {new}")
+            df = self.tables[table]
+            self._forget(table)
+            self.columns[new], self.last = kinds, new if self.last == table else self.last
+            self._store(new, df)
+            return
+        source, added = {c: c for c in kinds}, None
+        if m := _rename_column.match(change):
+            old, new = _name(m[1]), _name(m[2])
+            source = {new if c == old else c: c for c in kinds}
+            done = old in kinds and len(source) == len(kinds)
+        elif m := _drop_column.match(change):
+            old = _name(m[1])
+            done = source.pop(old, None) is not None and len(source) > 0
+        elif (m := _add_column.match(change)) and not _filled.search(change):
+            new, added = _name(m[1]), _type(m[2] or "")
+            done = new not in kinds
+            source[new] = None
+        else:
+            raise Unsupported(f"statement not supported: ALTER TABLE {table} {change.strip()[:80]}")
+        if not done:
+            raise DataSourceError(f"table {table} does not allow: {change.strip()[:80]}")
+        self.columns[table] = {c: added if own is None else kinds[own] for c, own in source.items()}
+        self._store(table, self.tables[table].selectExpr(*[f"cast(NULL AS {added}) AS `{c}`" if own is None else f"`{own}` AS `{c}`" for c, own in source.items()]))
+
     def run(self, statement: str) -> None:
         """One statement that isn't a query."""
         if _skipped.match(statement):
             return
         if m := _create.match(statement):
-            table = self.last = _name(m[1])
+            table = self.last = _name(m[2])
             if table in self.tables:
-                return
+                if m[1]:
+                    return
+                raise DataSourceError(f"table already exists: {table}")
             kinds = {}
-            for part in _split(m[2]):
+            for part in _split(m[3]):
                 if part.strip() and not _constraint.match(part):
                     name, _, declared = part.strip().partition(" ")
                     kinds[_name(name)] = _type(declared)
@@ -133,7 +179,14 @@ class ScriptRunner:
         elif m := _delete.match(statement):
             table = self._known(m[1])
             self._store(table, self.tables[table].filter(f"NOT coalesce({m[2]}, false)" if m[2] else "false"))
-        elif re.match(r"(?i)\s*(with|values|create\s+(unique\s+)?index|alter|drop)\b", statement):
+        elif m := _drop.match(statement):
+            for name in m[2].split(","):
+                if not m[1] or _name(name) in self.tables:
+                    self._forget(self._known(name))
+        elif m := _alter.match(statement):
+            for change in _split(m[2]):
+                self._alter(self._known(m[1]), change)
+        elif re.match(r"(?i)\s*(with|values|create\s+(unique\s+)?index|(alter|drop)\s+database|drop\s+(index|view|trigger))\b", statement):
             return  # no rows come of these
         else:
             raise Unsupported(f"statement not supported: {statement[:80]}")
