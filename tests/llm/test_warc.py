@@ -96,6 +96,23 @@ def test_salvage_recovers_what_is_whole():
             assert at == len(data)
 
 
+def test_members_of_several_records():
+    rng = random.Random(8)
+    records = archive(rng, False)
+    ids = lambda found: [warc.page_id(f["record_id"]) for f in found if "record_id" in f]
+    for level in (0, 9):
+        packed = gzip.compress(b"".join(records), level)
+        assert ids(warc.salvage(packed)) == list(range(30))
+        cut = list(warc.salvage(packed[: len(packed) * 2 // 3]))
+        assert ids(cut) == list(range(len(ids(cut)))) and 15 <= len(ids(cut)) < 30
+        assert cut[-1]["offset"] == 0 and cut[-1]["length"] == len(packed) * 2 // 3 and "reason" in cut[-1]
+        wrong = list(warc.salvage(packed[:-8] + bytes(4) + packed[-4:]))  # another checksum
+        assert ids(wrong) == list(range(30)) and "reason" in wrong[-1]
+        inside = gzip.compress(b"".join([*records[:9], records[9][:-30], *records[10:]]), level)
+        found = list(warc.salvage(inside + gzip.compress(records[9])))
+        assert ids(found) == [*range(9), *range(10, 30), 9] and [f["offset"] for f in found if "reason" in f] == [0]
+
+
 def test_files_with_gaps(spark):
     rng = random.Random(7)
     path = fresh_path(spark, "warc-test").removeprefix("file://")

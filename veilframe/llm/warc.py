@@ -143,42 +143,59 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
     return record, end + len(_END)
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict[str, Any]], int]:
-    """The records of the gzip member that starts here, and where it ends."""
-    unpack, parts, view, read = zlib.decompressobj(31), [], memoryview(data), at
-    try:
-        while read < len(data) and not unpack.eof:  # in steps, as what follows the member would be copied whole
-            parts.append(unpack.decompress(view[read : read + READ_BYTES]))
-            read = min(read + READ_BYTES, len(data))
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not unpack.eof:
-        raise ValueError("gzip member without an end")
-    inner, found, inside = b"".join(parts), [], 0
-    while inside < len(inner):
-        record, inside = parse_record(inner, inside)
-        found.append(record)
-    return found, read - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[dict[str, Any]]:
-    """Valid records of an archive in order, as dicts with offset and length; bytes that belong to none as dicts with a reason."""
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The gzip member that starts here, as far as it unpacks; where that ends, and why it goes no further (empty: it is whole)."""
+    unpack, parts, view, read, step = zlib.decompressobj(31), [], memoryview(data), at, READ_BYTES
+    while read < len(data) and not unpack.eof:  # in steps, as what follows the member would be copied whole
+        before = unpack.copy() if step > 1 else None
+        try:
+            parts.append(unpack.decompress(view[read : read + step]))
+        except zlib.error as e:
+            if before is None:
+                return b"".join(parts), read, f"gzip: {e}"
+            unpack, step = before, 1  # once more by bytes, as a failing step puts nothing out
+            continue
+        read = min(read + step, len(data))
+    return b"".join(parts), read - len(unpack.unused_data), "" if unpack.eof else "gzip member without an end"
+
+
+def salvage(data: bytes, packed: bool = True) -> Iterator[dict[str, Any]]:
+    """Valid records of an archive in order, as dicts with offset and length; bytes that belong to none as dicts with a reason.
+
+    Records and gaps of a gzip member have the member's offset and length. Records of a member that does
+    not unpack to its end have length 0: its bytes are the gap after them.
+    """
     at, broken, reason = 0, None, ""
+    held, tried = [], 0  # records of the last broken member, and where it stopped: stored bytes can show them again
     while at < len(data):
+        found, why = [], ""
         try:
-            records, end = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else (lambda r: ([r[0]], r[1]))(parse_record(data, at))
+            if packed and data[at : at + 3] == b"\x1f\x8b\x08":
+                inner, end, why = _unpack(data, at)
+                found = list(salvage(inner, False))
+                if (inner or why) and all("reason" in f for f in found):
+                    raise ValueError(why or found[0]["reason"])
+            else:
+                record, end = parse_record(data, at)
+                if at < tried and record in held:
+                    raise ValueError(reason)
+                found = [record]
         except ValueError as e:
             if broken is None:
                 broken, reason = at, str(e)
-            again = _start.search(data, at + 1)
-            at = again.start() if again else len(data)
-            continue
-        if broken is not None:
-            yield {"offset": broken, "length": at - broken, "reason": reason}
-            broken = None
-        for record in records:
-            yield record | {"offset": at, "length": end - at}
-        at = end
+        else:
+            if broken is not None:
+                yield {"offset": broken, "length": at - broken, "reason": reason}
+                broken = None
+            for record in found:
+                yield record | {"offset": at, "length": 0 if why else end - at}
+            if not why:
+                at = end
+                continue
+            held, tried = [{k: v for k, v in f.items() if k not in ("offset", "length")} for f in found], end
+            broken, reason = at, why
+        again = _start.search(data, at + 1)
+        at = again.start() if again else len(data)
     if broken is not None:
         yield {"offset": broken, "length": len(data) - broken, "reason": reason}
 
@@ -187,7 +204,7 @@ _SCHEMA = "file string, offset long, length long, reason string, type string, re
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of all archives under path (plain, or gzip with a member per record), and quarantined gaps.
+    """Records of all archives under path (plain, or gzip with any number of records a member), and quarantined gaps.
 
     Columns: file, offset, length (bytes in the file), reason (why a gap is quarantined; null for
     records), type, record_id, target_uri, refers_to, payload_bytes, payload_digest and, if asked for,
