@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,38 +51,74 @@ def contains_keyword(text: Column, keyword: str) -> Column:
     return text.rlike("(?i)" + regex.quoted(keyword)) if keyword else text.isNotNull()
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What step makes of all elements up to each element, from start on; step must be associative.
+
+    Appending to an array copies it, so n results are made in about sqrt(n) stretches of as many elements:
+    each stretch's total first, then the results in each from the total before it.
+    """
+    gather = lambda array, first: F.aggregate(array, F.struct(first.alias("at"), F.slice(F.array(first), 1, 0).alias("all")), _append(step), lambda acc: acc["all"])
+
+    def stretches(own: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(own))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / size).cast("int")), lambda k: F.slice(own, k * size + 1, size))
+
+    def results(parts: Column) -> Column:
+        totals = gather(F.transform(parts, lambda part: F.aggregate(part, start, step)), start)
+        before = F.concat(F.array(start), F.slice(totals, F.lit(1), F.size(totals) - 1))
+        return F.flatten(F.zip_with(parts, before, gather))
+
+    return let(values, lambda own: let(stretches(own), results))
+
+
+def _append(step: Callable[[Column, Column], Column]):
+    def add(acc: Column, x: Column) -> Column:
+        return let(step(acc["at"], x), lambda made: F.struct(made.alias("at"), F.concat(acc["all"], F.array(made)).alias("all")))
+
+    return add
+
+
+def _places(gaps: Column, sizes: Column) -> Column:
+    """Spans of matches from the length of the text before each and their own lengths."""
+
+    def spans(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(both, ends, lambda x, end: F.struct((end - x["size"]).cast("int").alias("start"), end.cast("int").alias("end")))
+
+    return let(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), spans)
+
+
 def keyword_spans(text: Column, keyword: str) -> Column:
     """[start, end) in UTF-8 bytes of the keyword's occurrences, case-sensitive, leftmost and non-overlapping."""
-    kind = "array<struct<start:int,end:int>>"
+    none = F.array().cast(_SPANS)
     if not keyword:
-        return F.array().cast(kind)
+        return none
     size = len(keyword.encode())
-    parts = F.split(text, regex.quoted(keyword), -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.octet_length(part)
-        own = F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
-        return F.struct((start + size).cast("int").alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
+    def spans(gaps: Column) -> Column:
+        return _places(gaps, F.transform(gaps, lambda _: F.lit(size)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.coalesce(F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["spans"], F.array().cast(kind))
+    gaps = let(F.split(text, regex.quoted(keyword), -1), lambda parts: F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.octet_length))
+    return F.when(text.contains(keyword), let(gaps, spans)).otherwise(none)
 
 
 def pattern_spans(text: Column, pattern: str) -> Column:
     """[start, end) in UTF-8 bytes of a pattern's matches; empty matches are left out."""
-    kind = "array<struct<start:int,end:int>>"
     java = regex.checked(pattern)
-    every, parts = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
-    # splitting passes over an empty match at the very start, so that there are as many parts as matches
-    hits = F.when(F.size(parts) > F.size(every), every).otherwise(F.slice(every, F.lit(2), F.size(every)))
-    found = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("part"), hits.alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.octet_length(x["part"])
-        end = start + F.octet_length(x["hit"])
-        own = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    spans = F.filter(F.aggregate(found, start, step)["spans"], lambda x: x["end"] > x["start"])
-    return F.when(text.rlike(java), spans).otherwise(F.array().cast(kind))
+
+    def spans(found: Column) -> Column:
+        # splitting passes over an empty match at the very start, so that there are as many parts as matches
+        every, parts = found["every"], found["parts"]
+        hits = F.when(F.size(parts) > F.size(every), every).otherwise(F.slice(every, F.lit(2), F.size(every)))
+        return let(hits, lambda own: F.filter(_places(F.transform(F.slice(parts, F.lit(1), F.size(own)), F.octet_length), F.transform(own, F.octet_length)), lambda x: x["end"] > x["start"]))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("every"), F.split(text, java, -1).alias("parts"))
+    return F.when(text.rlike(java), let(found, spans)).otherwise(F.array().cast(_SPANS))

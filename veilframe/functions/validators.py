@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.errors import InvalidInput
+from veilframe.functions.transforms import let
 
 # Weights and check characters of national ids, address words, notes.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
@@ -51,9 +52,13 @@ def _ipv6() -> str:
 IPV6 = _ipv6()
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def trim(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def is_phone(text: Column, prefixes: Iterable[str] = ()) -> Column:
@@ -64,14 +69,7 @@ def is_phone(text: Column, prefixes: Iterable[str] = ()) -> Column:
 
 def is_luhn(text: Column) -> Column:
     """Two or more ASCII digits whose Luhn sum is a multiple of 10."""
-    reversed_digits = F.split(F.reverse(text), "")
-
-    def weigh(d: Column, i: Column) -> Column:
-        n = F.ascii(d) - 48
-        return F.when(i % 2 == 0, n).otherwise(F.when(n > 4, 2 * n - 9).otherwise(2 * n))
-
-    total = F.aggregate(F.transform(reversed_digits, weigh), F.lit(0), lambda a, x: a + x)
-    return F.when(text.rlike(r"\A[0-9]{2,}\z"), total % 10 == 0).otherwise(False)
+    return text.rlike(r"\A[0-9]{2,}\z") & F.call_function("luhn_check", text)
 
 
 def is_ipv4(text: Column) -> Column:
@@ -83,9 +81,13 @@ def is_ipv6(text: Column) -> Column:
 
 
 def idcard_check(text: Column) -> Column:
-    """The check character of a text that begins with 17 digits. The text is named once, so plans stay small whatever it is made of."""
-    weighted = F.zip_with(F.split(F.substring(text, 1, 17), ""), F.array(*map(F.lit, ID_WEIGHTS)), lambda d, w: (F.ascii(d) - 48) * w)
-    return F.element_at(F.array(*map(F.lit, ID_CHECKS)), F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 11 + 1)
+    """The check character of a text that begins with 17 digits. They are one number, named once: plans stay small whatever the text is made of."""
+
+    def check(number: Column) -> Column:
+        weighted = [F.call_function("div", number, F.lit(10 ** (16 - i))) % 10 * w for i, w in enumerate(ID_WEIGHTS)]
+        return F.element_at(F.array(*map(F.lit, ID_CHECKS)), (reduce(lambda a, b: a + b, weighted) % 11 + 1).cast("int"))
+
+    return let(F.substring(text, 1, 17).try_cast("bigint"), check)
 
 
 def is_idcard(text: Column) -> Column:
@@ -159,44 +161,45 @@ def is_generic(text: Column, digits: bool = True, letters: bool = True, specials
     return valid & (n <= max_len) if max_len is not None else valid
 
 
-def validated(text: Column, params: dict[str, Any] | None) -> Column:
-    """struct<valid, note> for params {"validator": tag, ...}; without params everything is valid."""
-    value = F.coalesce(text, F.lit(""))
-
-    def answer(valid: Column, note: str, good: Column | None = None) -> Column:
-        return F.struct(valid.alias("valid"), F.when(valid, F.lit("") if good is None else good).otherwise(F.lit(NOTES[note])).alias("note"))
-
+def validity(text: Column, params: dict[str, Any] | None) -> tuple[Column, str, Column]:
+    """For params {"validator": tag, ...}: whether the text is valid, the note where it isn't, and the note where it is. Without params everything is valid."""
+    value, nothing = F.coalesce(text, F.lit("")), F.lit("")
     tag = (params or {}).get("validator")
     p = params or {}
     if params is None:
-        return F.struct(F.lit(True).alias("valid"), F.lit("").alias("note"))
+        return F.lit(True), "", nothing
     if tag == "phonePrefix":
-        return answer(is_phone(value, p.get("allowedPrefixes", p.get("allowed_prefixes")) or ()), "phonePrefix")
+        return is_phone(value, p.get("allowedPrefixes", p.get("allowed_prefixes")) or ()), NOTES["phonePrefix"], nothing
     if tag in ("idcard", "idCard"):
-        return answer(is_idcard(value), "idcard", idcard_gender(value))
+        return is_idcard(value), NOTES["idcard"], idcard_gender(value)
     if tag == "birth":
         formats = p.get("formats") or ()
-        return answer(is_birth(value, formats), "birthFormat" if formats else "birth")
+        return is_birth(value, formats), NOTES["birthFormat" if formats else "birth"], nothing
     if tag == "address":
-        return answer(is_address(value, p.get("minHao"), p.get("maxHao"), p.get("minShi"), p.get("maxShi")), "address")
+        return is_address(value, p.get("minHao"), p.get("maxHao"), p.get("minShi"), p.get("maxShi")), NOTES["address"], nothing
     if tag == "generic":
-        return answer(is_generic(value, p.get("allowDigits", True), p.get("allowLetters", True), p.get("allowSpecialChars") or "", p.get("minLen"), p.get("maxLen")), "generic")
+        return is_generic(value, p.get("allowDigits", True), p.get("allowLetters", True), p.get("allowSpecialChars") or "", p.get("minLen"), p.get("maxLen")), NOTES["generic"], nothing
     plain = {"luhn": is_luhn, "ipv4": is_ipv4, "ipv6": is_ipv6, "username": is_username, "sex": is_sex, "email": is_email}
     if tag not in plain:
         raise InvalidInput(f"unknown validator {tag!r}")
-    return answer(plain[tag](value), tag)
+    return plain[tag](value), NOTES[tag], nothing
+
+
+def validated(text: Column, params: dict[str, Any] | None) -> Column:
+    """struct<valid, note> for params {"validator": tag, ...}; without params everything is valid."""
+    valid, bad, good = validity(text, params)
+    return F.struct(valid.alias("valid"), F.when(valid, good).otherwise(F.lit(bad)).alias("note"))
 
 
 def normal_gender(text: Column) -> Column:
     """男, 女, or null if the text says neither."""
-    value = F.lower(trim(text))
-    return F.when(value.isin("男", "male", "m", "1"), "男").when(value.isin("女", "female", "f", "2"), "女")
+    return let(F.lower(trim(text)), lambda value: F.when(value.isin("男", "male", "m", "1"), "男").when(value.isin("女", "female", "f", "2"), "女"))
 
 
 def gender_mismatch(inferred: Column, raw: Column) -> Column:
     """A message if both genders are known and differ, else null."""
-    a, b = normal_gender(inferred), normal_gender(raw)
-    return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat(F.lit("性别不一致: 身份证推断"), inferred, F.lit("，性别列"), raw))
+    both = F.struct(inferred.alias("inferred"), raw.alias("raw"), normal_gender(inferred).alias("a"), normal_gender(raw).alias("b"))
+    return let(both, lambda g: F.when(g["a"] != g["b"], F.concat(F.lit("性别不一致: 身份证推断"), g["inferred"], F.lit("，性别列"), g["raw"])))
 
 
 def phone_prefixes(given: Iterable[str]) -> list[str]:

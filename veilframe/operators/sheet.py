@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.storage import fresh_path
+
 ROW = "_row_idx"
 #: Row ids up to this number are compared in the filter itself; more are joined.
 INLINE_ROWS = 1000
@@ -18,17 +20,25 @@ def number_rows(df: DataFrame, in_files: bool = True) -> DataFrame:
     """df with _row_idx 1, 2, ... in the order of files and of rows in them (or of partitions, if not read from files).
 
     One pass counts the rows of each file block; only these counts, a row a block, are put in order. The
-    rows themselves aren't shuffled.
+    rows themselves aren't shuffled. What isn't read from files is written to the shared folder first and
+    numbered from there: two evaluations of a shuffle can cut its partitions in different places.
     """
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")] if in_files else [F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block")]
-    marked = df.select(*[F.col(f"`{c}`") for c in df.columns], *place, F.monotonically_increasing_id().alias("_at"))
+    names = df.columns
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at = F.monotonically_increasing_id().alias("_at")
+    if in_files:
+        marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), at)
+    else:
+        made, path = rows.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block"), at), fresh_path(df.sparkSession, "rows")
+        made.write.parquet(path)
+        marked = df.sparkSession.read.schema(made.schema).parquet(path)
     blocks = marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
     starts = blocks.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
     # files and partitions together are at least as many as blocks, and are known without a job
-    few = df.rdd.getNumPartitions() + (len(df.inputFiles()) if in_files else 0) <= BROADCAST_BLOCKS
+    few = marked.rdd.getNumPartitions() + len(marked.inputFiles()) <= BROADCAST_BLOCKS
     numbered = marked.join(F.broadcast(starts) if few else starts, ["_file", "_block"])
-    return numbered.select((F.col("_at") + F.col("_shift")).alias(ROW), *[F.col(f"`{c}`") for c in df.columns])
+    return numbered.select((F.col("_at") + F.col("_shift")).alias(ROW), *[f"c{i}" for i in range(len(names))]).toDF(ROW, *names)
 
 
 def headers(sheet: DataFrame) -> list[str]:
@@ -58,6 +68,11 @@ def column_cells(sheet: DataFrame, column: str) -> DataFrame:
     return sheet.select(ROW, F.col(f"`{column}`").alias("value"))
 
 
+def column_page(sheet: DataFrame, column: str, offset: int = 0, limit: int = 50) -> DataFrame:
+    """_row_idx, value of `limit` rows after the first `offset`, in order: a range of row numbers, so a scan that needs no sort of the sheet."""
+    return column_cells(sheet, column).filter(F.col(ROW).between(offset + 1, offset + limit)).orderBy(ROW)
+
+
 def cells(sheet: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Long form: _row_idx, col_idx, value. Nulls are kept."""
     names = headers(sheet)
