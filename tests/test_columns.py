@@ -163,3 +163,10 @@ def test_rules(tmp_path):
 
     with pytest.raises(ProcessorError):
         store.get("no-such-rule")
+
+
+def test_many_spans_in_one_cell(spark):
+    text = "éab " * 100_000
+    want = [(5 * k + 2, 5 * k + 4) for k in range(100_000)]
+    for made in (transforms.keyword_spans, transforms.pattern_spans):
+        assert [tuple(s) for s in over(spark, [text], lambda c, made=made: made(c, "ab"))[0]] == want

@@ -1,6 +1,11 @@
 """Sheet operators, search, extraction, validation, streams, and the workbench that ties them together."""
 
+import random
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +49,31 @@ def test_sheets(spark, people):
     assert sorted(map(tuple, sheet.wide(sheet.cells(people), sheet.headers(people)).collect())) == sorted(map(tuple, people.collect()))
 
 
+def test_row_numbers_of_shuffled_rows(spark):
+    wide = spark.range(60_000).select("id", F.repeat(F.md5(F.col("id").cast("string")), 28).alias("_file"))  # 900 bytes a row
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+        for first in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", first)
+            for rows in (wide.repartitionByRange("id").sortWithinPartitions("id"), wide.orderBy("id")):
+                numbered = sheet.number_rows(rows, in_files=False)
+                assert numbered.columns == [ROW, "id", "_file"] and numbered.filter(f"{ROW} = id + 1").count() == numbered.count() == 60_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sheet.number_rows(wide.limit(0), in_files=False).count() == 0
+    assert [tuple(r) for r in sheet.column_page(sheet.number_rows(spark.range(9).coalesce(1), in_files=False), "id", 4, 3).collect()] == [(5, 4), (6, 5), (7, 6)]
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    from veilframe import storage
+
+    sheet.number_rows(spark.range(3), in_files=False)
+    assert storage.clean(spark) >= 1 and storage.clean(spark) == 0
+
+
 def test_json_columns(spark):
     own = make(spark, [('{"a":1}',), ("not-json",), ('{"a":2, "b":{"c":[1, 2]}, "d":null, "e":""}',), ("[1,2,3]",), (None,), ('{"a":1} x',), ('{"a":1},{"a":2}',), ("{}",)], "payload")
     got = columns.expand_json(own, "payload")
@@ -70,6 +100,49 @@ def test_extraction(spark):
         extract.extract(own, "raw", [RULES["idcard-validate"]])
 
 
+def joined_by_hand(rows, rules):
+    """Candidates of the joined rows by one scan, each of the row in which it starts."""
+    text, starts = "".join(t or "" for t in rows), []
+    for i, t in enumerate(rows, 1):
+        if t:
+            starts.append((sum(len(u or "") for u in rows[: i - 1]), i))
+    out = []
+    for k, rule in enumerate(rules):
+        count = {}
+        for m in re.finditer(rule.pattern, text):
+            row = max((s, i) for s, i in starts if s <= m.start())[1]
+            out.append((row, k, count.get(row, 0), m[0]))
+            count[row] = count.get(row, 0) + 1
+    return sorted(out)
+
+
+def test_extraction_from_joined_rows(spark):
+    rng = random.Random(4)
+    rules = [RULES["ip4-extract"], RULES["bankcard-extract"], RULES["phone-extract"]]
+    words = ["192.168.1.1", "6222021234567890128", "13812345678", "é", "汉字", " ", "x", " , ", "10.0.0.1 "]
+    text = "".join(rng.choice(words) for _ in range(1500))
+    rows, at = [], 0
+    while at < len(text):
+        size = rng.choice([0, 0, 1, 2, 5, 9, 30, 400])
+        rows.append((text[at : at + size] if size else rng.choice(["", None]),))
+        at += size
+    own = make(spark, rows, "content")
+    want = joined_by_hand([t for (t,) in rows], rules)
+    for stretch in (64, 1000, 100_000):
+        got = extract.joined_candidates(own, "content", rules, 300, stretch).select("source_row", "rule", "pos", "value")
+        assert sorted(map(tuple, got.collect())) == want
+    for texts, rule, value in ((["prefix 19", "2.168.1.1 suffix"], "ip4-extract", "192.168.1.1"), (["data 6222021234567", "890128 end"], "bankcard-extract", "6222021234567890128")):
+        sheet_ = make(spark, [(t,) for t in texts], "raw")
+        assert finds(extract.extract(sheet_, "raw", [RULES[rule]], joined=True)) == [(1, RULES[rule].name.removesuffix("提取"), value, True, "")]
+        assert extract.rows_without_candidates(sheet_, "raw", [RULES[rule]], joined=True).first()["skipped"] == 1
+    assert extract.extract(own.limit(0), "content", rules, joined=True).count() == 0
+    ids = make(spark, [("x 1101051949", "女"), ("1231002X", "男"), (" 110105194912310038", "f")], "raw", "sex")
+    assert [f[:1] + f[3:] for f in finds(extract.extract(ids, "raw", [RULES["idcard-extract"]], gender_column="sex", joined=True))] == [(1, True, "女"), (3, False, "性别不一致: 身份证推断男，性别列f")]
+    zero = make(spark, [("01010519491231002X",), ("none",)], "raw")
+    assert extract.rows_without_candidates(zero, "raw", [RULES["idcard-extract"]]).first()["skipped"] == 2
+    assert extract.rows_without_candidates(zero, "raw", [RULES["idcard-extract"]], idcard_allow_leading_zero=True).first()["skipped"] == 1
+
+
 def test_extraction_of_id_cards(spark):
     own = make(spark, [("id 11010519491231002X", "男"), ("110105194912310038", "m"), ("110105194912310021", "女"), ("01010519491231002X", "")], "raw", "sex")
     assert [f[2:] for f in finds(extract.extract(own, "raw", [RULES["idcard-extract"]]))] == [("11010519491231002X", True, "女"), ("110105194912310038", True, "男"), ("110105194912310021", False, "非合法身份证号")]
@@ -113,6 +186,9 @@ def test_plans_stay_native_and_scan_once(spark, tmp_path):
     for df in (validate.with_reasons(own, column_rules()), extract.extract(own, "idcard", [RULES["idcard-extract"], RULES["phone-extract"]]), search.search_rows(own, "x")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and not re.search("Python|Pandas|Arrow", plan)
+    checked = validate.with_reasons(own, column_rules())
+    for df in (validate.reasons(checked), *validate.split(checked)):  # the checksum of an id card is made once
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("try_cast(substring(") == 1
     narrow = extract.extract(own, "idcard", [RULES["idcard-extract"]])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<_row_idx:bigint,idcard:string>" in narrow
 
@@ -184,3 +260,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["source_row", "rule_ord", "pos", "type_label", "value", "valid", "note"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_without_the_training_data_subpackage(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "veilframe", tmp_path / "veilframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; from veilframe.queries import QUERIES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) <= set(QUERIES)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -110,15 +110,20 @@ def keyword_spans(text: Column, keyword: str) -> Column:
     return F.when(text.contains(keyword), let(gaps, spans)).otherwise(none)
 
 
-def pattern_spans(text: Column, pattern: str) -> Column:
-    """[start, end) in UTF-8 bytes of a pattern's matches; empty matches are left out."""
-    java = regex.checked(pattern)
+def with_matches(text: Column, java: str, body: Callable[[Column, Column], Column], length: Callable[[Column], Column]) -> Column:
+    """body(matches, their [start, end) as length counts), each worked out once; an empty match at the very start is passed over."""
 
-    def spans(found: Column) -> Column:
-        # splitting passes over an empty match at the very start, so that there are as many parts as matches
+    def of(found: Column) -> Column:
+        # splitting passes over it too, so that there are as many parts as matches
         every, parts = found["every"], found["parts"]
         hits = F.when(F.size(parts) > F.size(every), every).otherwise(F.slice(every, F.lit(2), F.size(every)))
-        return let(hits, lambda own: F.filter(_places(F.transform(F.slice(parts, F.lit(1), F.size(own)), F.octet_length), F.transform(own, F.octet_length)), lambda x: x["end"] > x["start"]))
+        return let(hits, lambda own: let(_places(F.transform(F.slice(parts, F.lit(1), F.size(own)), length), F.transform(own, length)), lambda spans: body(own, spans)))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("every"), F.split(text, java, -1).alias("parts")), of)
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("every"), F.split(text, java, -1).alias("parts"))
-    return F.when(text.rlike(java), let(found, spans)).otherwise(F.array().cast(_SPANS))
+
+def pattern_spans(text: Column, pattern: str) -> Column:
+    """[start, end) in UTF-8 bytes of a pattern's matches; empty matches are left out."""
+    java = regex.checked(pattern)
+    spans = with_matches(text, java, lambda _, spans: F.filter(spans, lambda x: x["end"] > x["start"]), F.octet_length)
+    return F.when(text.rlike(java), spans).otherwise(F.array().cast(_SPANS))

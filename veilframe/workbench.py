@@ -207,18 +207,16 @@ class Workbench:
         return {"sheet_id": new, "headers": headers(made), "row_count": rows, "skipped": source.count() - rows}
 
     def extract(self, sheet_id: int, column: str, rule_ids: Sequence[str], gender_column: str | None = None, phone_prefixes: Sequence[str] = (), idcard_allow_leading_zero: bool = False, join_chunks: bool = True) -> dict[str, Any]:
-        """Valid finds of the rules in a new sheet. Sheets of a text that was cut into chunks are searched across the cuts, unless join_chunks is False."""
+        """Valid finds of the rules in a new sheet. Rows of a txt import are searched as one text without separators, unless join_chunks is False."""
         source = self.data(sheet_id)
         columns.check_column(source, column)
         rules = [self.rules.get(r) for r in rule_ids]
         session = self.sessions[self.sheets[sheet_id]["session_id"]]
-        searched = source
-        if join_chunks and session["source_type"] == "txt" and headers(source) == ["content"] and sources.plain.is_single_line(self.spark, session["source_path"]):
-            searched = source.groupBy().agg(F.min(ROW).alias(ROW), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ROW, "content"))), lambda x: x["content"]), "").alias("content"))  # one value that was cut on import
-        found = extract.extract(searched, column, rules, gender_column, validators.phone_prefixes(phone_prefixes), idcard_allow_leading_zero)
+        options = {"phone_prefixes": validators.phone_prefixes(phone_prefixes), "idcard_allow_leading_zero": idcard_allow_leading_zero, "joined": join_chunks and session["source_type"] == "txt"}
+        found = extract.extract(source, column, rules, gender_column, **options)
         made = number_rows(extract.extracted_sheet(found), in_files=False)
         new = self.add_sheet(session["id"], f"{column}_{extract.SUFFIX}", made)
-        skipped = extract.rows_without_candidates(source, column, rules).first()["skipped"]
+        skipped = extract.rows_without_candidates(source, column, rules, **options).first()["skipped"]
         self._log(sheet_id, "extract", {"column": column, "rules": list(rule_ids)})
         return {"sheet_id": new, "headers": headers(made), "row_count": self.data(new).count(), "skipped": skipped}
 
