@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tests.llm import cases
 from veilframe.llm import secrets
@@ -64,3 +65,15 @@ def test_odd_rows(spark):
 def test_native_plan(spark):
     plan = secrets.scan(cases.documents(spark), bits(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_strings_and_many_spans(spark):
+    rng = random.Random(10)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    long = "<img src='data:image/png;base64," + pick(secrets.ALPHABET, 1_000_000) + "'> and more"
+    many = " ".join(rng.choice([pick("0123456789abcdef", 26), pick(secrets.ALPHABET, 30), "token=" + pick("abcXYZ", 9), "plain words, é", pick("0123456789abcdef", 30) + "_" + pick("XYZ", 3)]) for _ in range(6_000))
+    docs = spark.createDataFrame([(0, long), (1, many)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets.scan(docs, bits(spark)).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {0: brute_force(long, bits(spark)), 1: brute_force(many, bits(spark))} and got[1][3] > 600

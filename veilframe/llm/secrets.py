@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.transforms import let, running
+
 #: Kinds in the order that breaks ties, with pattern, group that is measured and its least length (fixed values).
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -35,24 +37,38 @@ def _prefilter(pattern: str, least: int) -> str:
     return {r"AKIA[A-Z0-9]+": r"AKIA[A-Z0-9]{%d}" % (least - 4), r"[0-9a-f]+": r"[0-9a-f]{%d}" % least}.get(pattern, pattern)
 
 
+def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
+    """array<start, end, string> of leftmost non-overlapping matches, [start, end) in code points, of which the group has at least `least` characters."""
+    found = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("measured"))
+
+    def of(m: Column) -> Column:
+        whole = m["whole"]
+        ends = running(F.zip_with(F.slice(m["parts"], F.lit(1), F.size(whole)), whole, lambda part, own: F.char_length(part) + F.char_length(own)), F.lit(0), lambda a, b: a + b)
+        return let(ends, lambda at: F.arrays_zip(at.alias("end"), whole.alias("string"), m["measured"].alias("measured")))
+
+    kept = F.filter(let(found, of), lambda x: F.char_length(x["measured"]) >= least)
+    return F.transform(kept, lambda x: F.struct((x["end"] - F.char_length(x["string"])).alias("start"), x["end"].alias("end"), x["string"].alias("string")))
+
+
 def find_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches, [start, end) in code points, of which the group has at least `least` characters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.split(text, pattern, -1)
-    found = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("part"), whole.alias("whole"), measured.alias("measured"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["part"])
-        end = start + F.char_length(x["whole"])
-        own = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["measured"]) >= least, F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    spans = F.aggregate(found, start, step)["spans"]
+    """The places of those matches, with their kind."""
+    spans = F.transform(_matches(text, pattern, group, least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
     return F.when(text.rlike(_prefilter(pattern, least)), spans).otherwise(F.array().cast(_SPANS))
 
 
+def apart(candidates: Column, base: Column) -> Column:
+    """The candidates (start, end, string) that overlap no base span: one sort of both and a running maximum of the ends of base spans."""
+    ends = F.transform(candidates, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), x["start"].alias("start"), x["string"].alias("string")))
+    starts = F.transform(base, lambda x: F.struct(x["start"].alias("at"), x["end"].alias("base"), F.lit(0).alias("start"), F.lit("").alias("string")))
+
+    def of(events: Column) -> Column:  # in order of a candidate's end and a base span's start: at a candidate, all base spans that start before its end are known
+        reached = running(F.transform(events, lambda e: e["base"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        return let(reached, lambda most: F.filter(F.arrays_zip(events.alias("own"), most.alias("most")), lambda x: (x["own"]["base"] == 0) & (x["most"] <= x["own"]["start"])))
+
+    kept = let(F.array_sort(F.concat(ends, starts)), of)
+    return F.transform(kept, lambda x: F.struct(x["own"]["start"].alias("start"), x["own"]["at"].alias("end"), x["own"]["string"].alias("string")))
+
+
 def transition_bits(samples: DataFrame, text_col: str = "text", random_col: str = "random") -> list[float]:
     """log2 of each transition's probability in random strings over that in ordinary ones, by first and second character of ALPHABET.
 
@@ -72,14 +88,15 @@ def transition_bits(samples: DataFrame, text_col: str = "text", random_col: str
 
 def likelihood_ratio(string: Column, bits: list[float]) -> Column:
     """Bits by which the string's transitions are likelier as random than as ordinary ones; other characters count for nothing."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in bits)), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(string, i, F.lit(1))) - 1
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in bits)), ",").cast("array<double>")  # folded to an array before the query runs
+    size = len(ALPHABET)
 
-    def step(acc: Column, i: Column) -> Column:
-        first, second = place(i), place(i + 1)
-        return acc + F.when((first >= 0) & (second >= 0), F.get(table, first * len(ALPHABET) + second)).otherwise(0.0)
+    def of(codes: Column) -> Column:
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.when((a >= 0) & (b >= 0), a * size + b))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, pair: acc + F.coalesce(F.get(table, pair), F.lit(0.0)))
 
-    return F.when(F.char_length(string) < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(string) - 1, F.lit(1))), F.lit(0.0), step))
+    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.when(F.char_length(string) < 2, 0.0).otherwise(let(codes, of))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_docs: int = LEARN_DOCS, random_strings: int = RANDOM_STRINGS) -> list[float]:
@@ -106,14 +123,13 @@ def scan(docs: DataFrame, bits: list[float], id_col: str = "doc_id", text_col: s
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         rows = rows.withColumn(f"_{kind}", find_spans(F.col("_text"), kind, rank, pattern, group, least))
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[f"_{kind}" for kind, *_ in BASE])))
-    rows = rows.withColumn("_other", find_spans(F.col("_text"), "random", len(BASE), CANDIDATE, 0, LEAST_LENGTH))
 
-    def random(x: Column) -> Column:
-        string = F.substr("_text", x["start"] + 1, x["end"] - x["start"])
-        apart = ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return apart & (likelihood_ratio(string, bits) >= least_bits * (F.char_length(string) - 1))
+    def random(own: Column) -> Column:
+        likely = F.filter(apart(own, F.col("_base")), lambda x: likelihood_ratio(x["string"], bits) >= least_bits * (F.char_length(x["string"]) - 1))
+        return F.transform(likely, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind")))
 
-    rows = rows.withColumn("_random", F.when(F.size("_other") > 0, F.filter("_other", random)).otherwise(F.col("_other")))
+    candidates = _matches(F.col("_text"), CANDIDATE, 0, LEAST_LENGTH)
+    rows = rows.withColumn("_random", F.when(F.col("_text").rlike(CANDIDATE), let(candidates, random)).otherwise(F.array().cast(_SPANS)))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return rows.select(
         "doc_id",
