@@ -19,7 +19,8 @@ def test_stages_follow_their_operators(spark, sf_dir):
     start = table(spark, sf_dir, "documents")
     model = toxicity.train(start, table(spark, sf_dir, "labels"))
     assert {r["doc_id"] for r in first} == {r["doc_id"] for r in start.collect() if model.score(r["text"]) < toxicity.THRESHOLD}
-    assert {r["doc_id"] for r in second} == {i for i, _, c, _ in brute_force([(r["doc_id"], r["text"]) for r in first]) if i == c}
+    near = brute_force([(r["doc_id"], r["text"]) for r in first], 5, 80, 100)
+    assert {r["doc_id"] for r in second} == {i for i, _, c, _ in near if i == c}
     items = [decontaminate.normalise(r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
     clean = {r["doc_id"] for r in second if not any(i in decontaminate.normalise(r["text"]) for i in items)}
     assert {r["doc_id"] for r in third} <= clean and len(third) >= 0.97 * len(clean)

@@ -11,6 +11,7 @@ leave a tile, only each row's number of links and one link to its group.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ WIDTH = 3
 NUMERATOR, DENOMINATOR = 90, 100
 #: Rows of a tile's side at most, columns of a slice, n-grams of a tile (8 bytes each): rows of long sets come in smaller tiles.
 TILE, SLICE, TILE_GRAMS = 1024, 4096, 1 << 23
-#: Candidates (some 100 bytes each) up to this number are broadcast to their texts; more are joined by a shuffle.
-BROADCAST_CANDIDATES = 200_000
+#: Candidates and the pivots they meet under are broadcast to their texts up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Sets that a task remembers to have put out already.
 REMEMBERED = 100_000
 
@@ -42,6 +43,7 @@ class Levels:
     def __init__(self, numerator: int, denominator: int):
         self.numerator, self.denominator = numerator, denominator
         self.least, self.most = [1], [denominator // numerator]
+        self.cut: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.most[-1] < size:
@@ -49,23 +51,45 @@ class Levels:
             self.most.append(self.least[-1] * self.denominator // self.numerator)
         return int(np.searchsorted(self.least, size, "right")) - 1
 
-    def blocks(self, level: int) -> int:
-        """One more than the n-grams that two similar sets of up to this level's sizes can have apart."""
-        while len(self.most) <= level:
-            self.of(self.most[-1] + 1)
-        return 2 * self.most[level] * (self.denominator - self.numerator) // (self.denominator + self.numerator) + 1
+    def blocks(self, level: int) -> tuple[int, int]:
+        """The number of column blocks, and how many of them two similar sets of up to this level's sizes can differ in: no more than the n-grams they have apart.
+
+        A set whose n-grams fill more blocks than that agrees on a filled one with each similar set. So
+        there are enough blocks that the smallest sets of a level nearly always fill as many, yet few,
+        as larger blocks have fewer chance agreements.
+        """
+        if level not in self.cut:
+            while len(self.most) <= level:
+                self.of(self.most[-1] + 1)
+            apart = 2 * self.most[level] * (self.denominator - self.numerator) // (self.denominator + self.numerator)
+            size, n = self.least[max(level - 1, 0)], apart + 1
+
+            def filled(n: int) -> float:
+                empty = n * math.exp(-size / n)
+                return n - empty - 4 * math.sqrt(empty)
+
+            while n < 2 * apart + 2 and filled(n) < apart + 1:
+                n += 1
+            self.cut[level] = n, apart
+        return self.cut[level]
 
 
 def block_hashes(grams: np.ndarray, levels: Levels) -> np.ndarray:
-    """A hash of the set's n-grams in each column block, at the level of its size and at the next one; its last five bits are the bits of the level's largest size."""
+    """A hash of the set's n-grams in each filled column block, at the level of its size and at the next one; its last five bits are the bits of the level's largest size.
+
+    A set that fills too few blocks has hashes of its empty ones too, as it may agree with a like set on those only.
+    """
     own = levels.of(len(grams))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
     found = []
     for level in (own, own + 1):
-        n = levels.blocks(level)
+        n, apart = levels.blocks(level)
         cuts = np.searchsorted(grams, np.arange(1, n, dtype=np.uint64) * np.uint64((2**64 - 1) // n))
         ends = np.concatenate([[0], cuts, [len(grams)]])
         hashed = mix(sums[ends[1:]] - sums[ends[:-1]] + mix(np.arange(n, dtype=np.uint64) + np.uint64(level << 40)))
+        filled = ends[1:] > ends[:-1]
+        if filled.sum() > apart:
+            hashed = hashed[filled]
         found.append(hashed >> np.uint64(5) << np.uint64(5) | np.uint64(min(levels.most[level].bit_length(), 31)))
     return np.concatenate(found).view(np.int64)
 
@@ -118,9 +142,19 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contents(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows can share an id, and so be wanted many times over
         for part in slices(batches):
-            grams = [shingle_set(t, width) for t in texts(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())], ["key", "grams"])
+            keys, contents = [], []
+            for text in texts(part.column("text")):
+                grams = shingle_set(text, width)
+                key = set_key(grams)
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    keys.append(key)
+                    contents.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(contents, pa.binary())], ["key", "grams"])
 
     return run
 
@@ -186,6 +220,12 @@ def _tile(numerator: int, denominator: int):
     return run
 
 
+def _if_narrow(chosen: DataFrame) -> DataFrame:
+    """The candidates marked for broadcast if their rows (100 bytes, and 16 for each pivot) stay under BROADCAST_BYTES."""
+    size = chosen.agg(F.sum(100 + 16 * F.size("of"))).first()[0] or 0
+    return F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen
+
+
 def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator: int, denominator: int, roots: bool = False) -> DataFrame:
     """_id (_NO_ID for null), n, key, component_id (null without links), n_links of every row; with `roots` also root, a set's key that only the row's component has."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("text"))
@@ -207,7 +247,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator:
     parts = F.col("at.parts")
     own = F.pmod(F.xxhash64("key"), parts).cast("int")
     tiles = (
-        contents.join(if_small(chosen, BROADCAST_CANDIDATES), "key")
+        contents.join(_if_narrow(chosen), "key")
         .select("key", "copies", "grams", F.col("of.pivot").alias("pivots"), F.explode("of").alias("at"))
         .select("key", "copies", "grams", "pivots", F.col("at.pivot").alias("pivot"), own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         .select("key", "copies", "grams", "pivots", "pivot", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
@@ -259,13 +299,15 @@ def _keys(width: int):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """docs with the row of the least id of each component of ngram_join, all columns as they are.
+    """docs with one row of each component of ngram_join, that of the least id, all columns as they are.
 
-    Of rows with equal ids and links, one stays in each component that has no lesser id; of those without
-    links one stays, one with words if there is any. Rows without an id stay.
+    Rows without links all stay, also those that share an id with others and those without words. Where
+    rows of a component share its least id, the one whose set has the greatest key stays, and one of rows
+    with equal sets. Rows without an id come after all others.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = written(docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").select(id_col), "repeated")
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    repeated = written(docs.groupBy(own_id.alias("_id")).count().filter(f"count > 1 or _id = {_NO_ID}").select("_id"), "repeated")
     some = not repeated.isEmpty()
     joined = _joined(docs.select(id_col, text_col), id_col, text_col, width, numerator, denominator, roots=some)
     linked = written(joined.filter(f"_id <> {_NO_ID} and component_id <> _id").select(F.col("_id").alias(id_col)).distinct(), "linked")
@@ -274,10 +316,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # An id stands for several rows here: which of them stays is told by their sets.
     again = if_small(repeated)
-    once = docs.join(again, id_col, "left_anti").join(if_small(linked), id_col, "left_anti").select(*columns)
-    ids = if_small(repeated.select(F.col(id_col).cast("long").alias("_id")))
-    rows = joined.join(ids, "_id", "left_semi").filter("component_id is null or component_id = _id")
-    stay = rows.groupBy("_id", F.coalesce("root", F.lit(b"")).alias("root")).agg(F.max(F.coalesce("key", F.lit(b""))).alias("key")).select("_id", "key")
-    several = docs.join(again, id_col, "left_semi").select(F.col(id_col).cast("long").alias("_id"), F.struct(*columns).alias("row"), _keys(width)(text_col).alias("key"))
-    several = several.join(written(stay, "stay"), ["_id", "key"], "left_semi").dropDuplicates(["_id", "key"])
-    return once.unionByName(several.select("row.*"))
+    marked = docs.select(own_id.alias("_id"), F.col(text_col).alias("_text"), F.struct(*columns).alias("row"))
+    once = marked.join(again, "_id", "left_anti").select("row.*").join(if_small(linked), id_col, "left_anti").select(*columns)
+    rows = joined.join(again, "_id", "left_semi").filter("key is not null and (component_id is null or component_id = _id)")
+    stay = rows.groupBy("_id", F.coalesce("root", "key").alias("root")).agg(F.max("key").alias("key")).select("_id", "key")
+    several = marked.join(again, "_id", "left_semi").select("_id", "row", _keys(width)("_text").alias("key"))
+    bare = several.filter(F.octet_length("key") == 0).select("row.*")
+    kept = several.filter(F.octet_length("key") > 0).join(written(stay, "stay"), ["_id", "key"], "left_semi").dropDuplicates(["_id", "key"])
+    return once.unionByName(kept.select("row.*")).unionByName(bare)
