@@ -8,6 +8,8 @@ from veilframe.llm import decontaminate, jaccard, mixing, packing, toxicity
 from veilframe.llm.common import table, written
 from veilframe.llm.queries import MIX_WEIGHTS, VOCABULARIES
 
+#: Near copies have this share of word shingles of this width in common.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -17,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs.select(*COLUMNS))
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=NEAR_WORDS, numerator=NEAR_PERCENT, denominator=100)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
