@@ -1,10 +1,12 @@
 import hashlib
+import random
 
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
 from tests.llm import cases
+from veilframe.llm import fingerprint
 from veilframe.llm.fingerprint import PrefixHashes, code_points, common_extension, equal_spans, fingerprint_documents
 
 
@@ -49,6 +51,36 @@ def test_edited_texts(spark):
     check(spark, [])
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abcdé汉 ") for _ in range(rng.randint(0, 12)))
+    bare = (None,) * 7
+    rows = [(None, text(), *bare) for _ in range(300)] + [(7, text(), *bare) for _ in range(200)] + [(9, "the same", *bare) for _ in range(60)] + [(k, text(), *bare) for k in range(100)]
+    got = check(spark, rows)
+    assert len(got) == len(rows)
+    plan = {}
+    real = fingerprint._bounds
+    monkeypatch.setattr(fingerprint, "_bounds", lambda *a: plan.setdefault("cuts", real(*a)))
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 20)
+    check(spark, rows)
+    ids, parts = plan["cuts"]
+    assert (ids == 7).sum() > 20 and (ids == 2**63 - 1).sum() > 20 and (ids == 9).sum() <= 2 and (parts[ids == 7] >= 0).all()
+
+
+def test_ids_that_no_double_holds(spark):
+    rng = random.Random(6)
+    check(spark, [(2**60 + rng.randrange(3000), f"text {k}", *(None,) * 7) for k in range(800)])
+    check(spark, [(s * (2**62 + 3 * k), f"text {k}", *(None,) * 7) for k in range(300) for s in (-1, 1)])
+
+
+def test_texts_on_both_sides_of_the_short_length():
+    base = "some words that go on for a while and then some others to be safe, all of them so that there is enough of it"
+    printed = lambda n: fingerprint.fingerprint(PrefixHashes(code_points(base[:n])))
+    for a, b in ((62, 66), (60, 70), (100, 104)):
+        assert fingerprint.likeness(printed(a), printed(b)) > 0.5
+    assert fingerprint.likeness(printed(62), printed(62)) == 1
+
+
 def test_likeness_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = fingerprint_documents(docs).filter("n_chars > 400").toPandas()

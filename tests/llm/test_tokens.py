@@ -1,13 +1,15 @@
+import json
 import random
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import cases
 from veilframe.llm import packing, token_count
-from veilframe.llm.queries import VOCABULARIES
+from veilframe.llm.queries import vocabulary
 
-JSON, RANKS = f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
+JSON, RANKS = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
 ODD = [*"ab cZ9.,'s\n\t é汉²Ⅳ\x1c\x1f\x85\xa0 　_-́🙂", "<|endoftext|>", "  ", "'ll", " \n", "ing"]
 
 
@@ -22,6 +24,15 @@ def test_counts_equal_the_library():
     assert [own.count(t) for t in some] == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
 
 
+def test_other_vocabularies_are_refused():
+    read = json.loads(open(JSON, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**read["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**read["model"], "ignore_merges": True}}, {"added_tokens": [{**read["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError, match=next(iter(change)).replace("model", "merges")):
+            token_count.TokenCounter(json.dumps({**read, **change}))
+    with pytest.raises(ValueError):
+        token_count.TokenCounter(open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read())
+
+
 def test_counts_of_rows(spark):
     library = Tokenizer.from_file(JSON)
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.count_tokens(cases.documents(spark), JSON).collect())

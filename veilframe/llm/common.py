@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.storage import fresh_path, shared_dir
+
 #: Rows of a batch that Python handles at once; keeps a worker's copies of long texts few.
 SLICE_ROWS = 512
 
@@ -18,29 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='veilframe-checkpoint-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The DataFrame written once to the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model may learn from (a null id counts as the text '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -9,6 +9,7 @@ hash of the whole text and the smallest distinct hashes of its fixed-width spans
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,13 @@ from veilframe.llm.common import slices, texts
 
 PRIME = (1 << 31) - 1
 BASES = (911382323, 972663749)
-#: Spans sketched, in code points: long texts, and those under SHORT code points.
+#: Spans sketched, in code points: of texts from SHORT code points on, and of those under twice as many.
 SPAN, SHORT_SPAN, SHORT = 16, 4, 64
 SKETCH = 64
 #: Documents of one range of ids (neighbours meet in a range); at least MIN_RANGES ranges.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 20_000, 1024, 20_000
+#: An id that fills so many ranges is cut by its texts, too.
+HOT_RANGES = 4
 
 _LAST = 2**63 - 1  # where rows without an id stand in the order
 _tables: dict[int, np.ndarray] = {}
@@ -95,8 +98,8 @@ def _sketch(hashes: PrefixHashes) -> np.ndarray:
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
-    width = min(n, SPAN if n >= SHORT else SHORT_SPAN)
-    order = hashes.spans(np.arange(n - width + 1), width) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+    widths = [min(n, w) for w, used in ((SHORT_SPAN, n < 2 * SHORT), (SPAN, n >= SHORT)) if used]  # both in between, so that texts on either side compare
+    order = np.concatenate([hashes.spans(np.arange(n - w + 1), w) for w in widths]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
     few = order[order < np.uint64(min(2**48, 4 * SKETCH * 2**48 // len(order)))]
     found = np.unique(few)
     if len(found) < SKETCH and len(few) < len(order):
@@ -175,23 +178,56 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs are not read.
 
     Ranges of ids are cut at ids of the table, so only the rows at a range's start are needed twice:
-    the text moves once. An id that many rows share is one range; its rows pass as a stream.
+    the text moves once. An id (or none) that fills several ranges is cut by the first bytes of its texts
+    as well; rows whose ids and first bytes are the same are in one range and pass as a stream.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_order"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    part = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_order"), part.alias("_part"))
     count = rows.count()
     ranges = min(max(MIN_RANGES, count // RANGE_ROWS), MAX_RANGES, max(1, count))
-    shares = ", ".join(f"{i / ranges}D" for i in range(ranges))
-    cuts = rows.select(F.expr(f"percentile_approx(_order, array({shares}), {max(10_000, 10 * ranges)})"), F.min("_order")).first()
-    bounds = np.unique(np.array([*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+    shared = docs.sparkSession.sparkContext.broadcast(_bounds(rows, ranges))
 
     @F.pandas_udf("array<struct<bucket:int,tail:boolean>>")
-    def places(order: pd.Series) -> pd.Series:
-        cut, ids = shared.value, order.to_numpy()
-        own = np.searchsorted(cut, ids, "right") - 1
-        first = cut[own] == ids
-        return pd.Series([[{"bucket": b, "tail": False}] + [{"bucket": (b - 1) % len(cut), "tail": True}] * f for b, f in zip(own.tolist(), first.tolist(), strict=True)])
-
-    placed = rows.withColumn("_place", F.explode(places("_order"))).select(F.col("_place.bucket").alias("_bucket"), F.col("_place.tail").alias("_tail"), "_order", "doc_id", "text")
-    dealt = placed.repartition("_bucket").sortWithinPartitions("_bucket", "_tail", "_order", "text")
-    return dealt.select("_bucket", "_tail", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
+    def places(order: pd.Series, part: pd.Series) -> pd.Series:
+        cut_ids, cut_parts = shared.value
+        ids, parts = order.to_numpy(), part.to_numpy()
+        own = np.searchsorted(cut_ids, ids, "right") - 1
+        for hot in np.unique(ids[(cut_ids[own] == ids) & (cut_parts[own] >= 0)]):
+            low, high = np.searchsorted(cut_ids, hot, "left"), np.searchsorted(cut_ids, hot, "right")
+            which = ids == hot
+            own[which] = low + np.searchsorted(cut_parts[low:high], parts[which], "right") - 1
+        first = (cut_ids[own] == ids) & ((cut_parts[own] < 0) | (cut_parts[own] == parts))
+        return pd.Series([[{"bucket": b, "tail": False}] + [{"bucket": (b - 1) % len(cut_ids), "tail": True}] * f for b, f in zip(own.tolist(), first.tolist(), strict=True)])
+
+    placed = rows.withColumn("_place", F.explode(places("_order", "_part"))).select(F.col("_place.bucket").alias("_bucket"), F.col("_place.tail").alias("_tail"), "_order", "doc_id", "text")
+    tasks = count // RANGE_ROWS
+    dealt = placed.repartition(tasks, "_bucket") if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else placed.repartition("_bucket")
+    return dealt.sortWithinPartitions("_bucket", "_tail", "_order", "text").select("_bucket", "_tail", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
+
+
+def _cuts(column: str, n: int):
+    return F.expr(f"percentile_approx({column}, array({', '.join(f'{i / n}D' for i in range(n))}), {max(10_000, 10 * n)})")
+
+
+def _bounds(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges start: ids of the table, and the first bytes of texts as a number for ids that fill HOT_RANGES ranges or more (-1 for others). A few numbers a range reach the driver."""
+    near, often = np.unique(np.array(rows.select(_cuts("_order", ranges)).first()[0] or [], np.int64), return_counts=True)
+    if not len(near):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(order: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(near, order.to_numpy(), "right") - 1, 0))
+
+    # percentiles are doubles, which are no exact ids above 2**53, so the least id from each on is looked up
+    least = {r["bucket"]: r["least"] for r in rows.groupBy(bucket("_order").alias("bucket")).agg(F.min("_order").alias("least")).collect()}
+    filled = {least[k]: int(often[k]) for k in least}
+    cuts = {(i, -1) for i, n in filled.items() if n < HOT_RANGES}
+    steps = {i: math.ceil(math.log2(n)) for i, n in filled.items() if n >= HOT_RANGES}
+    for step in set(steps.values()):
+        hot = rows.filter(F.col("_order").isin([i for i in steps if steps[i] == step]))
+        for row in hot.groupBy("_order").agg(_cuts("_part", 1 << step).alias("parts"), F.min("_part").alias("least")).collect():
+            cuts |= {(row["_order"], p) for p in {*row["parts"], row["least"]}}
+    ordered = sorted(cuts)
+    return np.array([i for i, _ in ordered], np.int64), np.array([p for _, p in ordered], np.int64)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import decontaminate, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
 from veilframe.llm.common import fresh_path, held_out, table
 
-#: Folder of the public vocabularies; a parameter of the operators that use one.
-VOCABULARIES = "/opt/tokenizers"
 #: Target weights of the mix; other sources weigh 1 each.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0, "src4": 0.5}
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary; operators that use one take its path as a parameter."""
+    return public_tokenizers.path(name)
+
+
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -37,11 +41,11 @@ def op5_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_heap_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

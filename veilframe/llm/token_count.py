@@ -36,6 +36,21 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _check(read: dict[str, Any]) -> None:
+    """Raises for what TokenCounter does not do: texts changed first, other pieces, other merges, special strings that take in what stands around them."""
+    model, cut = read["model"], read.get("pre_tokenizer") or {}
+    plain = {
+        "model": model.get("type", "BPE") == "BPE",
+        "normalizer": read.get("normalizer") is None,
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True),
+        "merges": not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in read.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        "truncation": read.get("truncation") is None and read.get("padding") is None,
+    }
+    if not all(plain.values()):
+        raise ValueError("vocabulary not supported: " + ", ".join(k for k, good in plain.items() if not good))
+
+
 class _Remembered(dict):
     def __init__(self, count: Any):
         super().__init__()
@@ -49,10 +64,14 @@ class _Remembered(dict):
 
 
 class TokenCounter:
-    """Counts as the tokenizers library does for a byte-level .json vocabulary without added begin or end tokens."""
+    """Counts as the tokenizers library does for a byte-level .json vocabulary without added begin or end tokens.
+
+    Vocabularies that cut or merge in another way are refused: ValueError.
+    """
 
     def __init__(self, description: str):
         read = json.loads(description)
+        _check(read)
         vocab = read["model"]["vocab"]
         self.byte = [vocab[s] for _, s in sorted(byte_symbols().items())]
         self.ranks: dict[int, tuple[int, int]] = {}

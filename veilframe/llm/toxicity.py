@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Confirmed: rows of labels with label 1. Unlabelled: any documents, whatever their label, chosen by
     a hash of the id. prior: the share of toxic documents; by default that among all labelled ones
-    that aren't held out. Without confirmed documents every text scores the prior.
+    that aren't held out. Without confirmed documents every text scores the prior. Most near copies in
+    the sample count once (see _distinct), so that a text copied often doesn't teach its words as signs.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum((F.col("label") == 1).cast("int"))).first()
