@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import decontaminate, jaccard, mixing, packing, toxicity
 from veilframe.llm.common import table, written
-from veilframe.llm.queries import MIX_WEIGHTS, VOCABULARIES
+from veilframe.llm.queries import MIX_WEIGHTS, vocabulary
 
 #: Near copies have this share of word shingles of this width in common.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
