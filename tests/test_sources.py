@@ -87,6 +87,19 @@ def test_xlsx(read, tmp_path):
     assert read("b.xlsx", path.read_bytes()) == (["name", "value"], [("x", "2"), (None, "true")])
 
 
+def test_xlsx_dates_and_order(read, tmp_path):
+    main, office, package = ('xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/relationships")
+    path = tmp_path / "made.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="b" sheetId="2" r:id="r2"/><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;x&quot;mm"/><numFmt numFmtId="165" formatCode="0.00&quot;day&quot;"/></numFmts><cellXfs><xf/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}/>")
+        cell = lambda at, v, s: f'<c r="{at}" s="{s}"><v>{v}</v></c>'
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {main}><sheetData><row>{cell("A1", 7, 0)}{cell("B1", 8, 0)}</row><row>{cell("A2", 45292, 1)}{cell("B2", 45292.75, 2)}</row><row>{cell("A3", 0.5, 1)}{cell("B3", 1.5, 3)}</row><row>{cell("A4", 1, 1)}</row></sheetData></worksheet>')
+    assert read("c.xlsx", path.read_bytes()) == (["7", "8"], [("2024-01-01", "2024-01-01T18:00:00"), ("12:00:00", "1.5"), ("1900-01-01", None)])
+
+
 def test_captures(spark, tmp_path):
     path = tmp_path / "d.tsv"
     path.write_text("1\t10.0.0.1\t8.8.8.8\tPOST\thost\t/api\t48656c6c6fzz4\tua\n\n2\t\t\tGET\n")

@@ -17,6 +17,7 @@ from veilframe.plans.rules import IDCARD_ANY_FIRST_DIGIT, Rule
 SUFFIX = "提取"
 #: Of joined rows: code points of a stretch that is searched at once, and of the text around it that is searched too.
 STRETCH, REACH = 32_768, 4096
+_FIRST = -(2**63)  # below any row number
 #: Rows whose lengths are summed as one.
 BLOCK_ROWS = 10_000
 
@@ -121,11 +122,20 @@ def joined_candidates(sheet: DataFrame, column: str, rules: Sequence[Rule], reac
         return F.when(F.col("text").rlike(java), F.filter(found, inside))
 
     hits = F.concat(*[F.coalesce(own(k, r), F.array().cast("array<struct<rule:int,at:bigint,value:string>>")) for k, r in enumerate(rules)])
-    found = joined_text(sheet, column, reach, stretch).select("pieces", F.explode(hits).alias("hit")).select("pieces", "hit.*")
-    row = F.array_max(F.filter("pieces", lambda p: p["at"] <= F.col("at")))["row"]
-    rowed = found.select(row.alias("source_row"), "rule", "at", "value")
+    event = lambda at, row, rule, value: F.struct(at.alias("at"), rule.alias("rule"), row.alias("row"), value.alias("value"))
+
+    def rowed(found: Column) -> Column:
+        """The matches with their rows: pieces and matches in order of their places, and the last row that each place has reached."""
+        pieces = F.transform("pieces", lambda p: event(p["at"], p["row"], F.lit(-1), F.lit("")))
+        matches = F.transform(found, lambda x: event(x["at"], F.lit(_FIRST), x["rule"], x["value"]))
+        with_rows = lambda all_: F.zip_with(all_, transforms.running(F.transform(all_, lambda e: e["row"]), F.lit(_FIRST), lambda a, b: F.greatest(a, b)), lambda e, row: event(e["at"], row, e["rule"], e["value"]))
+        return F.filter(transforms.let(F.array_sort(F.concat(pieces, matches)), with_rows), lambda e: e["rule"] >= 0)
+
+    found = transforms.let(hits, lambda own: F.when(F.size(own) > 0, rowed(own)))
+    rowed_hits = joined_text(sheet, column, reach, stretch).select(F.explode(found).alias("hit"))
+    rowed_hits = rowed_hits.select(F.col("hit.row").alias("source_row"), "hit.rule", "hit.at", "hit.value")
     place = F.row_number().over(Window.partitionBy("source_row", "rule").orderBy("at")) - 1
-    return rowed.select("source_row", "rule", place.alias("pos"), "value")
+    return rowed_hits.select("source_row", "rule", place.alias("pos"), "value")
 
 
 def extracted_sheet(found: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import sqlite3
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import sinks
@@ -12,10 +15,11 @@ from veilframe.functions import masking, transforms, validators
 from veilframe.operators import columns, extract, search, validate
 from veilframe.operators import sheet as sheets
 from veilframe.operators.sheet import ROW
-from veilframe.plans.rules import PRESETS, Rule, Segment, SegmentTemplate, SimpleTemplate, built_in
+from veilframe.plans.rules import PRESETS, Rule, RuleStore, Segment, SegmentTemplate, SimpleTemplate, built_in
 from veilframe.plans.script import ScriptRunner
-from veilframe.sources import logs, pcap, plain
+from veilframe.sources import archive, logs, pcap, plain
 from veilframe.storage import fresh_path
+from veilframe.workbench import Workbench
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -463,14 +467,72 @@ def top_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name AS after_undo, md5(c_name) AS after_redo FROM customer")
 def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What undoing and redoing a digest write: the column of the version before and of the one after, by row number."""
-    before = as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name")
-    after = columns.apply(before, "c_name", lambda c: transforms.digest(c, "md5"))
-    undone = after.drop("c_name").join(before, ROW)
-    redone = undone.drop("c_name").join(after, ROW)
+    """A digest that a workbench undoes and does again."""
+    bench = Workbench(spark, fresh_path(spark, "bench"))
+    sheet = bench.add_sheet(1, "customer", as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name"))
+    bench.hash(sheet, "c_name", "md5")
+    operation = bench.undoable(sheet)[0]["id"]
+    bench.undo(operation)
+    undone = bench.data(sheet)
+    bench.redo(operation)
+    redone = bench.data(sheet)
     return undone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_undo")).join(redone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_redo")), "c_custkey")
 
 
+@query(
+    """SELECT p_partkey AS _row_idx, c.col_idx, c.value, (len(string_split(c.value, 'bolt')) - 1)::INT AS places, CASE WHEN contains(c.value, 'bolt') THEN (strpos(c.value, 'bolt') - 1)::INT END AS first_start
+FROM (SELECT p_partkey, unnest([{'col_idx': 0, 'value': p_name}, {'col_idx': 1, 'value': p_type}]) AS c FROM part) WHERE contains(lower(c.value), 'bolt')"""
+)
+def search_rows_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows found by a keyword, all their cells that hold it, and its places in them (in its own case)."""
+    parts = as_sheet(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_type")
+    found = search.with_hits(search.search_rows(parts, "bolt"), "bolt").select(ROW, F.explode("hits").alias("hit")).select(ROW, "hit.*")
+    return found.select(ROW, "col_idx", "value", F.size("matches").alias("places"), F.get("matches", F.lit(0))["start"].alias("first_start"))
+
+
+@query("SELECT 2 * o_orderkey - 1 AS source_row, 0 AS rule_ord, 0 AS pos, '手机号' AS type_label, (13400000000 + o_orderkey * 99991)::VARCHAR AS value, length((13400000000 + o_orderkey * 99991)::VARCHAR) = 11 AS valid, '' AS note FROM orders WHERE (13400000000 + o_orderkey * 99991) < 100000000000")
+def extract_joined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that lie across the rows of a text."""
+    number = (F.lit(13400000000) + F.col("o_orderkey") * 99991).cast("string")
+    halves = F.array(F.struct(F.lit(1).alias("at"), F.concat(F.lit("to "), F.substring(number, 1, 5)).alias("content")), F.struct(F.lit(0).alias("at"), F.concat(F.substring(number, 6, 20), F.lit(" and ")).alias("content")))
+    pieces = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(halves).alias("piece")).select((F.col("o_orderkey") * 2 - F.col("piece.at")).alias(ROW), "piece.content")
+    return extract.extract(pieces, "content", [RULES["phone-extract"]], joined=True)
+
+
+@query(
+    """SELECT o_orderkey, ip, ok FROM (SELECT o_orderkey, printf('2001:db8::%x', o_orderkey) AS ip, o_orderkey < 65536 AS ok FROM orders UNION ALL SELECT o_orderkey, printf('1:2:3:4:5:6:7:%x', o_orderkey % 70000), o_orderkey % 70000 < 65536 FROM orders
+UNION ALL SELECT o_orderkey, printf('%x::1::2', o_orderkey % 999), false FROM orders UNION ALL SELECT o_orderkey, printf('::ffff:10.0.%d.1', o_orderkey % 300), o_orderkey % 300 < 256 FROM orders)"""
+)
+def validate_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    low = lambda c: F.lower(F.hex(c))
+    forms = F.array(F.concat(F.lit("2001:db8::"), low(key)), F.concat(F.lit("1:2:3:4:5:6:7:"), low(key % 70000)), F.concat(low(key % 999), F.lit("::1::2")), F.concat(F.lit("::ffff:10.0."), (key % 300).cast("string"), F.lit(".1")))
+    made = table(spark, sf_dir, "orders").select(key, F.explode(forms).alias("ip"))
+    return made.select("o_orderkey", "ip", validators.validated(F.col("ip"), {"validator": "ipv6"})["valid"].alias("ok"))
+
+
+@query("SELECT p_partkey AS _row_idx, p_brand AS value FROM part WHERE p_partkey BETWEEN 41 AND 70")
+def sheet_column_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.column_page(as_sheet(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand"), "p_brand", 40, 30)
+
+
+_KINDS = {"extract": ("bankcard", "idcard", "ip4", "ip6", "name", "phone"), "mask": ("name", "segment", "simple"), "validate": ("address", "birth", "email", "generic", "idcard", "name", "phone", "sex", "username")}
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}-{kind}', '{kind}', {str((n, kind) != ('ip6', 'extract')).lower()}, {'NULL' if (n, kind) != ('name', 'mask') else repr('#')})" for kind, names in _KINDS.items() for n in names)
+    + ", ('own', 'mask', true, '*')) AS t(rule_id, kind, enabled, replacement)"
+)
+def rule_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a store: those it starts with, one switched off, one changed, one added; by way of their JSON form."""
+    store = RuleStore()
+    store.toggle("ip6-extract", False)
+    store.update_params("name-mask", replacement="#")
+    store.register(Rule("own", "own", "mask", replacement="*"))
+    rules = [Rule.from_json(r.to_json()) for r in store.list()]
+    return spark.createDataFrame([(r.id, r.kind, r.enabled, r.replacement) for r in rules], "rule_id string, kind string, enabled boolean, replacement string")
+
+
 # sources and sinks, by way of files in the shared folder
 
 
@@ -563,3 +625,86 @@ def validate_cross_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = made.select(ROW, F.concat("base", validators.idcard_check(F.col("base"))).alias("idcard"), "birth", "sex")
     rule = validate.ColumnRule("idcard", RULES["idcard-validate"], validate.CrossField("sex", "birth"))
     return validate.reasons(validate.with_reasons(own, [rule]))
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> str:
+    """Bytes that the driver made, as a file in the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY __table, k) AS _row_idx, __table, n_nationkey, n_name, share, r_regionkey, r_name FROM (
+SELECT 'nation' AS __table, n_nationkey AS k, n_nationkey::VARCHAR AS n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey // 2)::VARCHAR ELSE (n_nationkey // 2)::VARCHAR || '.5' END AS share, '' AS r_regionkey, '' AS r_name FROM nation
+UNION ALL SELECT 'region', r_regionkey, '', '', '', r_regionkey::VARCHAR, r_name FROM region)"""
+)
+def source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database of two tables that don't grow."""
+    made = sqlite3.connect(":memory:")
+    made.execute("CREATE TABLE region (r_regionkey INTEGER, r_name TEXT)")
+    made.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, share REAL)")
+    made.executemany("INSERT INTO region VALUES (?, ?)", [(r["r_regionkey"], r["r_name"]) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()])
+    made.executemany("INSERT INTO nation VALUES (?, ?, ?)", [(r["n_nationkey"], r["n_name"], r["n_nationkey"] / 2) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()])
+    made.commit()
+    return archive.read_sqlite(spark, _put(spark, fresh_path(spark, "database") + ".db", made.serialize()))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS _row_idx, n_nationkey::VARCHAR AS key, n_name AS name, strftime(DATE '2024-01-01' + n_nationkey::INT, '%Y-%m-%d') AS day FROM nation")
+def source_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook whose first sheet is not its first file, with dates."""
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    text = lambda t: f'<c t="inlineStr"><is><t>{t}</t></is></c>'
+    rows = ["".join(map(text, ("key", "name", "day")))]
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        rows.append(f'<c><v>{r["n_nationkey"]}</v></c>{text(r["n_name"])}<c s="1"><v>{45292 + r["n_nationkey"]}</v></c>')
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="nations" sheetId="2" r:id="b"/><sheet name="empty" sheetId="1" r:id="a"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"/>')
+        book.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{r}</row>" for r in rows)}</sheetData></worksheet>')
+    return archive.read_xlsx(spark, _put(spark, fresh_path(spark, "workbook") + ".xlsx", held.getvalue()))
+
+
+@query(
+    """WITH t AS (SELECT repeat(string_agg(n_name || '-', '' ORDER BY n_nationkey), 60) AS text FROM nation)
+SELECT i::BIGINT AS _row_idx, substr(text, 4096 * (i - 1) + 1, 4096) AS content FROM t, LATERAL (SELECT unnest(range(1, (length(text) + 4095) // 4096 + 1)) AS i)"""
+)
+def source_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of one line, cut on import."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: F.concat(n["n_name"], F.lit("-"))), "")  # 25 names
+    made = table(spark, sf_dir, "nation").agg(F.repeat(names, 60).alias("line")).select(F.lit(1).alias(ROW), "line")
+    return plain.read_txt(spark, _file(spark, made, "txt"))
+
+
+def _events(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """Events as log lines, read again."""
+    return logs.read_log(spark, _file(spark, table(spark, sf_dir, "events").select(F.col("event_id").alias(ROW), line.alias("line")), "log"))
+
+
+_COMMON = """'h' || user_id || ' - - [' || strftime(ts, '%d/%m/%Y:%H:%M:%S') || '] "GET /' || event_type || ' HTTP/1.1" 200 ' || event_id"""
+
+
+@query(f"SELECT row_number() OVER (ORDER BY event_id) AS _row_idx, 'h' || user_id AS remote_host, '-' AS ident, '-' AS remote_user, strftime(ts, '%d/%m/%Y:%H:%M:%S') AS time_local, 'GET' AS request_method, '/' || event_type AS request_url, 'HTTP/1.1' AS request_protocol, '200' AS status, event_id::VARCHAR AS body_bytes_sent, {_COMMON} AS raw_line FROM events")
+def source_log_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.date_format("ts", "dd/MM/yyyy:HH:mm:ss")
+    return _events(spark, sf_dir, F.concat(F.lit("h"), F.col("user_id").cast("string"), F.lit(" - - ["), stamp, F.lit('] "GET /'), "event_type", F.lit(' HTTP/1.1" 200 '), F.col("event_id").cast("string")))
+
+
+_PID = "CASE WHEN event_id % 2 = 0 THEN '[' || event_id || ']' ELSE '' END"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY event_id) AS _row_idx, strftime(ts, '%b %d %H:%M:%S') AS timestamp, 'node' || user_id AS host, event_type AS process, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE '' END AS pid, 'value of ' || user_id AS message, strftime(ts, '%b %d %H:%M:%S') || ' node' || user_id || ' ' || event_type || {_PID} || ': value of ' || user_id AS raw_line FROM events")
+def source_log_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, pid = F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).otherwise("")
+    return _events(spark, sf_dir, F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" node"), user, F.lit(" "), "event_type", pid, F.lit(": value of "), user))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS _row_idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN event_id % 3 = 0 THEN 'WARN' ELSE 'INFO' END AS level, 't' || user_id AS thread, event_type || ' ' || props AS message, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE WHEN event_id % 3 = 0 THEN 'WARN' ELSE 'INFO' END || ' [t' || user_id || '] ' || event_type || ' ' || props AS raw_line FROM events")
+def source_log_app(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("event_id") % 3 == 0, " WARN [t").otherwise(" INFO [t")
+    return _events(spark, sf_dir, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, F.col("user_id").cast("string"), F.lit("] "), "event_type", F.lit(" "), "props"))

@@ -7,6 +7,7 @@ import re
 import sqlite3
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from decimal import Decimal
 from typing import Any
 from xml.etree import ElementTree
@@ -19,6 +20,8 @@ from veilframe.errors import DataSourceError
 from veilframe.operators.sheet import ROW
 
 BATCH_ROWS = 2000
+_RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+_OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -110,7 +113,34 @@ def _column(reference: str) -> int:
     return number - 1
 
 
-def _xlsx_value(cell: ElementTree.Element, shared: list[str]) -> str:
+def _is_date(code: str) -> bool:
+    """Whether a number format shows dates or times: it has one of their letters outside quotes, brackets and escapes."""
+    return bool(re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.|general', "", code.lower())))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    styles = ElementTree.parse(book.open("xl/styles.xml"))
+    custom = {f.get("numFmtId"): f.get("formatCode", "") for f in styles.iter(f"{_SHEET}numFmt")}
+    built_in = {*map(str, range(14, 23)), *map(str, range(27, 37)), *map(str, range(45, 48)), *map(str, range(50, 59))}  # fixed values
+    cells = styles.find(f"{_SHEET}cellXfs")
+    numbers = [x.get("numFmtId", "0") for x in ([] if cells is None else cells)]
+    return {i for i, n in enumerate(numbers) if (_is_date(custom[n]) if n in custom else n in built_in)}
+
+
+def date_text(serial: float, from_1904: bool = False) -> str:
+    """ISO text of a day number: a date, with the time if it isn't midnight; under one day the time alone."""
+    seconds = round(serial * 86400)
+    moment = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if seconds >= 60 * 86400 else 31)  # day 60 never was
+    moment += timedelta(seconds=seconds)
+    if 0 <= seconds < 86400:
+        return moment.strftime("%H:%M:%S")
+    return moment.strftime("%Y-%m-%dT%H:%M:%S" if seconds % 86400 else "%Y-%m-%d")
+
+
+def _xlsx_value(cell: ElementTree.Element, shared: list[str], dates: set[int], from_1904: bool) -> str:
     kind, value = cell.get("t", "n"), cell.findtext(f"{_SHEET}v") or ""
     if kind == "s":
         return shared[int(value)] if value else ""
@@ -118,27 +148,43 @@ def _xlsx_value(cell: ElementTree.Element, shared: list[str]) -> str:
         return "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
     if kind == "b":
         return "true" if value == "1" else "false"
+    if kind == "n" and value and int(cell.get("s", "0")) in dates:
+        return date_text(float(value), from_1904)
     if kind == "n" and value:
         return number_text(float(value)) if re.search("[.eE]", value) else value
     return value
 
 
+def _first_sheet(book: zipfile.ZipFile) -> tuple[str, bool]:
+    """The part of the workbook's first sheet, in the workbook's own order, and whether days count from 1904."""
+    if "xl/workbook.xml" not in book.namelist():  # not whole, but the sheets can be read by number
+        return min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0])), False
+    workbook = ElementTree.parse(book.open("xl/workbook.xml"))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).iter(f"{_RELATION}Relationship")}
+    first = next(workbook.iter(f"{_SHEET}sheet"), None)
+    if first is None:
+        raise DataSourceError("not a readable workbook: no sheets")
+    target = targets[first.get(f"{_OFFICE}id")]
+    properties = workbook.find(f"{_SHEET}workbookPr")
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}", properties is not None and properties.get("date1904") in ("1", "true")
+
+
 def _xlsx_rows(data: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
     try:
         book = zipfile.ZipFile(io.BytesIO(data))
-        names = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        shared = []
+        part, from_1904 = _first_sheet(book)
+        shared, dates = [], _date_styles(book)
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        for at, (_, row) in enumerate(e for e in ElementTree.iterparse(book.open(names[0])) if e[1].tag == f"{_SHEET}row"):
-            yield "sheet", at, {str(_column(c.get("r")) if c.get("r") else i): _xlsx_value(c, shared) for i, c in enumerate(row.iter(f"{_SHEET}c"))}
+        for at, (_, row) in enumerate(e for e in ElementTree.iterparse(book.open(part)) if e[1].tag == f"{_SHEET}row"):
+            yield "sheet", at, {str(_column(c.get("r")) if c.get("r") else i): _xlsx_value(c, shared, dates, from_1904) for i, c in enumerate(row.iter(f"{_SHEET}c"))}
             row.clear()
-    except (zipfile.BadZipFile, ElementTree.ParseError, IndexError, KeyError) as e:
+    except (zipfile.BadZipFile, ElementTree.ParseError, IndexError, KeyError, ValueError) as e:
         raise DataSourceError(f"not a readable workbook: {e}") from None
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first worksheet: its first row has the headers; empty cells are null. Dates are shown as stored."""
+    """The first worksheet: its first row has the headers; empty cells are null. Dates are ISO text."""
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_contents(_xlsx_rows), _CELLS)
     head = rows.filter("at = 0").first()
     if head is None:

@@ -29,15 +29,24 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(text).withColumn("value", F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", ""))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True, strict_utf8: bool = True) -> DataFrame:
+def _probe_csv(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a file isn't UTF-8, and whether a line has an odd number of quotes, as records that go over several lines have: one narrow pass."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    found = text.agg(F.max(~F.is_valid_utf8("value")), F.max(quotes % 2 == 1)).first()
+    return bool(found[0]), bool(found[1])
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None, strict_utf8: bool = True) -> DataFrame:
     """First record: headers. Short records are filled with null, further cells dropped, "" is null, nothing is typed.
 
-    Of columns with the same header the last one stays. multi_line=False lets Spark split large files
-    whose quoted values have no line breaks.
+    Of columns with the same header the last one stays. Files in which no record goes over several lines
+    are split among tasks; others are read by one task each. multi_line says which, if it is known.
     """
-    if strict_utf8:
-        require_utf8(spark, path)
-    options = {"sep": sep, "multiLine": multi_line, "quote": '"', "escape": '"'}
+    broken, open_quotes = _probe_csv(spark, path) if strict_utf8 or multi_line is None else (False, False)
+    if strict_utf8 and broken:
+        raise DataSourceError(f"{path} isn't valid UTF-8")
+    options = {"sep": sep, "multiLine": open_quotes if multi_line is None else multi_line, "quote": '"', "escape": '"'}
     first = spark.read.csv(path, header=False, inferSchema=False, **options).first() if not spark.read.text(path).isEmpty() else None
     if first is None:
         return spark.createDataFrame([], f"{ROW} long")
@@ -108,4 +117,4 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
     if not is_single_line(spark, path):
         return lines(spark, path).withColumnRenamed("value", "content")
     text = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", ""))
-    return text.mapInArrow(_chunked, f"{ROW} long, content string")
+    return number_rows(text.mapInArrow(_chunked, f"{ROW} long, content string").select("content"), in_files=False)
