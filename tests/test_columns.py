@@ -170,3 +170,13 @@ def test_many_spans_in_one_cell(spark):
     want = [(5 * k + 2, 5 * k + 4) for k in range(100_000)]
     for made in (transforms.keyword_spans, transforms.pattern_spans):
         assert [tuple(s) for s in over(spark, [text], lambda c, made=made: made(c, "ab"))[0]] == want
+
+
+def test_scripts_and_greedy_repetitions(spark):
+    assert over(spark, ["汉字x", "xπ", "ab"], lambda c: c.rlike(regex.checked(r"^\p{Han}+x")), lambda c: c.rlike(regex.checked(r"[\p{Greek}]$")), lambda c: c.rlike(regex.checked(r"^\P{Han}\p{L}$"))) == [(True, False, False), (False, True, True), (False, False, True)]
+    assert regex.translate(r"\\p{Han}") == r"(?U)\\p{Han}" and regex.translate(r"\p{Alpha}{2}?") == r"(?U)\p{Alpha}{2}?"
+    for bad in ("a*+", "a++b", "a?+", "a{2,3}+", "(?>a)b"):
+        with pytest.raises(InvalidInput):
+            regex.checked(bad)
+    for good in ("[*+]+", r"\++", "a+?", r"\p{Han}+", "a{2}", "(a+)+"):
+        regex.checked(good)

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from veilframe.errors import InvalidInput
 
 _group = re.compile(r"\(\?P?<([A-Za-z_][A-Za-z0-9_]*)>")
+_counted = re.compile(r"\{\d+(?:,\d*)?\}\+")
+_property = re.compile(r"((?<!\\)(?:\\\\)*\\[pP])\{(\^?)(?!Is|In|java)([A-Z][A-Za-z_]{2,})\}")
+#: Names that Java knows without a prefix (fixed values).
+_POSIX = ("Lower", "Upper", "ASCII", "Alpha", "Digit", "Alnum", "Punct", "Graph", "Print", "Blank", "Cntrl", "XDigit", "Space")
 _reference = re.compile(r"\$(?:\$|\{([^}]*)\}|([0-9A-Za-z_]+))")
 
 
@@ -40,10 +44,14 @@ def translate(pattern: str) -> str:
             raise InvalidInput(f"look-around is not supported: {pattern}")
         if not in_class and re.fullmatch(r"\\[1-9]", token):
             raise InvalidInput(f"back-references are not supported: {pattern}")
+        if not in_class and pattern.startswith("(?>", k):
+            raise InvalidInput(f"atomic groups are not supported: {pattern}")
+        if not in_class and (token == "+" and out[-1:] in (["*"], ["+"], ["?"]) or token == "{" and _counted.match(pattern, k)):
+            raise InvalidInput(f"repetitions that give nothing back are not supported: {pattern}")
         if token == "$" and not in_class and not multiline:
             token = r"\z"
         out.append(token)
-    text = "".join(out)
+    text = _property.sub(lambda m: m[0] if m[3] in _POSIX else f"{m[1]}{{{m[2]}Is{m[3]}}}", "".join(out))
 
     def rename(_: re.Match) -> str:
         nonlocal named
