@@ -8,7 +8,7 @@ import pytest
 from veilframe import sinks, sources
 from veilframe.errors import DataSourceError, DependencyMissing, InvalidInput, Unsupported
 from veilframe.operators.sheet import ROW, headers, number_rows
-from veilframe.plans.script import ScriptRunner, statements
+from veilframe.plans.script import ScriptRunner, joined_inserts, statements
 
 
 @pytest.fixture
@@ -155,6 +155,14 @@ def texts(lines):
     return [r["line"] for r in lines.orderBy(*[c for c in (ROW, "at") if c in lines.columns]).collect()]
 
 
+def test_many_inserts_make_one_plan(spark):
+    script = ["CREATE TABLE t (a INT, b TEXT)", *[f"INSERT INTO t VALUES ({k}, 'x, {k}')" for k in range(300)], "INSERT INTO t (b) VALUES ('own')", "INSERT INTO t VALUES (7, 'last')"]
+    joined = joined_inserts(script)
+    assert len(joined) == 4 and joined[0] == script[0] and joined[2:] == script[-2:]
+    got = ScriptRunner(spark).script(";".join([*script, "SELECT count(*) AS n, sum(a) AS s, max(b) AS b FROM t"])).result
+    assert [tuple(r) for r in got.collect()] == [("302", str(sum(range(300)) + 7), "x, 99")]
+
+
 def test_exports(spark, tmp_path):
     own = sheet(spark, [("a;b", None), ('say "x"', "l\nm")], ["one", "status"])
     assert texts(sinks.csv_lines(own, sep=";")) == ["﻿one;status", '"a;b";', '"say ""x""";"l\nm"']

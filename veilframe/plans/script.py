@@ -68,6 +68,20 @@ def _type(declared: str) -> str:
     return "double" if re.search("real|floa|doub|dec|num", declared) else "string"
 
 
+def joined_inserts(found: list[str]) -> list[str]:
+    """The statements, with INSERTs of values that follow each other into the same columns as one, so that a dump makes few plans."""
+    groups, last = [], None
+    for s in found:
+        m = _insert.match(s)
+        head = (m[1], m[2]) if m and m[3][:6].lower() == "values" else None
+        if head is not None and head == last:
+            groups[-1].append(m[3][6:].strip())
+        else:
+            groups.append([s])
+        last = head
+    return [", ".join(g) for g in groups]
+
+
 @dataclass
 class ScriptResult:
     """The combined result of a script's queries, and the tables it leaves."""
@@ -195,9 +209,8 @@ class ScriptRunner:
         """All other statements run before the queries, whose results are united by column name; without one the last table made is the result."""
         found = statements(text)
         is_query = lambda s: re.match(r"(?i)select\b", s) is not None
-        for s in found:
-            if not is_query(s):
-                self.run(s)
+        for s in joined_inserts([s for s in found if not is_query(s)]):
+            self.run(s)
         queries = [s for s in found if is_query(s)] or ([f"SELECT * FROM {self.last}"] if self.last else [])
         result = union_by_name([("", self._query(q)) for q in queries]) if queries else None
         return ScriptResult(result, self.tables)
