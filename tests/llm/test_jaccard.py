@@ -183,3 +183,26 @@ def test_components(spark, edges):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     assert got == {n: find(n) for n in list(parent)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
+def test_counts_of_column_ranges_lose_no_link(common_grams, only_a, only_b, seed):
+    drawn = np.random.default_rng(seed).integers(0, 2**64, common_grams + only_a + only_b, np.uint64, endpoint=False)
+    drawn[: common_grams // 2] >>= np.uint64(20)  # many in one range
+    a, b = np.unique(drawn[: common_grams + only_a]), np.unique(np.concatenate([drawn[:common_grams], drawn[common_grams + only_a :]]))
+    matrix = jaccard.counts_matrix([jaccard.column_counts(a), jaccard.column_counts(b)])
+    assert np.abs(matrix[0] - matrix[1]).sum() <= len(np.setxor1d(a, b))
+    live = np.triu(np.ones((2, 2), bool), 1)
+    sizes = np.array([len(a), len(b)])
+    linked = jaccard.overlaps([a, b], live, 80, 100)
+    assert not (linked & ~jaccard.possible(sizes, [jaccard.column_counts(s) for s in (a, b)], live, 80, 100)).any()
+
+
+def test_counts_of_column_ranges_tell_sets_apart():
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 2**64, 120, np.uint64, endpoint=False)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 2**64, 280, np.uint64, endpoint=False)])) for _ in range(20)]
+    live = np.triu(np.ones((20, 20), bool), 1)
+    found = jaccard.possible(np.array([len(s) for s in sets]), [jaccard.column_counts(s) for s in sets], live, 80, 100)
+    assert found.sum() < 0.05 * live.sum()

@@ -2,10 +2,12 @@
 
 Rows of the matrix are distinct shingle sets, columns are n-grams cut into blocks by hash. Set sizes
 bound how much two similar sets can differ, and so give a number of column blocks of which one must
-agree whole: only rows that agree on a block are multiplied. The product runs in tiles of rows by
-rows, adding up overlap counts over slices of columns and discarding pairs that their sizes no
-longer allow. Rows that many others agree with are cut over as many tiles as they need; no pairs
-leave a tile, only each row's number of links and one link to its group.
+agree whole: only rows that agree on a block meet. They meet in tiles of rows by rows, first by their
+sizes and counts of n-grams per column range, which bound how many n-grams two sets have apart from
+below; only the rows that have a pair left send their n-grams. The product then adds up overlap
+counts over slices of columns and discards pairs that their sizes no longer allow. Rows that many
+others agree with are cut over as many tiles as they need; no pairs leave a tile, only each row's
+number of links and one link to its group.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ WIDTH = 3
 NUMERATOR, DENOMINATOR = 90, 100
 #: Rows of a tile's side at most, columns of a slice, n-grams of a tile (8 bytes each): rows of long sets come in smaller tiles.
 TILE, SLICE, TILE_GRAMS = 1024, 4096, 1 << 23
-#: Candidates and the pivots they meet under are broadcast to their texts up to so many bytes; more are joined by a shuffle.
+#: Candidates and the tiles they meet in are broadcast to their texts up to so many bytes; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Rows that a task sifts: few bytes but many pairs, so that adaptive execution would give it too many.
+SIFT_ROWS = 10_000
 #: Sets that a task remembers to have put out already.
 REMEMBERED = 100_000
 
@@ -94,6 +98,19 @@ def block_hashes(grams: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(found).view(np.int64)
 
 
+def column_counts(grams: np.ndarray) -> bytes:
+    """The set's n-grams in each of 2**k equal ranges of columns, a byte each (255 at most): four to eight in a range on average."""
+    bits = max(len(grams).bit_length() - 3, 0)
+    own = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    return np.minimum(np.bincount(own, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def counts_matrix(counts: list[bytes]) -> np.ndarray:
+    """A row for each set, with as many ranges as the set of fewest has: neighbouring ranges of the others are added up."""
+    least = min(len(c) for c in counts)
+    return np.stack([np.frombuffer(c, np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for c in counts])
+
+
 def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -102,17 +119,19 @@ def _rows(width: int, numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(numerator, denominator), set()
         for part in slices(batches):
-            sizes, keys, blocks = [], [], []
+            sizes, keys, blocks, counts = [], [], [], []
             for text in texts(part.column("text")):
                 grams = shingle_set(text, width)
                 key = set_key(grams) if len(grams) else None
                 sizes.append(len(grams))
                 keys.append(key)
-                blocks.append(None if key is None or key in seen else block_hashes(grams, levels))
+                known = key is None or key in seen
+                blocks.append(None if known else block_hashes(grams, levels))
+                counts.append(None if known else column_counts(grams))
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))], ["_id", "n", "key", "blocks"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(blocks, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["_id", "n", "key", "blocks", "counts"])
 
     return run
 
@@ -188,20 +207,45 @@ def overlaps(sets: list[np.ndarray], live: np.ndarray, numerator: int, denominat
     return live & (denominator * counts >= numerator * (total - counts))
 
 
+def _pairs(frame: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a tile's rows are counted in it: those of its two parts that don't meet under a lesser pivot too."""
+    pivot, left, right = frame["pivot"][0], frame["left"][0], frame["right"][0]
+    n, part = len(frame), frame["part"].to_numpy()
+    live = np.triu(np.ones((n, n), bool), 1) if left == right else (part[:, None] == left) & (part[None, :] == right)
+    earlier = [[p for p in own if p < pivot] for own in frame["pivots"]]
+    known = {p: k for k, p in enumerate({p for own in earlier for p in own})}
+    if known:
+        meets = np.zeros((n, len(known)), np.float32)
+        for k, own in enumerate(earlier):
+            meets[k, [known[p] for p in own]] = 1
+        live &= meets @ meets.T == 0
+    return live
+
+
+def possible(sizes: np.ndarray, counts: list[bytes], live: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which of the live pairs may be linked: each n-gram that two counts of a range differ by is in one set only."""
+    total = sizes[:, None] + sizes[None, :]
+    apart = total - 2 * -(-numerator * total // (numerator + denominator))  # n-grams that linked sets have apart at most
+    live = live & (np.abs(sizes[:, None] - sizes[None, :]) <= apart)
+    matrix = counts_matrix(counts)
+    for k in np.flatnonzero(live.any(1)):
+        other = np.flatnonzero(live[k])
+        live[k, other] = np.abs(matrix[other] - matrix[k]).sum(1) <= apart[k, other]
+    return live
+
+
+def _sift(numerator: int, denominator: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        live = possible(frame["n"].to_numpy(np.int64), list(frame["counts"]), _pairs(frame), numerator, denominator)
+        return frame.loc[live.any(0) | live.any(1), ["key", "first_id", "copies", "pivots", "pivot", "part", "left", "right"]]
+
+    return run
+
+
 def _tile(numerator: int, denominator: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("key").reset_index(drop=True)
-        pivot, left, right = frame["pivot"][0], frame["left"][0], frame["right"][0]
-        n = len(frame)
-        part = frame["part"].to_numpy()
-        live = np.triu(np.ones((n, n), bool), 1) if left == right else (part[:, None] == left) & (part[None, :] == right)
-        earlier = [[p for p in own if p < pivot] for own in frame["pivots"]]
-        known = {p: k for k, p in enumerate({p for own in earlier for p in own})}
-        if known:  # a pair that meets under a lesser pivot too is counted there
-            meets = np.zeros((n, len(known)), np.float32)
-            for k, own in enumerate(earlier):
-                meets[k, [known[p] for p in own]] = 1
-            live &= meets @ meets.T == 0
+        live = _pairs(frame)
         linked = overlaps([np.frombuffer(g, np.uint64) for g in frame["grams"]], live, numerator, denominator)
         linked |= linked.T
         some = np.flatnonzero(linked.any(1))
@@ -220,17 +264,17 @@ def _tile(numerator: int, denominator: int):
     return run
 
 
-def _if_narrow(chosen: DataFrame) -> DataFrame:
-    """The candidates marked for broadcast if their rows (100 bytes, and 16 for each pivot) stay under BROADCAST_BYTES."""
-    size = chosen.agg(F.sum(100 + 16 * F.size("of"))).first()[0] or 0
-    return F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen
+def _if_narrow(sifted: DataFrame) -> DataFrame:
+    """The candidates marked for broadcast if their rows (100 bytes, and 8 for each pivot) stay under BROADCAST_BYTES."""
+    size = sifted.agg(F.sum(100 + 8 * F.size("pivots"))).first()[0] or 0
+    return F.broadcast(sifted) if size <= BROADCAST_BYTES else sifted
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator: int, denominator: int, roots: bool = False) -> DataFrame:
     """_id (_NO_ID for null), n, key, component_id (null without links), n_links of every row; with `roots` also root, a set's key that only the row's component has."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("text"))
-    rows = written(source.mapInArrow(_rows(width, numerator, denominator), "_id long, n long, key binary, blocks array<long>"), "shingles")
-    sets = rows.filter("n > 0").groupBy("key").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    rows = written(source.mapInArrow(_rows(width, numerator, denominator), "_id long, n long, key binary, blocks array<long>, counts binary"), "shingles")
+    sets = rows.filter("n > 0").groupBy("key").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("counts").alias("counts"))
 
     dealt = rows.select(F.explode("blocks").alias("block"), _short().alias("sid")).repartition("block").sortWithinPartitions("block", "sid")
     met = dealt.mapInArrow(_agreeing, "pivot long, sid long, bits int").groupBy("pivot", "sid").agg(F.max("bits").alias("bits"))
@@ -241,17 +285,22 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator:
     sizes = written(met.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / side).cast("int").alias("parts")), "pivots")
     members = groups.join(if_small(sizes), "pivot").groupBy("sid").agg(F.collect_list(F.struct("pivot", "parts")).alias("of"))  # pivots of one set: fewer than its blocks
 
-    chosen = written(sets.withColumn("sid", _short()).join(members, "sid").select("key", "first_id", "copies", "of"), "candidates")
-    wanted = if_small(chosen.select(F.col("first_id").alias("_id")).distinct())
-    contents = source.join(wanted, "_id", "left_semi").select("text").mapInArrow(_contents(width), "key binary, grams binary")
+    chosen = written(sets.withColumn("sid", _short()).join(members, "sid").select("key", "first_id", "copies", "n", "counts", "of"), "candidates")
     parts = F.col("at.parts")
     own = F.pmod(F.xxhash64("key"), parts).cast("int")
-    tiles = (
-        contents.join(_if_narrow(chosen), "key")
-        .select("key", "copies", "grams", F.col("of.pivot").alias("pivots"), F.explode("of").alias("at"))
-        .select("key", "copies", "grams", "pivots", F.col("at.pivot").alias("pivot"), own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("key", "copies", "grams", "pivots", "pivot", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+    met_in = (
+        chosen.select("key", "first_id", "copies", "n", "counts", F.col("of.pivot").alias("pivots"), F.explode("of").alias("at"))
+        .select("*", F.col("at.pivot").alias("pivot"), own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("key", "first_id", "copies", "n", "counts", "pivots", "pivot", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
     )
+    places = chosen.agg(F.sum(F.aggregate("of", F.lit(0).cast("long"), lambda n, at: n + at["parts"]))).first()[0] or 0
+    tasks = max(places // SIFT_ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sifted = met_in.repartition(tasks, "pivot", "left", "right").groupBy("pivot", "left", "right").applyInPandas(_sift(numerator, denominator), "key binary, first_id long, copies long, pivots array<long>, pivot long, part int, left int, right int")
+    sifted = written(sifted, "sifted")
+
+    wanted = if_small(written(sifted.select(F.col("first_id").alias("_id")).distinct(), "wanted"))
+    contents = source.join(wanted, "_id", "left_semi").select("text").mapInArrow(_contents(width), "key binary, grams binary")
+    tiles = contents.join(_if_narrow(sifted.drop("first_id")), "key")
     found = written(tiles.groupBy("pivot", "left", "right").applyInPandas(_tile(numerator, denominator), "key binary, links long, root binary"), "links")
 
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
