@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,12 +206,12 @@ def overlaps(sets: list[np.ndarray], live: np.ndarray, numerator: int, denominat
     return live & (denominator * counts >= numerator * (total - counts))
 
 
-def _pairs(frame: pd.DataFrame) -> np.ndarray:
+def _pairs(rows: pa.Table) -> np.ndarray:
     """Which pairs of a tile's rows are counted in it: those of its two parts that don't meet under a lesser pivot too."""
-    pivot, left, right = frame["pivot"][0], frame["left"][0], frame["right"][0]
-    n, part = len(frame), frame["part"].to_numpy()
+    pivot, left, right = (rows.column(c)[0].as_py() for c in ("pivot", "left", "right"))
+    n, part = rows.num_rows, rows.column("part").to_numpy()
     live = np.triu(np.ones((n, n), bool), 1) if left == right else (part[:, None] == left) & (part[None, :] == right)
-    earlier = [[p for p in own if p < pivot] for own in frame["pivots"]]
+    earlier = [[p for p in own if p < pivot] for own in rows.column("pivots").to_pylist()]
     known = {p: k for k, p in enumerate({p for own in earlier for p in own})}
     if known:
         meets = np.zeros((n, len(known)), np.float32)
@@ -222,6 +221,10 @@ def _pairs(frame: pd.DataFrame) -> np.ndarray:
     return live
 
 
+#: Columns of the rows that sifting leaves.
+SIFTED = [("key", pa.binary()), ("first_id", pa.int64()), ("copies", pa.int64()), ("pivots", pa.list_(pa.int64())), ("pivot", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())]
+
+
 def possible(sizes: np.ndarray, counts: list[bytes], live: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
     """Which of the live pairs may be linked: each n-gram that two counts of a range differ by is in one set only."""
     total = sizes[:, None] + sizes[None, :]
@@ -235,31 +238,33 @@ def possible(sizes: np.ndarray, counts: list[bytes], live: np.ndarray, numerator
 
 
 def _sift(numerator: int, denominator: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        live = possible(frame["n"].to_numpy(np.int64), list(frame["counts"]), _pairs(frame), numerator, denominator)
-        return frame.loc[live.any(0) | live.any(1), ["key", "first_id", "copies", "pivots", "pivot", "part", "left", "right"]]
+    def run(rows: pa.Table) -> pa.Table:
+        live = possible(rows.column("n").to_numpy(), rows.column("counts").to_pylist(), _pairs(rows), numerator, denominator)
+        kept = rows.select([name for name, _ in SIFTED]).filter(pa.array(live.any(0) | live.any(1)))
+        return kept.cast(pa.schema(SIFTED))
 
     return run
 
 
 def _tile(numerator: int, denominator: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("key").reset_index(drop=True)
-        live = _pairs(frame)
-        linked = overlaps([np.frombuffer(g, np.uint64) for g in frame["grams"]], live, numerator, denominator)
+    def run(rows: pa.Table) -> pa.Table:
+        first: dict[bytes, int] = {}
+        for k, key in enumerate(rows.column("key").to_pylist()):
+            first.setdefault(key, k)
+        if len(first) < rows.num_rows:
+            rows = rows.take(list(first.values()))
+        linked = overlaps([np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()], _pairs(rows), numerator, denominator)
         linked |= linked.T
         some = np.flatnonzero(linked.any(1))
-        if not len(some):
-            return pd.DataFrame({"key": [], "links": [], "root": []})
-        linked, own = linked[np.ix_(some, some)], frame.iloc[some]
+        linked = linked[np.ix_(some, some)]
         root = np.arange(len(some))
         while True:
-            lower = np.minimum(root, np.where(linked, root[None, :], len(some)).min(1))
+            lower = np.minimum(root, np.where(linked, root[None, :], len(some)).min(1, initial=len(some)))
             if (lower == root).all():
                 break
             root = lower
-        keys = own["key"].to_numpy()
-        return pd.DataFrame({"key": keys, "links": linked @ own["copies"].to_numpy(np.int64), "root": keys[root]})
+        keys, copies = rows.column("key").combine_chunks().take(pa.array(some)), rows.column("copies").to_numpy()[some]
+        return pa.table({"key": keys, "links": pa.array(linked @ copies, pa.int64()), "root": keys.take(pa.array(root))})
 
     return run
 
@@ -295,13 +300,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, numerator:
     )
     places = chosen.agg(F.sum(F.aggregate("of", F.lit(0).cast("long"), lambda n, at: n + at["parts"]))).first()[0] or 0
     tasks = max(places // SIFT_ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sifted = met_in.repartition(tasks, "pivot", "left", "right").groupBy("pivot", "left", "right").applyInPandas(_sift(numerator, denominator), "key binary, first_id long, copies long, pivots array<long>, pivot long, part int, left int, right int")
+    sifted = met_in.repartition(tasks, "pivot", "left", "right").groupBy("pivot", "left", "right").applyInArrow(_sift(numerator, denominator), "key binary, first_id long, copies long, pivots array<long>, pivot long, part int, left int, right int")
     sifted = written(sifted, "sifted")
 
     wanted = if_small(written(sifted.select(F.col("first_id").alias("_id")).distinct(), "wanted"))
     contents = source.join(wanted, "_id", "left_semi").select("text").mapInArrow(_contents(width), "key binary, grams binary")
     tiles = contents.join(_if_narrow(sifted.drop("first_id")), "key")
-    found = written(tiles.groupBy("pivot", "left", "right").applyInPandas(_tile(numerator, denominator), "key binary, links long, root binary"), "links")
+    found = written(tiles.groupBy("pivot", "left", "right").applyInArrow(_tile(numerator, denominator), "key binary, links long, root binary"), "links")
 
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     reached = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
