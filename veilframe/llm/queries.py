@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
+from veilframe.llm import decontaminate, fim, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
 from veilframe.llm.common import fresh_path, held_out, table
 
 #: Target weights of the mix; other sources weigh 1 each.
@@ -63,9 +64,15 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archive(spark, archive, payloads=False))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cuts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage)
+    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage, op11_fill_in_middle)
 }
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
@@ -114,5 +121,16 @@ coded AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM coded)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM firsts
+""",
+    "op11_fill_in_middle": """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+                 ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS c4 FROM hashed),
+cuts AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 90 THEN 'plain' WHEN c4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM parts
 """,
 }
