@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, fim, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
+from veilframe.llm import align, decontaminate, fim, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
 from veilframe.llm.common import fresh_path, held_out, table
 
 #: Target weights of the mix; other sources weigh 1 each.
@@ -70,9 +70,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage, op11_fill_in_middle)
+    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage, op11_fill_in_middle, op12_token_alignment)
 }
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
