@@ -10,11 +10,10 @@ a group's tokens are links. Counts of linked id pairs over the corpus are joined
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -25,14 +24,16 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.transforms import let
 from veilframe.llm.common import if_small, join_groups, texts, written
+from veilframe.llm.token_count import PIECES, byte_symbols
 from veilframe.llm.token_count import _check as check_byte_level
-from veilframe.llm.token_count import byte_symbols
 
 SPACE = "▁"
 #: Code points and rows of the texts whose words are aligned together.
 GROUP_CHARS, GROUP_ROWS = 1 << 21, 2048
 #: Words, and code points in them, that a worker remembers the tokens of; beyond either it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 1 << 24
+REMEMBERED, REMEMBERED_CHARS = 700_000, 1 << 24
+#: Words that are tokenised together.
+LEARN_BLOCK = 256
 #: Counts of id pairs up to this number (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A link is one number: A's id times this, plus B's id.
@@ -40,7 +41,7 @@ PAIR = 1 << 32
 
 _built: dict[str, Any] = {}
 _breaks = re.compile(r"\s ")
-_GROUP = "batch long, docs array<struct<doc_id:long,n_a:long,n_b:long,refs:array<int>>>, words array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
+_GROUP = "batch long, docs array<struct<doc_id:long,n_a:long,n_b:long,refs:array<int>>>, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, word_ends array<int>"
 
 
 def words(text: str) -> list[str]:
@@ -80,20 +81,27 @@ def check_pieces(model: bytes) -> None:
 
 
 class Encoder:
-    """Tokens of words under both vocabularies: ids, and where each ends in the word's bytes."""
+    """Tokens of words under both vocabularies: ids, and where each ends in the bytes of the word and the space before it."""
 
     def __init__(self, description: str, model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(description)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        read = json.loads(description)["model"]
         byte = {s: b for b, s in byte_symbols().items()}
-        read = json.loads(description)
-        self.a_bytes = {i: bytes(byte[c] for c in s) for s, i in read["model"]["vocab"].items() if all(c in byte for c in s)}
-        self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
+        ranks = {bytes(byte[c] for c in s): i for s, i in read["vocab"].items() if all(c in byte for c in s)}
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in read["merges"]]
+        first = len(byte)
+        if any(read["vocab"][s] >= first for s in byte) or [read["vocab"][s] for s in made] != list(range(first, first + len(made))):
+            raise ValueError("vocabulary not supported: ids not in the order of merges")
+        # where ids follow the merges, merging by rank gives the tokens of the description's own library
+        self.a = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks={s: i for s, i in ranks.items() if i < first + len(made)}, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.bytes: tuple[list[bytes], list[bytes]] = [b""] * (first + len(made)), [self._piece(k) for k in range(self.b.get_piece_size())]
+        for s, i in ranks.items():
+            if i < len(self.bytes[0]):
+                self.bytes[0][i] = s
+        self.sizes = tuple(np.array([len(x) for x in own], np.int64) for own in self.bytes)
         self.only_space = self.b.piece_to_id(SPACE)
         self._forget()
 
@@ -108,24 +116,31 @@ class Encoder:
         #: Of each vocabulary: ids and ends of all words one after another, and where each word's begin.
         self.ids, self.ends, self.starts = (array("i"), array("i")), (array("i"), array("i")), (array("q", [0]), array("q", [0]))
 
+    def _tokens(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_ordinary(f" {text}"), self.b.encode(text, num_threads=1) if text else [self.only_space]
+
     def _learn(self, new: list[str]) -> None:
-        spaced = [f" {w}" for w in new]
-        found = zip(spaced, (e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)), self.b.encode(new, num_threads=1), strict=True)
-        for word, a, b in found:
-            own = a, (b if word != " " else [self.only_space])
-            parts = [self.a_bytes.get(i, b"") for i in own[0]], [self.b_bytes[i] for i in own[1]]
-            data = word.encode()
-            self.good.append(all(b"".join(p) == data for p in parts))
-            for side in (0, 1):
-                self.ids[side].extend(own[side])
-                at = 0
-                for p in parts[side]:
-                    at += len(p)
-                    self.ends[side].append(at)
-                self.starts[side].append(len(self.ids[side]))
+        """The words, joined by spaces, are tokenised together; one by one where that could give other tokens or a vocabulary changes one."""
+        text = " ".join(new)
+        sizes = np.array([len(w.encode()) for w in new] if len(text) < len(text.encode()) else [len(w) for w in new]) + 1
+        whole, ends = f" {text}".encode(), np.cumsum(sizes)
+        tokens = self._tokens(text)
+        reached = [np.cumsum(self.sizes[side][tokens[side]]) for side in (0, 1)]
+        good = all(b"".join(map(self.bytes[side].__getitem__, tokens[side])) == whole for side in (0, 1))
+        if len(new) > 1 and not (good and all(w and not w[-1].isspace() for w in new)):
+            for w in new:
+                self._learn([w])
+            return
+        self.good.extend([good] * len(new))
+        for side in (0, 1):
+            until = np.searchsorted(reached[side], ends) + 1 if good else np.array([len(tokens[side])])
+            counts = np.diff(until, prepend=0)
+            self.ids[side].extend(tokens[side])
+            self.ends[side].frombytes((reached[side] - np.repeat(ends - sizes, counts)).astype(np.int32).tobytes())
+            self.starts[side].frombytes((until + self.starts[side][-1]).astype(np.int64).tobytes())
 
     def codes(self, cut: list[list[str]]) -> list[np.ndarray]:
-        """A number for each word of each text; words not seen before are tokenised together."""
+        """A number for each word of each text; words not seen before are tokenised in blocks."""
         if len(self.places) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         places, new = self.places, []
@@ -134,28 +149,31 @@ class Encoder:
                 places[w] = len(places)
                 self.chars += len(w)
                 new.append(w)
-        if new:
-            self._learn(new)
+        for start in range(0, len(new), LEARN_BLOCK):
+            self._learn(new[start : start + LEARN_BLOCK])
         return [np.fromiter(map(places.__getitem__, one), np.int64, len(one)) for one in cut]
 
-    def tokens(self, side: int, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Lists of ids and of ends, a list for each word."""
+    def tokens(self, side: int, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and where each ends, the words beginning at given places."""
         starts = np.frombuffer(self.starts[side], np.int64)
-        sizes = starts[codes + 1] - starts[codes]
-        offsets = np.append(0, np.cumsum(sizes))
-        at = np.repeat(starts[codes] - offsets[:-1], sizes) + np.arange(offsets[-1])
-        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)[at]) if len(at) else pa.array([], pa.int32())) for values in (self.ids[side], self.ends[side])]
-        return lists[0], lists[1]
+        counts = starts[codes + 1] - starts[codes]
+        offsets = np.cumsum(counts) - counts
+        at = np.repeat(starts[codes] - offsets, counts) + np.arange(counts.sum())
+        return np.frombuffer(self.ids[side], np.int32)[at], (np.frombuffer(self.ends[side], np.int32)[at] + np.repeat(begins, counts)).astype(np.int32)
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Bytes of words, each with the space before it."""
+        return np.frombuffer(self.ends[0], np.int32)[np.frombuffer(self.starts[0], np.int64)[codes + 1] - 1].astype(np.int64)
 
 
 def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]) -> pa.RecordBatch:
-    """One row: the texts as lists of places in the table of their distinct words, and that table."""
+    """One row: the texts as lists of places among their distinct words, and the tokens of these words, one after another as one text."""
     found = encoder.codes([words(t) if t else [] for t in many])
-    found = [c if all(map(encoder.good.__getitem__, c.tolist())) else c[:0] for c in found]
+    good = np.frombuffer(encoder.good, np.uint8) if encoder.good else np.zeros(0, np.uint8)
+    found = [c if good[c].all() else c[:0] for c in found]
     flat = np.concatenate(found)
     distinct, refs = np.unique(flat, return_inverse=True)
-    sizes = np.array([len(c) for c in found])
-    offsets = np.append(0, np.cumsum(sizes))
+    offsets = np.append(0, np.cumsum([len(c) for c in found]))
 
     def total(side: int) -> np.ndarray:
         starts = np.frombuffer(encoder.starts[side], np.int64)
@@ -164,13 +182,18 @@ def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]
     docs = pa.StructArray.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(total(0), pa.int64()), pa.array(total(1), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(refs.astype(np.int32)))], ["doc_id", "n_a", "n_b", "refs"]
     )
-    table = pa.StructArray.from_arrays([*encoder.tokens(0, distinct), *encoder.tokens(1, distinct)], ["a", "a_ends", "b", "b_ends"])
+    if len(distinct):
+        sizes = encoder.lengths(distinct)
+        ends = np.cumsum(sizes)
+        lists = [*encoder.tokens(0, distinct, ends - sizes), *encoder.tokens(1, distinct, ends - sizes), ends.astype(np.int32)]
+    else:
+        lists = [np.zeros(0, np.int32)] * 5
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), one(table)], ["batch", "docs", "words"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), *[one(pa.array(x)) for x in lists]], ["batch", "docs", "a", "a_ends", "b", "b_ends", "word_ends"])
 
 
 def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of some hundred texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words in words), words (a, a_ends, b, b_ends).
+    """Rows of some hundred texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), and of the row's distinct words, as one text: a, a_ends, b, b_ends (tokens), word_ends. Ends count bytes.
 
     byte_level, pieces: paths of a byte-level .json vocabulary and of a piece .model on the driver. Other
     kinds of vocabulary are refused: ValueError. Texts that are null, empty or change on the way through a
@@ -217,22 +240,40 @@ def _upto(own: Column, ends: Column) -> Column:
     return F.transform(places, lambda p, k: p - k)
 
 
-def aligned(word: Column) -> Column:
-    """struct<n_groups, links array<long>, line> of a word's tokens (a, a_ends, b, b_ends); line has ids as a1,a2|b1 of each group, joined by ;."""
+def aligned(row: Callable[[str], Column]) -> Column:
+    """array<struct<n_groups, links array<long>, line>> of the words of a row of tokenised; line has ids as a1,a2|b1 of each group, joined by ;."""
+    text = lambda name: row(name).cast("array<string>")
 
     def groups(at: Column) -> Column:
-        before = lambda side, k: F.coalesce(F.get(at[side], k - 2), F.lit(0))
-        own = lambda side, k: F.slice(word[side], before(side, k) + 1, F.get(at[side], k - 1) - before(side, k))
-        return F.transform(F.sequence(F.lit(1), F.size(at["a"])), lambda k: F.struct(own("a", k).alias("a"), own("b", k).alias("b")))
+        """struct<line, links> of each group, between one common end and the next."""
+
+        def of(a_end: Column, k: Column) -> Column:
+            b_end, a_start, b_start = F.get(at["b"], k), F.when(k > 0, F.get(at["a"], k - 1)).otherwise(0), F.when(k > 0, F.get(at["b"], k - 1)).otherwise(0)
+            n_a, n_b = a_end - a_start, b_end - b_start
+            own = lambda name, start, n: F.slice(at[name], start + 1, n)
+            pair = lambda x, y: x * F.lit(PAIR) + y
+            single = (n_a == 1) & (n_b == 1)
+            every = F.flatten(F.transform(own("a_ids", a_start, n_a), lambda x: F.transform(own("b_ids", b_start, n_b), lambda y: pair(x, y))))
+            links = F.when(single, F.array(pair(F.get(at["a_ids"], a_start), F.get(at["b_ids"], b_start)))).otherwise(every)
+            line = F.when(single, F.concat(F.get(at["a_text"], a_start), F.lit("|"), F.get(at["b_text"], b_start)))
+            line = line.otherwise(F.concat(F.array_join(own("a_text", a_start, n_a), ","), F.lit("|"), F.array_join(own("b_text", b_start, n_b), ",")))
+            return F.struct(line.alias("line"), links.alias("links"))
+
+        return F.transform(at["a"], of)
+
+    def by_word(found: Column, until: Column) -> Column:
+        def of(end: Column, k: Column) -> Column:
+            start = F.when(k > 0, F.get(until, k - 1)).otherwise(0)
+            own = F.slice(found, start + 1, end - start)
+            return let(own, lambda g: F.struct((end - start).alias("n_groups"), F.flatten(g["links"]).alias("links"), F.array_join(g["line"], ";").alias("line")))
+
+        return F.transform(until, of)
 
-    def result(found: Column) -> Column:
-        links = F.transform(found, lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: a * F.lit(PAIR) + b))))
-        ids = lambda own: F.array_join(own.cast("array<string>"), ",")
-        line = F.array_join(F.transform(found, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), line.alias("line"))
+    def of_ends(ends: Column) -> Column:
+        at = F.struct(_upto(row("a_ends"), ends).alias("a"), _upto(row("b_ends"), ends).alias("b"), row("a").alias("a_ids"), row("b").alias("b_ids"), text("a").alias("a_text"), text("b").alias("b_text"), _upto(ends, row("word_ends")).alias("words"))
+        return let(at, lambda x: let(groups(x), lambda found: by_word(found, x["words"])))
 
-    common = F.array_intersect(word["a_ends"], word["b_ends"])
-    return let(common, lambda ends: let(F.struct(_upto(word["a_ends"], ends).alias("a"), _upto(word["b_ends"], ends).alias("b")), lambda at: let(groups(at), result)))
+    return let(F.array_intersect(row("a_ends"), row("b_ends")), of_ends)
 
 
 def _documents(docs: Column, words: Column) -> Column:
@@ -253,7 +294,7 @@ def _documents(docs: Column, words: Column) -> Column:
 def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The alignment of all texts, written to the shared folder: batch, made (docs: an entry a document; links: of each distinct word), refs (each document's words)."""
     rows = tokenised(docs, byte_level, pieces, id_col, text_col)
-    made = let(F.transform("words", aligned), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), F.transform(own, lambda w: w["links"]).alias("links")))
+    made = let(aligned(F.col), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), F.transform(own, lambda w: w["links"]).alias("links")))
     return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned")
 
 
