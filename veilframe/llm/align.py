@@ -22,26 +22,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.transforms import let
 from veilframe.llm.common import if_small, join_groups, texts, written
 from veilframe.llm.token_count import PIECES, byte_symbols
 from veilframe.llm.token_count import _check as check_byte_level
 
 SPACE = "▁"
 #: Code points and rows of the texts whose words are aligned together.
-GROUP_CHARS, GROUP_ROWS = 1 << 21, 2048
+GROUP_CHARS, GROUP_ROWS = 1 << 19, 1024
 #: Words, and code points in them, that a worker remembers the tokens of; beyond either it starts anew.
 REMEMBERED, REMEMBERED_CHARS = 700_000, 1 << 24
 #: Words that are tokenised together.
 LEARN_BLOCK = 256
 #: Counts of id pairs up to this number (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
+#: Tokens of a word in which a place is looked up by going through them.
+SHORT_WORD = 32
 #: A link is one number: A's id times this, plus B's id.
 PAIR = 1 << 32
 
 _built: dict[str, Any] = {}
 _breaks = re.compile(r"\s ")
-_GROUP = "batch long, docs array<struct<doc_id:long,n_a:long,n_b:long,refs:array<int>>>, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, word_ends array<int>"
+_GROUP = "batch long, docs array<struct<doc_id:long,n_a:long,n_b:long,refs:array<int>>>, words array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
 
 
 def words(text: str) -> list[str]:
@@ -153,21 +154,18 @@ class Encoder:
             self._learn(new[start : start + LEARN_BLOCK])
         return [np.fromiter(map(places.__getitem__, one), np.int64, len(one)) for one in cut]
 
-    def tokens(self, side: int, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and where each ends, the words beginning at given places."""
+    def tokens(self, side: int, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Lists of ids and of ends, a list for each word."""
         starts = np.frombuffer(self.starts[side], np.int64)
         counts = starts[codes + 1] - starts[codes]
-        offsets = np.cumsum(counts) - counts
-        at = np.repeat(starts[codes] - offsets, counts) + np.arange(counts.sum())
-        return np.frombuffer(self.ids[side], np.int32)[at], (np.frombuffer(self.ends[side], np.int32)[at] + np.repeat(begins, counts)).astype(np.int32)
-
-    def lengths(self, codes: np.ndarray) -> np.ndarray:
-        """Bytes of words, each with the space before it."""
-        return np.frombuffer(self.ends[0], np.int32)[np.frombuffer(self.starts[0], np.int64)[codes + 1] - 1].astype(np.int64)
+        offsets = np.append(0, np.cumsum(counts))
+        at = np.repeat(starts[codes] - offsets[:-1], counts) + np.arange(offsets[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)[at] if len(at) else np.zeros(0, np.int32))) for values in (self.ids[side], self.ends[side])]
+        return lists[0], lists[1]
 
 
 def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]) -> pa.RecordBatch:
-    """One row: the texts as lists of places among their distinct words, and the tokens of these words, one after another as one text."""
+    """One row: the texts as lists of places among their distinct words, and these words' tokens."""
     found = encoder.codes([words(t) if t else [] for t in many])
     good = np.frombuffer(encoder.good, np.uint8) if encoder.good else np.zeros(0, np.uint8)
     found = [c if good[c].all() else c[:0] for c in found]
@@ -182,18 +180,13 @@ def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]
     docs = pa.StructArray.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(total(0), pa.int64()), pa.array(total(1), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(refs.astype(np.int32)))], ["doc_id", "n_a", "n_b", "refs"]
     )
-    if len(distinct):
-        sizes = encoder.lengths(distinct)
-        ends = np.cumsum(sizes)
-        lists = [*encoder.tokens(0, distinct, ends - sizes), *encoder.tokens(1, distinct, ends - sizes), ends.astype(np.int32)]
-    else:
-        lists = [np.zeros(0, np.int32)] * 5
+    table = pa.StructArray.from_arrays([*encoder.tokens(0, distinct), *encoder.tokens(1, distinct)], ["a", "a_ends", "b", "b_ends"])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), *[one(pa.array(x)) for x in lists]], ["batch", "docs", "a", "a_ends", "b", "b_ends", "word_ends"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), one(table)], ["batch", "docs", "words"])
 
 
 def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of some hundred texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), and of the row's distinct words, as one text: a, a_ends, b, b_ends (tokens), word_ends. Ends count bytes.
+    """Rows of some hundred texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), words (a, a_ends, b, b_ends: ids, and the bytes of the word at which they end).
 
     byte_level, pieces: paths of a byte-level .json vocabulary and of a piece .model on the driver. Other
     kinds of vocabulary are refused: ValueError. Texts that are null, empty or change on the way through a
@@ -233,68 +226,73 @@ def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _GROUP)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: an aggregate over nothing, as a transform of one element would copy the whole result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
 def _upto(own: Column, ends: Column) -> Column:
-    """How many of a vocabulary's tokens end at or before each common end: ends are sorted among its own, and their places there less the common ends before them."""
+    """How many of a vocabulary's tokens end at or before each common end: looked up in short words; in long ones the ends are sorted among the vocabulary's own, and their places there less the common ends before them."""
     both = F.sort_array(F.concat(F.transform(own, lambda e: e * 2), F.transform(ends, lambda e: e * 2 + 1)))
     places = let(both, lambda m: F.filter(F.transform(m, lambda x, p: F.when(x % 2 == 1, p)), lambda p: p.isNotNull()))
-    return F.transform(places, lambda p, k: p - k)
+    looked_up = F.transform(ends, lambda e: F.array_position(own, e).cast("int"))
+    return F.when(F.size(own) <= SHORT_WORD, looked_up).otherwise(F.transform(places, lambda p, k: p - k))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return a * F.lit(PAIR) + b
 
 
-def aligned(row: Callable[[str], Column]) -> Column:
-    """array<struct<n_groups, links array<long>, line>> of the words of a row of tokenised; line has ids as a1,a2|b1 of each group, joined by ;."""
-    text = lambda name: row(name).cast("array<string>")
+def _in_groups(word: Column, at: Column) -> Column:
+    """n_groups, links and line of a word whose groups end at tokens at["a"], at["b"]."""
+    starts = lambda side: F.concat(F.array(F.lit(0)), at[side])
 
-    def groups(at: Column) -> Column:
-        """struct<line, links> of each group, between one common end and the next."""
+    def groups(begin: Column) -> Column:
+        own = lambda side, k, end: F.slice(word[side], F.get(begin[side], k) + 1, end - F.get(begin[side], k))
+        return F.transform(at["a"], lambda end, k: F.struct(own("a", k, end).alias("a"), own("b", k, F.get(at["b"], k)).alias("b")))
 
-        def of(a_end: Column, k: Column) -> Column:
-            b_end, a_start, b_start = F.get(at["b"], k), F.when(k > 0, F.get(at["a"], k - 1)).otherwise(0), F.when(k > 0, F.get(at["b"], k - 1)).otherwise(0)
-            n_a, n_b = a_end - a_start, b_end - b_start
-            own = lambda name, start, n: F.slice(at[name], start + 1, n)
-            pair = lambda x, y: x * F.lit(PAIR) + y
-            single = (n_a == 1) & (n_b == 1)
-            every = F.flatten(F.transform(own("a_ids", a_start, n_a), lambda x: F.transform(own("b_ids", b_start, n_b), lambda y: pair(x, y))))
-            links = F.when(single, F.array(pair(F.get(at["a_ids"], a_start), F.get(at["b_ids"], b_start)))).otherwise(every)
-            line = F.when(single, F.concat(F.get(at["a_text"], a_start), F.lit("|"), F.get(at["b_text"], b_start)))
-            line = line.otherwise(F.concat(F.array_join(own("a_text", a_start, n_a), ","), F.lit("|"), F.array_join(own("b_text", b_start, n_b), ",")))
-            return F.struct(line.alias("line"), links.alias("links"))
+    def made(found: Column) -> Column:
+        single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
+        every = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
+        links = F.transform(found, lambda g: F.when(single(g), F.array(_pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(every(g)))
+        text = found.cast("string")  # [{[1, 2], [3]}, {[4], [5]}]
+        line = F.replace(F.replace(F.replace(text, F.lit("]}, {["), F.lit(";")), F.lit("], ["), F.lit("|")), F.lit(", "), F.lit(","))
+        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), F.regexp_extract(line, r"\A\[\{\[(.*)\]\}\]\z", 1).alias("line"))
 
-        return F.transform(at["a"], of)
+    return let(F.struct(starts("a").alias("a"), starts("b").alias("b")), lambda begin: let(groups(begin), made))
 
-    def by_word(found: Column, until: Column) -> Column:
-        def of(end: Column, k: Column) -> Column:
-            start = F.when(k > 0, F.get(until, k - 1)).otherwise(0)
-            own = F.slice(found, start + 1, end - start)
-            return let(own, lambda g: F.struct((end - start).alias("n_groups"), F.flatten(g["links"]).alias("links"), F.array_join(g["line"], ";").alias("line")))
 
-        return F.transform(until, of)
+def aligned(word: Column) -> Column:
+    """struct<n_groups, links array<long>, line> of a word's tokens (a, a_ends, b, b_ends); line has ids as a1,a2|b1 of each group, joined by ;."""
 
-    def of_ends(ends: Column) -> Column:
-        at = F.struct(_upto(row("a_ends"), ends).alias("a"), _upto(row("b_ends"), ends).alias("b"), row("a").alias("a_ids"), row("b").alias("b_ids"), text("a").alias("a_text"), text("b").alias("b_text"), _upto(ends, row("word_ends")).alias("words"))
-        return let(at, lambda x: let(groups(x), lambda found: by_word(found, x["words"])))
+    def of(ends: Column) -> Column:
+        at = F.struct(_upto(word["a_ends"], ends).alias("a"), _upto(word["b_ends"], ends).alias("b"))
+        text = F.arrays_zip(word["a"], word["b"]).cast("string")  # [{1, 3}, {4, 5}]
+        line = F.replace(F.replace(F.substring(text, F.lit(3), F.length(text) - 4), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|"))
+        one_to_one = F.struct(F.size(ends).alias("n_groups"), F.zip_with(word["a"], word["b"], _pair).alias("links"), line.alias("line"))
+        return F.when((F.size(ends) == F.size(word["a"])) & (F.size(ends) == F.size(word["b"])), one_to_one).otherwise(let(at, lambda x: _in_groups(word, x)))
 
-    return let(F.array_intersect(row("a_ends"), row("b_ends")), of_ends)
+    return let(F.array_intersect(word["a_ends"], word["b_ends"]), of)
 
 
 def _documents(docs: Column, words: Column) -> Column:
     """Each document's columns from its words'."""
+    by_word = F.struct(words["n_groups"].alias("n_groups"), F.transform(words["links"], F.size).alias("n_links"), words["line"].alias("line"))
 
-    def of(d: Column) -> Column:
-        own = lambda field: F.transform(d["refs"], lambda r: F.get(words, r)[field])
-        return F.struct(
-            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
-            F.aggregate(d["refs"], F.lit(0).cast("long"), lambda acc, r: acc + F.get(words, r)["n_groups"]).alias("n_groups"),
-            F.aggregate(d["refs"], F.lit(0).cast("long"), lambda acc, r: acc + F.size(F.get(words, r)["links"])).alias("n_links"),
-            F.when(F.size(d["refs"]) > 0, F.sha2(F.array_join(own("line"), ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
-        )
+    def made(w: Column) -> Column:
+        total = lambda refs, name: F.aggregate(refs, F.lit(0).cast("long"), lambda acc, r: acc + F.get(w[name], r))
+        return F.transform(docs, lambda d: F.struct(
+            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["refs"], "n_groups").alias("n_groups"), total(d["refs"], "n_links").alias("n_links"),
+            F.when(F.size(d["refs"]) > 0, F.sha2(F.array_join(F.transform(d["refs"], lambda r: F.get(w["line"], r)), ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+        ))
 
-    return F.transform(docs, of)
+    return let(by_word, made)
 
 
 def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The alignment of all texts, written to the shared folder: batch, made (docs: an entry a document; links: of each distinct word), refs (each document's words)."""
     rows = tokenised(docs, byte_level, pieces, id_col, text_col)
-    made = let(aligned(F.col), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), F.transform(own, lambda w: w["links"]).alias("links")))
+    made = let(F.transform("words", aligned), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), own["links"].alias("links")))
     return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned")
 
 

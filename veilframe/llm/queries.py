@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import align, decontaminate, fim, fingerprint, jaccard, langid, mixing, packing, secrets, token_count, toxicity, warc
+from veilframe.llm import align, decontaminate, fim, fingerprint, jaccard, langid, mixing, packing, pii, secrets, token_count, toxicity, warc
 from veilframe.llm.common import fresh_path, held_out, table
 
 #: Target weights of the mix; other sources weigh 1 each.
@@ -74,9 +74,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_lstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage, op11_fill_in_middle, op12_token_alignment)
+    for f in (op1_poisson_mix, op2_prefix_fingerprint, op3_ppm_language, op4_pu_toxicity, op5_pigeonhole_leaks, op6_heap_token_count, op7_best_fit_packing, op8_ngram_jaccard, op9_markov_secrets, op10_warc_salvage, op11_fill_in_middle, op12_token_alignment, op13_lstm_pii)
 }
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
