@@ -31,7 +31,7 @@ WINDOW, STRIDE, CONTEXT = 96, 48, 32
 BATCH = 256
 EMBEDDING, HIDDEN = 16, 24
 #: Documents (expected number) that samples come from, and the most windows of each kind, and without any, that are learned from.
-LEARN_DOCS, LEARN_WINDOWS = 40_000, 500
+LEARN_DOCS, LEARN_WINDOWS = 20_000, 200
 EPOCHS, LEARN_BATCH, RATE = 9, 50, 0.012
 #: Times that a sampled span is written anew.
 REWRITTEN = 3
@@ -230,9 +230,10 @@ class Tagger:
         g["transitions"] = (g["transitions"] / many).astype(w["transitions"].dtype)
         g["output_bias"] = d_scores.sum((0, 1))
         by = np.stack([d_scores, d_scores[::-1]], 1)  # steps, directions, windows, tags
-        g["output"] = np.einsum("tdnh,tdnk->dhk", states, by, optimize=True)
+        flat = lambda x, d: np.ascontiguousarray(x[:, d]).reshape(steps * many, -1)
+        g["output"] = np.stack([flat(states, d).T @ flat(by, d) for d in (0, 1)])
         d_states = np.matmul(by, w["output"].transpose(0, 2, 1)[None])
-        d_fed = np.zeros((2, SYMBOLS, 4 * size), states.dtype)
+        d_read = np.empty((steps, 2, many, 4 * size), states.dtype)
         d_h, d_c = np.zeros_like(states[0]), np.zeros_like(states[0])
         for t in range(steps - 1, -1, -1):
             h, before, gates, cell, own = kept[t]
@@ -240,11 +241,12 @@ class Tagger:
             d_h = d_h + d_states[t]
             d_c = d_c + d_h * o * (1 - own * own)
             d_gates = np.concatenate([d_c * cell, d_c * before, d_h * own], 2) * gates * (1 - gates)
-            d_z = np.concatenate([d_gates, d_c * i * (1 - cell * cell)], 2)
+            d_z = d_read[t] = np.concatenate([d_gates, d_c * i * (1 - cell * cell)], 2)
             g["recurrent"] += np.matmul(h.transpose(0, 2, 1), d_z)
-            np.add.at(d_fed[0], codes[t], d_z[0])
-            np.add.at(d_fed[1], codes[steps - 1 - t], d_z[1])
             d_h, d_c = np.matmul(d_z, w["recurrent"].transpose(0, 2, 1)), d_c * f
+        which = np.zeros((steps * many, SYMBOLS), states.dtype)
+        which[np.arange(steps * many), codes.ravel()] = 1
+        d_fed = np.stack([which.T @ flat(d_read, 0), which.T @ flat(d_read[::-1], 1)])
         g["bias"] = d_fed.sum(1)
         g["input"] = np.matmul(w["embedding"].T[None], d_fed)
         g["embedding"] = np.matmul(d_fed, w["input"].transpose(0, 2, 1)).sum(0)
