@@ -180,3 +180,12 @@ def test_scripts_and_greedy_repetitions(spark):
             regex.checked(bad)
     for good in ("[*+]+", r"\++", "a+?", r"\p{Han}+", "a{2}", "(a+)+"):
         regex.checked(good)
+
+
+def test_patterns_that_take_exponential_time_are_refused(spark):
+    for bad in (r"(a+)+$", r"(a*)*b", r"(a|aa)+$", r"(\d+\.?)*x", r"([a-z]+)*1", r"(.*,)*x", r"(a|a)*b", r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(x+x+)+y", r"(\w+\s?)*:", r"((ab)*)*c", r"(?P<n>\p{L}+-?)*!"):
+        with pytest.raises(InvalidInput, match="exponential"):
+            regex.checked(bad)
+    good = [r"a.*b.*c", r"(\d{1,3}\.){3}\d{1,3}", r"(\d{4} ?){4}", r"(a|b)*c", r"(\w+,)*\w+", r"(?:[a-z]+ )*end", r"(a?){20}", r'"(?:[^"\\]|\\.)*"', r"\p{Han}+", r"(a|b|ab)c*", r"x{1000}", r"(?P<k>\w+)=(?P<v>[^;]*);", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"]
+    for pattern in good + [r.pattern for r in built_in() if r.pattern]:
+        regex.checked(pattern)

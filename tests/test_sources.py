@@ -155,6 +155,32 @@ def texts(lines):
     return [r["line"] for r in lines.orderBy(*[c for c in (ROW, "at") if c in lines.columns]).collect()]
 
 
+def test_declarations_of_scripts(read, spark):
+    got = read("a.sql", "CREATE TABLE t (a INT DEFAULT 5, b TEXT DEFAULT 'it''s, (so)', c TEXT DEFAULT NULL, d REAL DEFAULT -1.5, e TEXT NOT NULL DEFAULT \"x\"); INSERT INTO t (c) VALUES ('1'), ('2'); INSERT INTO t (a, e) VALUES (7, 'y');")
+    assert got == (["a", "b", "c", "d", "e"], [("5", "it's, (so)", "1", "-1.5", "x"), ("5", "it's, (so)", "2", "-1.5", "x"), ("7", "it's, (so)", "", "-1.5", "y")])
+    made = "CREATE TABLE t (a INT PRIMARY KEY, b TEXT UNIQUE, c TEXT, UNIQUE (b, c)); INSERT INTO t VALUES (1, 'x', 'p'), (2, 'y', NULL), (3, NULL, NULL), (4, NULL, NULL);"
+    assert len(read("b.sql", made)[1]) == 4
+    for refused in ("INSERT INTO t VALUES (1, 'z', 'z')", "INSERT INTO t VALUES (5, 'x', 'z')", "UPDATE t SET b = 'same'", "INSERT INTO t VALUES (6, 'q', 'q'), (6, 'r', 'r')"):
+        with pytest.raises(DataSourceError, match="repeat"):
+            read("c.sql", made + refused + ";")
+    assert len(read("d.sql", made + "DELETE FROM t WHERE a = 1; INSERT INTO t VALUES (1, 'x', 'p');")[1]) == 4
+    assert len(read("e.sql", made + "ALTER TABLE t RENAME COLUMN b TO n; INSERT INTO t VALUES (7, 'w', 'w');")[1]) == 5
+    with pytest.raises(DataSourceError, match="repeat"):
+        read("f.sql", made + "ALTER TABLE t RENAME COLUMN b TO n; INSERT INTO t VALUES (7, 'x', 'w');")
+    assert len(read("g.sql", made + "ALTER TABLE t DROP COLUMN b; INSERT INTO t VALUES (7, 'w');")[1]) == 5
+    for refused in ("CREATE TABLE n (i INTEGER PRIMARY KEY, b TEXT); INSERT INTO n (b) VALUES ('x');", "CREATE TABLE n (d TEXT DEFAULT CURRENT_TIMESTAMP, b TEXT); INSERT INTO n (b) VALUES ('x');", "CREATE TABLE n (d TEXT DEFAULT (1 + 2), b TEXT); INSERT INTO n (b) VALUES ('x');"):
+        with pytest.raises(Unsupported):
+            read("h.sql", refused)
+    with pytest.raises(DataSourceError, match="nulls"):
+        read("i.sql", "CREATE TABLE n (i INT NOT NULL, b TEXT); INSERT INTO n (b) VALUES ('x');")
+
+
+def test_tables_made_of_queries(read):
+    made = "CREATE TABLE t (a INT, b TEXT); INSERT INTO t VALUES (1, 'x'), (2, 'y'); CREATE TABLE u AS SELECT a + 10 AS a, upper(b) AS c FROM t WHERE a > 1; INSERT INTO t VALUES (3, 'z'); INSERT INTO u VALUES (4, 'own');"
+    assert read("a.sql", made) == (["a", "c"], [("12", "Y"), ("4", "own")])
+    assert read("b.sql", made + "SELECT count(*) AS n FROM t; SELECT c FROM u ORDER BY a;") == (["n", "c"], [("3", ""), ("", "own"), ("", "Y")])
+
+
 def test_many_inserts_make_one_plan(spark):
     script = ["CREATE TABLE t (a INT, b TEXT)", *[f"INSERT INTO t VALUES ({k}, 'x, {k}')" for k in range(300)], "INSERT INTO t (b) VALUES ('own')", "INSERT INTO t VALUES (7, 'last')"]
     joined = joined_inserts(script)

@@ -23,3 +23,7 @@ class Unsupported(WorkbenchError, NotImplementedError):
 
 class DependencyMissing(WorkbenchError):
     """An outside program that a source needs isn't there."""
+
+
+class Conflict(WorkbenchError):
+    """Another session has changed a sheet in the meantime."""

@@ -2,6 +2,7 @@
 
 The dialect: \\d, \\w, \\s and \\b are Unicode-aware, $ is the end of the text (not also before a last
 line break), neither look-around nor back-references, and replacements write $name, ${name}, $1, $$.
+Java backtracks, so patterns that could take it exponential time are refused (see ambiguity.py).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.errors import InvalidInput
+from veilframe.functions.ambiguity import exponential
 
 _group = re.compile(r"\(\?P?<([A-Za-z_][A-Za-z0-9_]*)>")
 _counted = re.compile(r"\{\d+(?:,\d*)?\}\+")
@@ -102,8 +104,10 @@ def translate_replacement(replacement: str, pattern: str) -> str:
 
 
 def checked(pattern: str) -> str:
-    """The pattern for Java, compiled once on the driver so that a bad one fails before a job starts."""
+    """The pattern for Java, compiled once on the driver so that a bad one fails before a job starts; so does one that could take exponential time."""
     translated = translate(pattern)
+    if exponential(pattern):
+        raise InvalidInput(f"a repetition in {pattern!r} can match one text in many ways, which takes exponential time: write it without one repetition inside the other")
     spark = SparkSession.active()
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(translated)

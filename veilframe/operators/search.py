@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.functions import regex, transforms
@@ -52,6 +52,7 @@ def with_hits(rows: DataFrame, query: str, use_regex: bool = False) -> DataFrame
 
 
 def result_page(found: DataFrame, order: Sequence[str], number: int = 1, size: int = 50) -> tuple[list, int]:
-    """One page of results and their total number: two jobs over narrow plans instead of one window over all rows."""
-    first = (max(number, 1) - 1) * size
-    return found.orderBy(*order).offset(first).limit(size).collect(), found.count()
+    """One page of results and their total number, in one job: rows are counted on their way to the page's top rows."""
+    first, seen = (max(number, 1) - 1) * size, Observation()
+    rows = found.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(first + size).offset(first).collect()
+    return rows, seen.get["n"]

@@ -14,6 +14,10 @@ from veilframe.operators.sheet import union_by_name
 _piece = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`)|(--[^\n]*|/\*.*?\*/)|(;)""", re.S)
 _skipped = re.compile(r"(?i)\s*(use|set|create\s+database|lock\s+tables|unlock\s+tables|begin|commit|start\s+transaction|pragma)\b")
 _create = re.compile(r"(?is)\s*create\s+(?:temp\w*\s+)?table\s+(if\s+not\s+exists\s+)?([`\"\w.]+)\s*\((.*)\)")
+_as_select = re.compile(r"(?is)\s*create\s+(?:temp\w*\s+)?table\s+(if\s+not\s+exists\s+)?([`\"\w.]+)\s+as\s+(select\b.*|with\b.*)")
+_default = re.compile(r"""(?is)\bdefault\s+('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|[-+]?\s*[\d.]+(?:e[-+]?\d+)?\b|\w+|\()""")
+_literal = re.compile(r"(?is)'.*'|\".*\"|[-+]?\s*[\d.]+(?:e[-+]?\d+)?|null|true|false")
+_key = re.compile(r"(?is)\s*(?:constraint\s+\S+\s+)?(?:primary\s+key|unique(?:\s+(?:key|index))?(?:\s+[`\"\w]+)?)\s*\((.*)\)")
 _drop = re.compile(r"(?is)\s*drop\s+(?:temporary\s+)?table\s+(if\s+exists\s+)?([`\"\w.\s,]+?)(?:\s+(?:restrict|cascade))?\s*\Z")
 _alter = re.compile(r"(?is)\s*alter\s+table\s+([`\"\w.]+)\s+(.*)")
 _rename = re.compile(r"(?is)\s*rename\s+(?:to|as)\s+([`\"\w.]+)\s*\Z")
@@ -82,6 +86,44 @@ def joined_inserts(found: list[str]) -> list[str]:
     return [", ".join(g) for g in groups]
 
 
+@dataclass
+class Rules:
+    """What a table's declaration asks of its rows: values of columns that are not given, columns without nulls, columns (or several together) without repeats, and one that numbers rows."""
+
+    defaults: dict[str, str]
+    required: set[str]
+    keys: list[tuple[str, ...]]
+    numbered: str | None = None
+
+    def renamed(self, source: dict[str, str | None]) -> Rules:
+        """For columns that come of others; keys of dropped columns go."""
+        new = {old: own for own, old in source.items() if old is not None}
+        of = lambda names: tuple(new[c] for c in names)
+        return Rules({new[c]: d for c, d in self.defaults.items() if c in new}, {new[c] for c in self.required if c in new}, [of(k) for k in self.keys if all(c in new for c in k)], new.get(self.numbered))
+
+
+def _rules(parts: list[str]) -> tuple[dict[str, str], Rules]:
+    """Types of the columns of a declaration, and its rules."""
+    kinds, rules = {}, Rules({}, set(), [])
+    for part in parts:
+        if m := _key.match(part):
+            rules.keys.append(tuple(_name(c.partition("(")[0]) for c in _split(m[1])))
+        elif part.strip() and not _constraint.match(part):
+            own, _, declared = part.strip().partition(" ")
+            name = _name(own)
+            kinds[name] = _type(declared)
+            bare = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"[^"]*\"""", "''", declared)
+            if m := _default.search(declared):
+                rules.defaults[name] = m[1]
+            if re.search(r"(?i)\bnot\s+null\b", bare):
+                rules.required.add(name)
+            if re.search(r"(?i)\b(primary\s+key|unique)\b", bare):
+                rules.keys.append((name,))
+            if re.search(r"(?i)\bauto_?increment\b|\A\s*integer\s+primary\s+key\b", bare):
+                rules.numbered = name
+    return kinds, rules
+
+
 @dataclass
 class ScriptResult:
     """The combined result of a script's queries, and the tables it leaves."""
@@ -94,13 +136,18 @@ class ScriptRunner:
     """Tables of a script are DataFrames behind temporary views of its own names; changes make new DataFrames."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables, self.columns, self.last = spark, {}, {}, None
+        self.spark, self.tables, self.columns, self.rules, self.last = spark, {}, {}, {}, None
         self.prefix = f"script_{uuid.uuid4().hex[:12]}_"
 
     def _store(self, table: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(self.prefix + table)
         self.tables[table] = df
 
+    def add(self, name: str, df: DataFrame) -> None:
+        """A table of the script's that is there before it runs."""
+        self.columns[name], self.rules[name] = {f.name: f.dataType.simpleString() for f in df.schema}, Rules({}, set(), [])
+        self._store(name, df)
+
     def _query(self, text: str) -> DataFrame:
         """Runs a query with table names pointed at the views; names in quotes that are strings stay."""
         parts = re.split(r"('(?:[^'\\]|\\.|'')*')", text)
@@ -123,7 +170,28 @@ class ScriptRunner:
 
     def _forget(self, table: str) -> None:
         self.spark.catalog.dropTempView(self.prefix + table)
-        del self.tables[table], self.columns[table]
+        del self.tables[table], self.columns[table], self.rules[table]
+
+    def _check(self, table: str) -> None:
+        """Raises for rows that the table's declaration forbids."""
+        df, rules = self.tables[table], self.rules[table]
+        quoted = lambda names: [f"`{c}`" for c in names]
+        if rules.required and not df.filter(" OR ".join(f"{c} IS NULL" for c in quoted(sorted(rules.required)))).isEmpty():
+            raise DataSourceError(f"a column of {table} that allows no nulls has some: {', '.join(sorted(rules.required))}")
+        for key in rules.keys:
+            given = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in quoted(key)))
+            if not given.groupBy(*quoted(key)).count().filter("count > 1").isEmpty():
+                raise DataSourceError(f"values of {table} that must differ repeat: {', '.join(key)}")
+
+    def _missing(self, table: str, column: str, kind: str) -> str:
+        """What a column holds that an INSERT doesn't give."""
+        rules = self.rules[table]
+        default = rules.defaults.get(column)
+        if column == rules.numbered or (default is not None and not _literal.fullmatch(default)):
+            raise Unsupported(f"statement not supported: INSERT into {table} without {column}, which is made up of other values")
+        if default is not None and default[0] == '"':
+            default = "'" + default[1:-1].replace("'", "\\'") + "'"
+        return f"try_cast({default or 'NULL'} AS {kind}) AS `{column}`"
 
     def _alter(self, table: str, change: str) -> None:
         """One change of a table; keys and constraints change no rows."""
@@ -134,8 +202,9 @@ class ScriptRunner:
             new = _name(m[1])
             if new in self.tables:
                 raise DataSourceError(f"table already exists: {new}")
-            df = self.tables[table]
+            df, rules = self.tables[table], self.rules[table]
             self._forget(table)
+            self.rules[new] = rules
             self.columns[new], self.last = kinds, new if self.last == table else self.last
             self._store(new, df)
             return
@@ -156,25 +225,27 @@ class ScriptRunner:
         if not done:
             raise DataSourceError(f"table {table} does not allow: {change.strip()[:80]}")
         self.columns[table] = {c: added if own is None else kinds[own] for c, own in source.items()}
+        self.rules[table] = self.rules[table].renamed(source)
         self._store(table, self.tables[table].selectExpr(*[f"cast(NULL AS {added}) AS `{c}`" if own is None else f"`{own}` AS `{c}`" for c, own in source.items()]))
 
     def run(self, statement: str) -> None:
         """One statement that isn't a query."""
         if _skipped.match(statement):
             return
-        if m := _create.match(statement):
-            table = self.last = _name(m[2])
+        if m := _as_select.match(statement) or _create.match(statement):
+            table = _name(m[2])
             if table in self.tables:
                 if m[1]:
                     return
                 raise DataSourceError(f"table already exists: {table}")
-            kinds = {}
-            for part in _split(m[3]):
-                if part.strip() and not _constraint.match(part):
-                    name, _, declared = part.strip().partition(" ")
-                    kinds[_name(name)] = _type(declared)
-            self.columns[table] = kinds
-            self._store(table, self.spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in kinds.items())))
+            self.last = table
+            if m.re is _as_select:
+                made = self._query(m[3])
+                self.columns[table], self.rules[table] = {f.name: f.dataType.simpleString() for f in made.schema}, Rules({}, set(), [])
+                self._store(table, made)
+            else:
+                self.columns[table], self.rules[table] = kinds, _ = _rules(_split(m[3]))
+                self._store(table, self.spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in kinds.items())))
         elif m := _insert.match(statement):
             table = self._known(m[1])
             kinds = self.columns[table]
@@ -182,14 +253,16 @@ class ScriptRunner:
             values = re.sub(r'(?<![\w\\])"((?:[^"\\]|\\.)*)"', r"'\1'", m[3]) if m[3][:6].lower() == "values" else m[3]
             rows = self._query(values if values[:6].lower() == "select" else f"SELECT * FROM {values}")
             rows = rows.toDF(*given)
-            made = rows.selectExpr(*[(f"try_cast(`{c}` AS {t}) AS `{c}`" if c in given else f"cast(NULL AS {t}) AS `{c}`") for c, t in kinds.items()])
+            made = rows.selectExpr(*[(f"try_cast(`{c}` AS {t}) AS `{c}`" if c in given else self._missing(table, c, t)) for c, t in kinds.items()])
             self._store(table, self.tables[table].unionByName(made))
+            self._check(table)
         elif m := _update.match(statement):
             table = self._known(m[1])
             new = {_name(a.partition("=")[0]): a.partition("=")[2] for a in _split(m[2])}
             where = f"coalesce({m[3]}, false)" if m[3] else "true"
             columns = [f"try_cast(CASE WHEN {where} THEN {new[c]} ELSE `{c}` END AS {t}) AS `{c}`" if c in new else f"`{c}`" for c, t in self.columns[table].items()]
             self._store(table, self.tables[table].selectExpr(*columns))
+            self._check(table)
         elif m := _delete.match(statement):
             table = self._known(m[1])
             self._store(table, self.tables[table].filter(f"NOT coalesce({m[2]}, false)" if m[2] else "false"))

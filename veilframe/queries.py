@@ -479,6 +479,41 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_undo")).join(redone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_redo")), "c_custkey")
 
 
+_LAST_EDITS = """WITH edits AS (SELECT o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS r, CASE WHEN o_orderkey % 2 = 0 THEN 'c_name' ELSE 'c_mktsegment' END AS col, CASE WHEN o_orderkey % 7 > 0 THEN 'order ' || o_orderkey END AS v, o_orderkey AS at FROM orders),
+last AS (SELECT r, col, arg_max({'v': v}, at).v AS v FROM edits GROUP BY r, col),
+sheet AS (SELECT c_custkey AS r, c_name, c_mktsegment FROM customer UNION ALL SELECT DISTINCT r, NULL, NULL FROM last WHERE r NOT IN (SELECT c_custkey FROM customer))
+"""
+
+
+def _edited_customers(spark: SparkSession, sf_dir: str) -> tuple[Workbench, int]:
+    """Customers with cells put in from orders: cells several times, customers that aren't there, nulls."""
+    bench = Workbench(spark, fresh_path(spark, "bench"))
+    sheet = bench.add_sheet(1, "customer", as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment"))
+    key = F.col("o_orderkey")
+    edits = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") + F.when(key % 50 == 0, 1000000).otherwise(0)).alias(ROW), F.when(key % 2 == 0, "c_name").otherwise("c_mktsegment").alias("column"),
+        F.when(key % 7 > 0, F.concat(F.lit("order "), key)).alias("value"), key.alias("_at"),
+    )
+    bench.hash(sheet, "c_name", "sha1")
+    bench.write_cells(sheet, edits)
+    return bench, sheet
+
+
+@query(f"{_LAST_EDITS} SELECT s.r AS _row_idx, CASE WHEN n.r IS NULL THEN sha1(c_name) ELSE n.v END AS c_name, CASE WHEN m.r IS NULL THEN c_mktsegment ELSE m.v END AS c_mktsegment FROM sheet s LEFT JOIN last n ON n.r = s.r AND n.col = 'c_name' LEFT JOIN last m ON m.r = s.r AND m.col = 'c_mktsegment'")
+def cell_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench, sheet = _edited_customers(spark, sf_dir)
+    return bench.data(sheet)
+
+
+@query(f"{_LAST_EDITS} SELECT s.r AS _row_idx, CASE WHEN s.c_name IS NOT NULL THEN s.c_name ELSE n.v END AS c_name, CASE WHEN m.r IS NULL THEN c_mktsegment ELSE m.v END AS c_mktsegment FROM sheet s LEFT JOIN last n ON n.r = s.r AND n.col = 'c_name' LEFT JOIN last m ON m.r = s.r AND m.col = 'c_mktsegment'")
+def cell_edits_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After compaction the digest before the edits is undone: names that it changed come back, other cells stay as edited."""
+    bench, sheet = _edited_customers(spark, sf_dir)
+    bench.compact(sheet)
+    bench.undo(next(o["id"] for o in bench.undoable(sheet) if o["kind"] == "hash"))
+    return bench.data(sheet)
+
+
 @query(
     """SELECT p_partkey AS _row_idx, c.col_idx, c.value, (len(string_split(c.value, 'bolt')) - 1)::INT AS places, CASE WHEN contains(c.value, 'bolt') THEN (strpos(c.value, 'bolt') - 1)::INT END AS first_start
 FROM (SELECT p_partkey, unnest([{'col_idx': 0, 'value': p_name}, {'col_idx': 1, 'value': p_type}]) AS c FROM part) WHERE contains(lower(c.value), 'bolt')"""
@@ -546,11 +581,41 @@ def _file(spark: SparkSession, lines: DataFrame, kind: str, eol: str = "\n") ->
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export as CSV, import again."""
     made = as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    body = sinks.csv_lines(made, header=False)
-    path = fresh_path(spark, "csv")
-    names = ",".join(sheets.headers(made))
-    sinks.write_lines(body.select(ROW, F.when(F.col(ROW) == body.agg(F.min(ROW)).first()[0], F.concat(F.lit(names + "\r\n"), "line")).otherwise(F.col("line")).alias("line")).repartition(1), path)
-    return plain.read_csv(spark, path)
+    return plain.read_csv(spark, _csv_file(spark, made))
+
+
+def _csv_file(spark: SparkSession, sheet: DataFrame) -> str:
+    """CSV files that follow each other, each with headers."""
+    body, path = sinks.csv_lines(sheet, header=False), fresh_path(spark, "csv")
+    ordered = body.repartitionByRange(ROW).sortWithinPartitions(ROW)
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # of a part
+    ordered.select(F.when(first, F.concat(F.lit(",".join(sheets.headers(sheet)) + "\r\n"), "line")).otherwise(F.col("line")).alias("line")).write.option("lineSep", "\r\n").text(path)
+    return path
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY c_custkey) AS _row_idx, 'a"b,' || c_name AS first, c_mktsegment || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '"' ELSE '' END || c_custkey AS second, CASE WHEN c_custkey % 5 > 0 THEN 'c"d' END AS third FROM customer"""
+)
+def source_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that go over several lines, with quotes in all places."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    second = F.concat("c_mktsegment", F.lit("\n"), F.when(key % 3 == 0, F.lit('\n"')).otherwise(""), key.cast("string"))
+    made = c.select(key.alias(ROW), F.concat(F.lit('a"b,'), "c_name").alias("first"), second.alias("second"), F.when(key % 5 > 0, 'c"d').alias("third"))
+    return plain.read_csv(spark, _csv_file(spark, made))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) AS _row_idx, 'a } ] "' || o_orderkey AS "key", CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS priority, '{"status":"' || o_orderstatus || '"}' AS nested FROM orders""")
+def source_json_array_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array without line breaks, in one file."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    item = F.to_json(F.struct(F.concat(F.lit('a } ] "'), key.cast("string")).alias("key"), F.when(key % 4 > 0, F.col("o_orderpriority")).alias("priority"), F.struct(F.col("o_orderstatus").alias("status")).alias("nested")))
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    line = F.concat(F.when(key == o.agg(F.min("o_orderkey")).first()[0], "[").otherwise(""), item, F.when(key == last, "]").otherwise(","))
+    path = fresh_path(spark, "json")
+    o.select(key.alias(ROW), line.alias("line")).coalesce(1).sortWithinPartitions(ROW).select("line").write.option("lineSep", " ").text(path)
+    return plain.read_json(spark, path)
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) AS _row_idx, p_name, p_size::VARCHAR AS p_size FROM part")
@@ -607,6 +672,23 @@ def source_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ScriptRunner(spark).script(script).result
 
 
+@query(
+    """SELECT n_name, count(*) AS customers, CAST(sum(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS marked, 'unknown' AS grade, '' AS total FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 > 0 GROUP BY n_name
+UNION ALL SELECT '', NULL, NULL, '', (SELECT count(*) FROM customer WHERE c_custkey % 3 > 0)::VARCHAR"""
+)
+def script_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script that makes, changes and joins tables of what the given ones hold."""
+    runner = ScriptRunner(spark)
+    for name in ("customer", "nation"):
+        runner.add(name, table(spark, sf_dir, name))
+    script = """CREATE TABLE own (id INT PRIMARY KEY, place INT, mark INT, grade TEXT DEFAULT 'unknown');
+    INSERT INTO own (id, place, mark) SELECT c_custkey, c_nationkey, 0 FROM customer; UPDATE own SET mark = 1 WHERE id % 4 = 0; DELETE FROM own WHERE id % 3 = 0;
+    CREATE TABLE found AS SELECT n_name, place, mark, grade FROM own JOIN nation ON place = n_nationkey; ALTER TABLE found RENAME COLUMN mark TO marked;
+    SELECT n_name, count(*) AS customers, sum(marked) AS marked, min(grade) AS grade FROM found GROUP BY n_name; SELECT count(*) AS total FROM found;"""
+    found = runner.script(script).result
+    return found.select("n_name", *[F.nullif(c, F.lit("")).cast("long").alias(c) for c in ("customers", "marked")], "grade", "total")
+
+
 _PAIRED = "SELECT o_orderkey, '110105' || strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS base, strftime(o_orderdate + INTERVAL (o_orderkey % 2) DAY, '%Y-%m-%d') AS birth, CASE WHEN o_orderkey % 3 = 0 THEN '女' ELSE 'male' END AS sex FROM orders"
 _PAIRED_ID = f"SELECT o_orderkey, base || substr('10X98765432', {_ID_SUM} % 11 + 1, 1) AS idcard, birth, sex FROM ({_PAIRED})"
 

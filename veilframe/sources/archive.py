@@ -1,4 +1,8 @@
-"""Files that hold tables in a binary form: SQLite databases and XLSX workbooks. A file is read by one task."""
+"""Files that hold tables in a binary form: SQLite databases and XLSX workbooks.
+
+A file is read once, by one task; its rows are written to the shared folder and numbered from there, over
+all files of a folder or glob in the order of their names.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +17,12 @@ from typing import Any
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.errors import DataSourceError
 from veilframe.operators.sheet import ROW
+from veilframe.storage import fresh_path
 
 BATCH_ROWS = 2000
 _RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -40,13 +45,13 @@ def cell_text(value: Any) -> str:
     return number_text(value) if isinstance(value, float) else str(value)
 
 
-def _batches(rows: Iterator[tuple[str, int, dict[str, str]]]) -> Iterator[pa.RecordBatch]:
+def _batches(file: str, rows: Iterator[tuple[str, int, dict[str, str]]]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     kind = pa.map_(pa.string(), pa.string())
 
     def made() -> pa.RecordBatch:
         names, numbers, values = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers, pa.int64()), pa.array([list(v.items()) for v in values], kind)], ["table", "at", "cells"])
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(names), pa.array(numbers, pa.int64()), pa.array([list(v.items()) for v in values], kind)], ["file", "table", "at", "cells"])
 
     for row in rows:
         held.append(row)
@@ -81,29 +86,39 @@ def _sqlite_rows(data: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
 def _contents(reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                yield from _batches(reader(data.as_py()))
+            for k in range(batch.num_rows):
+                yield from _batches(batch.column(0)[k].as_py(), reader(batch.column(1)[k].as_py()))
 
     return run
 
 
-_CELLS = "table string, at long, cells map<string,string>"
+#: Tables of all files up to this number are broadcast with where their rows begin; more are joined by a shuffle.
+BROADCAST_TABLES = 100_000
+
+
+def _tables(spark: SparkSession, path: str, reader) -> tuple[DataFrame, list[str]]:
+    """_row_idx, table, cells of all rows of all files; and the names of their columns in the order first seen (by file, table, place), a row a name on the driver."""
+    place = fresh_path(spark, "tables")
+    schema = "file string, table string, at long, cells map<string,string>"
+    spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_contents(reader), schema).write.parquet(place)
+    rows = spark.read.schema(schema).parquet(place)
+    # row 0 of each table carries its columns
+    seen = rows.filter("at = 0").select("file", "table", F.posexplode(F.map_keys("cells")).alias("place", "name")).groupBy("name").agg(F.min(F.struct("file", "table", "place")).alias("first"))
+    names = [r["name"] for r in seen.orderBy("first").collect()]
+    counts = rows.groupBy("file", "table").agg(F.count_if(F.col("at") > 0).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "table").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a table
+    starts = counts.select("file", "table", before.alias("before"))
+    few = counts.limit(BROADCAST_TABLES + 1).count() <= BROADCAST_TABLES
+    numbered = rows.filter("at > 0").join(F.broadcast(starts) if few else starts, ["file", "table"])
+    return numbered.select((F.col("at") + F.col("before")).alias(ROW), "table", "cells"), names
 
 
 def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
-    """All tables of a database: __table, then the columns of all tables in the order first seen; missing ones and NULL are empty."""
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_contents(_sqlite_rows), _CELLS)
-    heads = [(r["table"], r["names"]) for r in rows.filter("at = 0").select("table", F.map_keys("cells").alias("names")).orderBy("table").collect()]  # a row a table
-    names = list(dict.fromkeys(c for _, own in heads for c in own))
-    counts = {r["table"]: r["count"] for r in rows.filter("at > 0").groupBy("table").count().collect()}
-    before, shift = 0, {}
-    for table, _ in heads:
-        shift[table] = before
-        before += counts.get(table, 0)
-    if not heads:
+    """All tables of a database: __table, then the columns of all tables in the order first seen; missing ones and NULL are empty. Several files follow each other."""
+    rows, names = _tables(spark, path, _sqlite_rows)
+    if not names:
         return spark.createDataFrame([], f"{ROW} long")
-    start = F.create_map(*[F.lit(x) for pair in shift.items() for x in pair])[F.col("table")]
-    return rows.filter("at > 0").select((F.col("at") + start).cast("long").alias(ROW), F.col("table").alias("__table"), *[F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names])
+    return rows.select(ROW, F.col("table").alias("__table"), *[F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names])
 
 
 def _column(reference: str) -> int:
@@ -176,18 +191,24 @@ def _xlsx_rows(data: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
         shared, dates = [], _date_styles(book)
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        names: dict[int, str] = {}
+        last: dict[str, int] = {}  # of columns with one name the last holds
         for at, (_, row) in enumerate(e for e in ElementTree.iterparse(book.open(part)) if e[1].tag == f"{_SHEET}row"):
-            yield "sheet", at, {str(_column(c.get("r")) if c.get("r") else i): _xlsx_value(c, shared, dates, from_1904) for i, c in enumerate(row.iter(f"{_SHEET}c"))}
+            values = {_column(c.get("r")) if c.get("r") else i: _xlsx_value(c, shared, dates, from_1904) for i, c in enumerate(row.iter(f"{_SHEET}c"))}
+            if at == 0:
+                names = dict(sorted(values.items()))
+                last = {name: i for i, name in names.items()}
+                yield "sheet", 0, dict.fromkeys(names.values(), "")
+            else:
+                yield "sheet", at, {names[i]: v for i, v in values.items() if i in names and last[names[i]] == i}
             row.clear()
     except (zipfile.BadZipFile, ElementTree.ParseError, IndexError, KeyError, ValueError) as e:
         raise DataSourceError(f"not a readable workbook: {e}") from None
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first worksheet: its first row has the headers; empty cells are null. Dates are ISO text."""
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_contents(_xlsx_rows), _CELLS)
-    head = rows.filter("at = 0").first()
-    if head is None:
+    """The first worksheet: its first row has the headers; empty cells are null. Dates are ISO text. Rows of several files follow each other, their columns united by name."""
+    rows, names = _tables(spark, path, _xlsx_rows)
+    if not names:
         return spark.createDataFrame([], f"{ROW} long")
-    last = {name: key for key, name in sorted(head["cells"].items(), key=lambda kv: int(kv[0]))}
-    return rows.filter("at > 0").select(F.col("at").alias(ROW), *[F.nullif(F.try_element_at("cells", F.lit(key)), F.lit("")).alias(name) for name, key in last.items()])
+    return rows.select(ROW, *[F.nullif(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names])

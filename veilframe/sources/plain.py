@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from veilframe.errors import DataSourceError, InvalidInput
 from veilframe.operators.columns import json_headers, json_objects
 from veilframe.operators.sheet import ROW, number_rows
+from veilframe.sources.records import INSIDE, OUTSIDE, csv_records, json_elements, quote_states
+from veilframe.storage import written
 
 #: Bytes of a chunk that a text without line breaks is cut into.
 CHUNK_BYTES = 4096
@@ -29,30 +33,54 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(text).withColumn("value", F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", ""))
 
 
-def _probe_csv(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """Whether a file isn't UTF-8, and whether a line has an odd number of quotes, as records that go over several lines have: one narrow pass."""
+def _probe_csv(spark: SparkSession, path: str, sep: str) -> tuple[bool, bool]:
+    """Whether a file isn't UTF-8, and whether a record goes over several lines: if none does, each line begins outside quotes, so one that then ends inside them tells."""
     text = spark.read.option("lineSep", "\n").text(path)
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    found = text.agg(F.max(~F.is_valid_utf8("value")), F.max(quotes % 2 == 1)).first()
-    return bool(found[0]), bool(found[1])
+    broken = bool(text.agg(F.max(~F.is_valid_utf8("value"))).first()[0])
+    after = quote_states(sep)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = any(after(line, OUTSIDE) == INSIDE for line in batch.column(0).to_pylist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([True])], ["found"])
+                return
+
+    quoted = text.filter(F.col("value").contains('"')).select(F.make_valid_utf8("value").alias("value"))
+    return broken, not quoted.mapInArrow(opened, "found boolean").isEmpty()
+
+
+def _number_parts(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows numbered 1, 2, ... in the order of columns: by ranges of them, each sorted on its own."""
+    return number_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order), in_files=False)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None, strict_utf8: bool = True) -> DataFrame:
     """First record: headers. Short records are filled with null, further cells dropped, "" is null, nothing is typed.
 
-    Of columns with the same header the last one stays. Files in which no record goes over several lines
-    are split among tasks; others are read by one task each. multi_line says which, if it is known.
+    Of columns with the same header the last one stays. Files are split among tasks, also where records go
+    over several lines (see records.py). multi_line says whether any does, if it is known.
     """
-    broken, open_quotes = _probe_csv(spark, path) if strict_utf8 or multi_line is None else (False, False)
+    broken, open_quotes = _probe_csv(spark, path, sep) if strict_utf8 or multi_line is None else (False, False)
     if strict_utf8 and broken:
         raise DataSourceError(f"{path} isn't valid UTF-8")
-    options = {"sep": sep, "multiLine": open_quotes if multi_line is None else multi_line, "quote": '"', "escape": '"'}
-    first = spark.read.csv(path, header=False, inferSchema=False, **options).first() if not spark.read.text(path).isEmpty() else None
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    records = None
+    if open_quotes if multi_line is None else multi_line:
+        records = csv_records(spark, path, sep).withColumn("value", F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", ""))
+        top = records.filter("number = 1").orderBy("file").first()
+        first = None if top is None else next(csv.reader(io.StringIO(top["value"]), delimiter=sep), [])
+    else:
+        first = spark.read.csv(path, header=False, inferSchema=False, **options).first() if not spark.read.text(path).isEmpty() else None
     if first is None:
         return spark.createDataFrame([], f"{ROW} long")
     names = ["" if v is None else v for v in first]
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-    rows = number_rows(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options))
+    if records is None:
+        rows = number_rows(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options))
+    else:
+        own = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+        rows = _number_parts(records.filter("number > 1").select("file", "number", own.alias("cells")), "file", "number").select(ROW, "cells.*")
     last = {n: i for i, n in enumerate(names)}
     return rows.select(ROW, *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(n) for n, i in last.items()])
 
@@ -69,19 +97,18 @@ def read_json(spark: SparkSession, path: str, strict_utf8: bool = True) -> DataF
     start = text.filter(r"value rlike '\\S'").first()
     first = start["value"].strip() if start else ""
     if first.startswith("["):
-        whole = spark.read.text(path, wholetext=True)
-        parsed = whole.select(F.from_json("value", "array<string>").alias("items"))
-        if not parsed.filter("items is null").isEmpty():
+        elements = written(json_elements(spark, path), "elements")  # looked at, then read
+        wrong = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]"))), F.lit(0)) != 1
+        if not elements.filter(wrong).isEmpty():
             raise InvalidInput(f"{path} isn't a JSON array")
-        # one document a file, so its elements are numbered where they are read
-        items = parsed.select(F.posexplode("items").alias("_at", "value")).select((F.col("_at") + 1).cast("long").alias(ROW), json_objects(F.col("value")).alias("object")).filter("object is not null")
-        items = number_rows(items.select("object"), in_files=False)
+        items = elements.select("file", "number", json_objects(F.col("value")).alias("object")).filter("object is not null")
+        items = _number_parts(items, "file", "number")
     elif first.startswith("{"):
         single = spark.range(1).select(json_objects(F.lit(first)).isNotNull()).first()[0]
-        source = lines(spark, path).filter(r"value rlike '\\S'") if single else spark.read.text(path, wholetext=True).select(F.lit(1).cast("long").alias(ROW), "value")
+        source = lines(spark, path).filter(r"value rlike '\\S'") if single else number_rows(spark.read.text(path, wholetext=True))
         items = source.select(ROW, json_objects(F.col("value")).alias("object"))
         bad = items.filter("object is null").first()
-        if bad is not None:
+        if bad is not None:  # by number of the line, or of the file
             raise InvalidInput(f"{path}: row {bad[ROW]} isn't a JSON object")
         items = number_rows(items.select("object"), in_files=False) if single else items
     else:
