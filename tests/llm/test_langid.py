@@ -67,3 +67,13 @@ def test_odd_rows(spark):
     empty = cases.documents(spark, [])
     assert langid.identify(empty, langid.train(empty)).collect() == []
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(empty)).collect()} == {"und"}
+
+
+def test_what_is_a_letter(spark):
+    rest = cases.rows()[0][2:]
+    model = langid.train(cases.documents(spark))
+    bare, lettered = ["½ ² ③ Ⅳ", "٣ 12 ௧", "\u0301\u0308 _-", "🙂 ⓐ ㊀", "㉈\x00"], ["½ a", "ʰ", "ǅ", "汉", "é", "e\u0301", "ª 1"]
+    rows = [(k, t, *rest) for k, t in enumerate(bare + lettered)]
+    got = {r["doc_id"]: r for r in langid.identify(cases.documents(spark, rows), model).collect()}
+    assert [got[k]["lang_pred"] == "und" for k in range(len(rows))] == [True] * len(bare) + [False] * len(lettered)
+    assert all(got[k]["score"] == 0 for k in range(len(bare)))

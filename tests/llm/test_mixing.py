@@ -60,3 +60,12 @@ def test_copies_are_shuffled_and_empty_stays_empty(spark):
     assert len(set(keys)) > 20
     with pytest.raises(ValueError):
         mix_sources(cases.documents(spark), {"s0": -1.0})
+
+
+def test_any_column_names(spark):
+    names = ["_key", "_count", "_table", "_draws", "_salt", "rate", "rows", "_weight", "c0", "c1", "a.b", "Copy2"]
+    docs = spark.createDataFrame([(k, f"t{k}", f"s{k % 3}", *range(len(names))) for k in range(30)], ["doc_id", "text", "source", *names])
+    got = mix_sources(docs, {}, target_rows=90)
+    assert got.columns == [*docs.columns, "copy", "shuffle_key"]
+    rows = got.collect()
+    assert len(rows) > 60 and all(tuple(r)[3:-2] == tuple(range(len(names))) and r["source"] == f"s{r['doc_id'] % 3}" for r in rows)

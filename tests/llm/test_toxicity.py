@@ -93,3 +93,17 @@ def test_odd_rows(spark):
     empty = cases.documents(spark, [])
     bare = toxicity.train(empty, labels.filter("false"))
     assert toxicity.score(empty, bare).collect() == [] and 0 <= bare.score("") <= 1
+
+
+def test_the_prior_is_the_share_of_toxic_labels(spark):
+    """Also where most labelled documents are toxic: the unlabelled documents' mean score is that share."""
+    rest = cases.rows()[0][2:]
+    rng = np.random.default_rng(5)
+    word = lambda toxic: " ".join(f"{'bad' if toxic else 'good'}{k}" for k in rng.integers(0, 6, 12))
+    rows = [(k, word(k % 10 != 0) + f" w{k}", *rest) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 10 != 0)) for k in range(0, 400)], "doc_id long, toxic int")
+    model = toxicity.train(cases.documents(spark, rows), labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(cases.documents(spark, rows), model).collect()}
+    assert 0.8 < np.mean(list(got.values())) < 0.99
+    assert np.mean([s for k, s in got.items() if k % 10]) > 0.9 > 0.6 > np.mean([s for k, s in got.items() if k % 10 == 0])
+    assert toxicity.fit([], [], 0.9).score("any") == pytest.approx(0.9) and toxicity.fit([], [], 1.0).score("any") == pytest.approx(1 - toxicity.LEAST_PRIOR)

@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 
 from veilframe.llm import warc
 from veilframe.llm.common import fresh_path
@@ -127,3 +128,57 @@ def test_files_with_gaps(spark):
     assert got.filter("reason is null").count() == 59
     gaps = {(r["file"][-6:], r["offset"], r["length"]) for r in got.filter("reason is not null").collect()}
     assert ("a.warc", 0, 4) in gaps and ("d.warc", 0, 10) in gaps and len(gaps) == 3
+
+
+def plain_salvage(data):
+    """Ids and places of records, and gaps: every version line tried apart, the headers split at the next empty line."""
+    found, at, broken = [], 0, None
+    while at < len(data):
+        try:
+            record, end = warc.parse_record(data, at)
+        except ValueError:
+            broken = at if broken is None else broken
+            again = warc._start.search(data, at + 1)
+            at = again.start() if again else len(data)
+            continue
+        if broken is not None:
+            found.append((None, broken, at - broken))
+        broken = None
+        found.append((record["record_id"], at, end - at))
+        at = end
+    if broken is not None:
+        found.append((None, broken, len(data) - broken))
+    return found
+
+
+def test_what_is_remembered_of_lines_changes_nothing():
+    rng = random.Random(11)
+    whole = warc.make_record(1, "u", b"abc", warc.digest(b"abc"), None) + b"\r\n\r\n"
+    pieces = [b"WARC/1.1\r\n", b"WARC/1.0\r\n", b"a: b\r\n", b"x: WARC/1.1\r\n", b"Content-Length: 3\r\n", b"Content-Length: 0\r\n", b"content-length: x\r\n", b"\r\n", b"abc", b"\r\n\r\n", b"WARC-Block-Digest: sha1:ABC\r\n", b"Content-Type: application/http\r\n", b"WARC-Type: response\r\n", b":\r\n", b"\r", b"\n", b"no colon\r\n", whole, whole[:-30], b"WARC-Payload-Digest: sha1:" + warc.digest(b"abc").encode() + b"\r\n"]
+    for _ in range(3000):
+        data = b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
+        got = [(f.get("record_id"), f["offset"], f["length"]) for f in warc.salvage(data)]
+        assert got == plain_salvage(data), data
+
+
+def test_damaged_bytes_are_read_once():
+    whole = warc.make_record(1, "u", b"abc", warc.digest(b"abc"), None) + b"\r\n\r\n"
+    lines = [b"WARC/1.1\r\n", b"x: WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n", b"Content-Length: 7 WARC/1.1\r\n"]
+    for line in lines:
+        start = time.process_time()
+        found = list(warc.salvage(line * (10_000_000 // len(line)) + b"\r\n" + whole))
+        assert time.process_time() - start < 30
+        assert warc.page_id(found[-1]["record_id"]) == 1 and len(found) == 2
+
+
+def test_files_are_rolled_by_bytes(spark):
+    import glob
+    import os
+
+    made = [(k, "u", "z" * (200_000 if k % 10 == 0 else 2_000_000 if k == 5 else 300), None) for k in range(60)]
+    path = fresh_path(spark, "warc-test")
+    warc.write_archive(pages(spark, made), path, records_per_file=50, file_bytes=500_000)
+    sizes = [os.path.getsize(f) for f in glob.glob(path.removeprefix("file://") + "/part-*")]
+    assert sum(s > 500_000 for s in sizes) == 1 and len(sizes) < 20
+    read = warc.read_archive(spark, path)
+    assert sorted(map(tuple, warc.page_records(read).collect()), key=str) == expected(made) and read.filter("reason is not null").isEmpty()

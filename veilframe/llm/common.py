@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.storage import fresh_path, shared_dir
+from veilframe.storage import fresh_path, written  # noqa: F401
 
 #: Rows of a batch that Python handles at once; keeps a worker's copies of long texts few.
 SLICE_ROWS = 512
@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The DataFrame written once to the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model may learn from (a null id counts as the text '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -46,19 +40,12 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The DataFrame written to the shared folder as Parquet and read again: lineage ends, columns can be pruned."""
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
 def if_small(ids: DataFrame, most: int | None = None) -> DataFrame:
-    """ids (narrow rows, written or checkpointed) marked for broadcast if there are `most` (BROADCAST_IDS) at most."""
+    """ids (narrow rows, written ones) marked for broadcast if there are `most` (BROADCAST_IDS) at most."""
     most = BROADCAST_IDS if most is None else most
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import checkpointed
+from veilframe.llm.common import written
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, component (its least node) of every node that an edge joins to another.
 
     Works for any ordered type. Loops and repeated edges count for nothing, edges with a null end
-    neither; without edges there are no rows. Each round ends in a checkpoint; their number grows with
+    neither; without edges there are no rows. Each round is written to the shared folder, which cuts lineage; their number grows with
     the logarithm of the longest path.
     """
-    edges = checkpointed(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct())
+    edges = written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct(), "components")
     state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
     while state[0]:
-        edges = checkpointed(_contract(edges))
+        edges = written(_contract(edges), "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -8,12 +8,12 @@ only on it and the three before it, so lengths are tabled per four-byte string.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ START = b"\n" * ORDER
 #: Labelled documents per language that the trees are counted from (expected number, chosen by a hash of the id).
 TRAIN_DOCS = 400
 GROUP_CHARS = 1 << 17
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")  # numbers that are no digits and marks are no letters
 
 
 def windows(text: str) -> np.ndarray:
@@ -196,7 +196,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1), bits_per_byte of every row.
 
-    'und' with score 0 for null texts, texts without a letter, and any text if the model has no
+    'und' with score 0 for null texts, texts without a letter (Unicode's: neither ½ nor Ⅳ nor a mark alone is one), and any text if the model has no
     language. Ties go to the language that sorts first. Repeated rows give repeated results; empty
     tables none.
     """

@@ -74,24 +74,26 @@ def mix_sources(
     result. Input columns named copy or shuffle_key are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
+    names = docs.columns
     rates, sources = repetition_rates(docs, weights, default_weight, target_rows, source_col)
     rates = rates.select(
         "_key", _draws(F.col("rate")).alias("_draws"), _cumulative(F.col("rate") / _draws(F.col("rate"))).alias("_table")
     )
-    keyed = docs.withColumn("_key", source_key(F.col(source_col)))
+    own, source = f"c{names.index(id_col)}", f"c{names.index(source_col)}"  # columns go by numbers here, so that no name clashes
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_key", source_key(F.col(source)))
     if sources <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(rates), "_key")
     else:  # many sources: each one's table goes to SALTS tasks, so that a large source is dealt over them
         salted = rates.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
+        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
 
     def draw(k: Column) -> Column:
-        at = unit_hash(F.lit(seed), F.lit("count"), F.col(id_col), k)
+        at = unit_hash(F.lit(seed), F.lit("count"), F.col(own), k)
         return F.size(F.filter("_table", lambda c: c <= at))
 
     first = draw(F.lit(1))
     count = F.when(F.col("_draws") == 1, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda a, k: a + draw(k)))
     copies = joined.withColumn("_count", count).filter("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")).cast("binary")))
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(own).cast("string"), F.lit("")), F.col("copy")).cast("binary")))
     shuffled = copies.drop("_key", "_draws", "_table", "_count").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key")
+    return shuffled.select(*[f"c{i}" for i in range(len(names))], "copy", "shuffle_key").toDF(*names, "copy", "shuffle_key")

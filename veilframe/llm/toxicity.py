@@ -25,6 +25,8 @@ THRESHOLD = 0.3
 #: A word's bucket is a feature if its number of confirmed documents is so many standard deviations from what its share of the
 #: unlabelled ones makes expected, and above it only with LEAST_DOCS of them.
 LEAST_Z, LEAST_DOCS = 5.0, 4
+#: A share of toxic documents of nothing or of all counts as so far from it, so that its logarithm is finite.
+LEAST_PRIOR = 1e-4
 STEPS, RATE, DECAY = 300, 0.05, 2e-5
 
 
@@ -71,7 +73,7 @@ def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Minimises the non-negative risk with the logistic loss by full-batch Adam."""
     weights = np.zeros(1 << BITS, np.float32)
-    prior = min(max(prior, 1e-4), 0.5)
+    prior = min(max(prior, LEAST_PRIOR), 1 - LEAST_PRIOR)
     if not positive or not unlabelled:
         return Model(weights, float(np.log(prior / (1 - prior))))
     positive, unlabelled = _distinct(positive), _distinct(unlabelled)
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Confirmed: rows of labels with label 1. Unlabelled: any documents, whatever their label, chosen by
     a hash of the id. prior: the share of toxic documents; by default that among all labelled ones
-    that aren't held out. Without confirmed documents every text scores the prior. Most near copies in
+    that aren't held out (no less than LEAST_PRIOR, no more than 1 - LEAST_PRIOR). Without confirmed documents every text scores the prior. Most near copies in
     the sample count once (see _distinct), so that a text copied often doesn't teach its words as signs.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import if_small, join_groups, slices, written
 
 RECORDS_PER_FILE = 2000
+#: A file written holds no more bytes, unless one record alone does: records too large for RECORDS_PER_FILE of them go to files of fewer.
+FILE_BYTES = 1 << 30
+#: Bytes of a record besides its payload and its url, at most.
+HEAD_BYTES = 1024
 #: Revisits (two ids and a digest: 36 bytes) up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
 #: Bytes of a gzip member that are unpacked at once.
@@ -32,7 +36,10 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 _IDS = 0x5645494C4652414D << 64  # the upper half of record ids; the lower half is the page id
 _NO_ID = 2**63 - 1
+_version = re.compile(rb"WARC/1\.[01]\r\n")
 _start = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: Header fields that a record's checks go by.
+_DECIDING = (b"content-length", b"content-type", b"warc-type", b"warc-block-digest", b"warc-payload-digest")
 
 
 def digest(data: bytes) -> str:
@@ -78,8 +85,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes one record per row of pages: uncompressed archives of records_per_file records, in the folder `path`.
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Writes one record per row of pages: uncompressed archives of records_per_file records at most, in the folder `path`.
+
+    No file is larger than file_bytes unless it holds a single record that is.
 
     Of rows with equal payloads (html in UTF-8; null: empty) of at least min_bytes bytes, those with the
     smallest page id are responses, the others revisits that refer to it. Smaller payloads are all
@@ -95,8 +104,17 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_f
     revisits = join_groups(digests, firsts, "digest", "copies", digests.count()).filter("refers_to is not null and _id > refers_to")
     revisits = written(revisits.select("_id", "digest", "refers_to").distinct(), "revisits")  # rows can share an id, so its payload's digest too
     joined = rows.join(if_small(revisits, BROADCAST_REVISITS), ["_id", "digest"], "left")
-    records = joined.select("_id", "url", "html", "refers_to").mapInArrow(_records, "value string")
-    records.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    bound, most = file_bytes // records_per_file, rows.agg(F.max(size)).first()[0] or 0
+
+    def write(some: DataFrame, number: int) -> None:
+        records = some.select("_id", "url", "html", "refers_to").mapInArrow(_records, "value string")
+        records.write.mode("append").option("lineSep", _END.decode()).option("maxRecordsPerFile", number).text(path)
+
+    write(joined.filter(size <= bound), records_per_file)
+    while bound < most:  # records of up to 16 times the size, as many fewer in a file
+        write(joined.filter((size > bound) & (size <= 16 * bound)), max(1, file_bytes // (16 * bound)))
+        bound *= 16
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -109,25 +127,65 @@ def _fields(head: bytes) -> dict[str, str]:
     return found
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
+class Headers:
+    """Where the header lines after a version line end. What is known of lines already read is kept, so that the version lines of damaged bytes cost no more than one pass over them."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.low, self.stop, self.wrong = 0, -1, ""  # lines from low to stop are read; stop is the empty line, or wrong says what is
+        self.last: dict[bytes, int] = {}  # where the last line of each deciding field begins
+        self.failed, self.reason = -1, ""  # lines up to this one fail with all that follow
+
+    def end(self, at: int) -> int:
+        """Place of the empty line that ends the lines from `at` on; ValueError if there is none, or if records with these lines have failed before."""
+        if not self.low <= at <= self.stop:
+            self.low, self.last, self.failed = at, {}, -1
+            while True:
+                close = self.data.find(b"\r\n", at)
+                colon = self.data.find(b":", at, close) if close > at else -1
+                if close == at or colon < 0:
+                    self.stop, self.wrong = at, "" if close == at else "headers without an end" if close < 0 else "header line without a colon"
+                    break
+                name = self.data[at:colon].strip().lower()
+                if name in _DECIDING:
+                    self.last[name] = at
+                at = close + 2
+            at = self.low
+        if self.wrong:
+            raise ValueError(self.wrong)
+        if at <= self.failed:
+            raise ValueError(self.reason)
+        return self.stop
+
+    def fail(self, at: int, reason: str) -> None:
+        """The record with the lines from `at` on fails, and so do all that begin later but before the last lines it was judged by."""
+        self.failed, self.reason = min([x for x in self.last.values() if x >= at], default=self.stop), reason
+        raise ValueError(reason)
+
+
+def parse_record(data: bytes, at: int, headers: Headers | None = None) -> tuple[dict[str, Any], int]:
     """The record that starts at a version line, and where it ends; ValueError says which check failed."""
-    opened = re.compile(rb"WARC/1\.[01]\r\n").match(data, at)
+    headers = headers or Headers(data)
+    opened = _version.match(data, at)
     if not opened:
         raise ValueError("no version line")
-    close = data.find(_END, opened.end() - 2)
-    if close < 0:
-        raise ValueError("headers without an end")
-    fields = _fields(data[opened.end() : close])
-    if not re.fullmatch(r"[0-9]+", fields.get("content-length", "")):
+    first = opened.end()
+    close = headers.end(first)
+    if close == first:
         raise ValueError("no content length")
-    start = close + len(_END)
-    end = start + int(fields["content-length"])
+    if b"content-length" not in headers.last or headers.last[b"content-length"] < first:
+        headers.fail(first, "no content length")
+    fields = _fields(data[first : close - 2])
+    if not re.fullmatch(r"[0-9]+", fields["content-length"]):
+        headers.fail(first, "no content length")
+    start = close + 2
+    end = start + int(fields["content-length"][:20])
     if end > len(data) or data[end : end + len(_END)] != _END:
-        raise ValueError("no end where the content length says")
+        headers.fail(first, "no end where the content length says")
     block = data[start:end]
     kind, _, value = fields.get("warc-block-digest", "").partition(":")
     if kind == "sha1" and value != digest(block):
-        raise ValueError("block digest differs")
+        headers.fail(first, "block digest differs")
     record = {"type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "fields": fields, "payload": block, "payload_bytes": len(block)}
     if fields.get("content-type", "").startswith("application/http"):
         head, _, payload = block.partition(_END)
@@ -138,11 +196,15 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
             record["payload_bytes"] = int(length[1]) if length else None
     kind, _, value = fields.get("warc-payload-digest", "").partition(":")
     if record["type"] != "revisit" and kind == "sha1" and value != digest(record["payload"]):
-        raise ValueError("payload digest differs")
+        headers.fail(first, "payload digest differs")
     record["payload_digest"] = value if kind == "sha1" else None
     return record, end + len(_END)
 
 
+def _known(record: dict[str, Any]) -> tuple:
+    return tuple(sorted(record["fields"].items())), hashlib.sha1(record["payload"]).digest()
+
+
 def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The gzip member that starts here, as far as it unpacks; where that ends, and why it goes no further (empty: it is whole)."""
     unpack, parts, view, read, step = zlib.decompressobj(31), [], memoryview(data), at, READ_BYTES
@@ -163,10 +225,12 @@ def salvage(data: bytes, packed: bool = True) -> Iterator[dict[str, Any]]:
     """Valid records of an archive in order, as dicts with offset and length; bytes that belong to none as dicts with a reason.
 
     Records and gaps of a gzip member have the member's offset and length. Records of a member that does
-    not unpack to its end have length 0: its bytes are the gap after them.
+    not unpack to its end have length 0: its bytes are the gap after them. Damaged bytes are read once,
+    whatever version lines they hold, but for blocks whose ends are where their lengths say and whose
+    digests differ.
     """
-    at, broken, reason = 0, None, ""
-    held, tried = [], 0  # records of the last broken member, and where it stopped: stored bytes can show them again
+    at, broken, reason, headers = 0, None, "", Headers(data)
+    held, tried = set(), 0  # records of the last broken member, and where it stopped: stored bytes can show them again
     while at < len(data):
         found, why = [], ""
         try:
@@ -176,8 +240,8 @@ def salvage(data: bytes, packed: bool = True) -> Iterator[dict[str, Any]]:
                 if (inner or why) and all("reason" in f for f in found):
                     raise ValueError(why or found[0]["reason"])
             else:
-                record, end = parse_record(data, at)
-                if at < tried and record in held:
+                record, end = parse_record(data, at, headers)
+                if at < tried and _known(record) in held:
                     raise ValueError(reason)
                 found = [record]
         except ValueError as e:
@@ -192,7 +256,7 @@ def salvage(data: bytes, packed: bool = True) -> Iterator[dict[str, Any]]:
             if not why:
                 at = end
                 continue
-            held, tried = [{k: v for k, v in f.items() if k not in ("offset", "length")} for f in found], end
+            held, tried = {_known(f) for f in found if "reason" not in f}, end
             broken, reason = at, why
         again = _start.search(data, at + 1)
         at = again.start() if again else len(data)
