@@ -249,7 +249,7 @@ def _in_groups(word: Column, at: Column) -> Column:
 
     def groups(begin: Column) -> Column:
         own = lambda side, k, end: F.slice(word[side], F.get(begin[side], k) + 1, end - F.get(begin[side], k))
-        return F.transform(at["a"], lambda end, k: F.struct(own("a", k, end).alias("a"), own("b", k, F.get(at["b"], k)).alias("b")))
+        return F.transform(F.sequence(F.lit(0), F.size(at["a"]) - 1), lambda k: F.struct(own("a", k, F.get(at["a"], k)).alias("a"), own("b", k, F.get(at["b"], k)).alias("b")))
 
     def made(found: Column) -> Column:
         single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
