@@ -479,19 +479,19 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_undo")).join(redone.select(F.col(ROW).alias("c_custkey"), F.col("c_name").alias("after_redo")), "c_custkey")
 
 
-_LAST_EDITS = """WITH edits AS (SELECT o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS r, CASE WHEN o_orderkey % 2 = 0 THEN 'c_name' ELSE 'c_mktsegment' END AS col, CASE WHEN o_orderkey % 7 > 0 THEN 'order ' || o_orderkey END AS v, o_orderkey AS at FROM orders),
-last AS (SELECT r, col, arg_max({'v': v}, at).v AS v FROM edits GROUP BY r, col),
-sheet AS (SELECT c_custkey AS r, c_name, c_mktsegment FROM customer UNION ALL SELECT DISTINCT r, NULL, NULL FROM last WHERE r NOT IN (SELECT c_custkey FROM customer))
+_LAST_EDITS = """WITH edits AS (SELECT o_custkey + 1 + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS r, CASE WHEN o_orderkey % 2 = 0 THEN 'c_name' ELSE 'c_mktsegment' END AS col, CASE WHEN o_orderkey % 7 > 0 THEN 'order ' || o_orderkey END AS v, o_orderkey AS k FROM orders),
+last AS (SELECT r, col, (arg_max({'v': v}, k)).v AS v FROM edits GROUP BY r, col),
+sheet AS (SELECT c_custkey + 1 AS r, c_name, c_mktsegment FROM customer UNION ALL SELECT DISTINCT r, NULL, NULL FROM last WHERE r NOT IN (SELECT c_custkey + 1 FROM customer))
 """
 
 
 def _edited_customers(spark: SparkSession, sf_dir: str) -> tuple[Workbench, int]:
     """Customers with cells put in from orders: cells several times, customers that aren't there, nulls."""
     bench = Workbench(spark, fresh_path(spark, "bench"))
-    sheet = bench.add_sheet(1, "customer", as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment"))
+    sheet = bench.add_sheet(1, "customer", as_sheet(table(spark, sf_dir, "customer").withColumn("row", F.col("c_custkey") + 1), "row", "c_name", "c_mktsegment"))
     key = F.col("o_orderkey")
     edits = table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") + F.when(key % 50 == 0, 1000000).otherwise(0)).alias(ROW), F.when(key % 2 == 0, "c_name").otherwise("c_mktsegment").alias("column"),
+        (F.col("o_custkey") + 1 + F.when(key % 50 == 0, 1000000).otherwise(0)).alias(ROW), F.when(key % 2 == 0, "c_name").otherwise("c_mktsegment").alias("column"),
         F.when(key % 7 > 0, F.concat(F.lit("order "), key)).alias("value"), key.alias("_at"),
     )
     bench.hash(sheet, "c_name", "sha1")
