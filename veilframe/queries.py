@@ -427,6 +427,31 @@ def export_text_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.text_lines(as_sheet(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey"), "{s_name} of {s_nationkey}!{unknown}")
 
 
+@query(
+    """SELECT o_orderkey + 1 AS _row_idx, CASE WHEN o_orderkey % 3 = 0 THEN 'INVALID' ELSE '134####' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') END AS phone, md5(o_orderpriority) AS priority FROM orders"""
+)
+def workbench_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column masked by a template of the moment, values that a rule refuses marked; another digested."""
+    key = F.col("o_orderkey")
+    phone = F.when(key % 3 == 0, F.lit("no phone")).otherwise(F.concat(F.lit("1340000"), F.lpad((key % 10000).cast("string"), 4, "0")))
+    bench = Workbench(spark, fresh_path(spark, "bench"))
+    sheet = bench.add_sheet(1, "orders", table(spark, sf_dir, "orders").select((key + 1).alias(ROW), phone.alias("phone"), F.col("o_orderpriority").alias("priority")))
+    bench.mask(sheet, "phone", replacement="#", template={"keepPrefix": 3, "keepSuffix": 4}, validate_rule_id="phone-validate")
+    bench.hash(sheet, "priority", "md5")
+    return bench.data(sheet)
+
+
+@query(
+    """WITH hits AS (SELECT p_partkey, i, CASE i WHEN 0 THEN p_name ELSE p_type END AS value FROM part, LATERAL (SELECT unnest([0, 1]) AS i)),
+found AS (SELECT * FROM hits WHERE contains(lower(value), 'bolt'))
+SELECT p_partkey AS _row_idx, i::INT AS col_idx, value, (SELECT count(*) FROM found) AS total FROM found ORDER BY p_partkey, i LIMIT 20 OFFSET 20"""
+)
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of what a search finds, with the number of all finds, from one job."""
+    rows, total = search.result_page(search.search_cells(as_sheet(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_type"), "BOLT"), [ROW, "col_idx"], 2, 20)
+    return spark.createDataFrame([(*r, total) for r in rows], f"{ROW} long, col_idx int, value string, total long")
+
+
 # SQL, which scripts bring
 
 
