@@ -257,7 +257,7 @@ def _in_groups(word: Column, at: Column) -> Column:
         links = F.transform(found, lambda g: F.when(single(g), F.array(_pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(every(g)))
         text = found.cast("string")  # [{[1, 2], [3]}, {[4], [5]}]
         line = F.replace(F.replace(F.replace(text, F.lit("]}, {["), F.lit(";")), F.lit("], ["), F.lit("|")), F.lit(", "), F.lit(","))
-        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), F.regexp_extract(line, r"\A\[\{\[(.*)\]\}\]\z", 1).alias("line"))
+        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), F.substring(line, F.lit(4), F.length(line) - 6).alias("line"))
 
     return let(F.struct(starts("a").alias("a"), starts("b").alias("b")), lambda begin: let(groups(begin), made))
 
