@@ -452,6 +452,38 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*r, total) for r in rows], f"{ROW} long, col_idx int, value string, total long")
 
 
+@query(
+    """WITH sheet AS (SELECT row_number() OVER (ORDER BY c_custkey) AS _row_idx, c_nationkey::VARCHAR AS c_nationkey, c_name FROM customer)
+SELECT _row_idx, c_nationkey, c_name, (SELECT count(*) FROM sheet) AS total FROM sheet WHERE _row_idx BETWEEN 41 AND 60"""
+)
+def import_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file imported into a workbench; the third page of 20 rows, two of its columns in an order of their own, and the number of rows."""
+    bench = Workbench(spark, fresh_path(spark, "bench"))
+    made = bench.import_file(_csv_file(spark, as_sheet(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment", "c_nationkey")), format="csv")
+    page = sheets.page(sheets.project(bench.data(made["sheet_id"]), ["c_nationkey", "c_name"]), 3, 20)
+    return page.withColumn("total", F.lit(bench.page(made["sheet_id"], 3, 20)["total"]).cast("long"))
+
+
+@query(
+    """SELECT * FROM (SELECT p_partkey AS _row_idx, i::INT AS col_idx, CASE i WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS value FROM part, LATERAL (SELECT unnest([0, 1, 2]) AS i))
+WHERE regexp_matches(value, '(^|[^a-z])[bB][a-z]+[0-9]*$')"""
+)
+def search_regex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_cells(as_sheet(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand", "p_type"), r"(^|[^a-z])[bB][a-z]+\d*$", use_regex=True)
+
+
+@query(
+    """SELECT o_orderkey AS source_row, pos::INT AS pos, ((CASE pos WHEN 0 THEN 19900000000 ELSE 13400000000 END) + o_orderkey)::VARCHAR AS value, pos = 0 AS valid FROM orders, LATERAL (SELECT unnest([0, 1]) AS pos)"""
+)
+def extract_phone_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone numbers of prefixes named for the occasion."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("call "), (key + 19900000000).cast("string"), F.lit(" or "), (key + 13400000000).cast("string"), F.lit("."))
+    made = table(spark, sf_dir, "orders").select(key.alias(ROW), text.alias("memo"))
+    found = extract.extract(made, "memo", [RULES["phone-extract"]], phone_prefixes=validators.phone_prefixes(["199"]))
+    return found.select("source_row", "pos", "value", "valid")
+
+
 # SQL, which scripts bring
 
 
