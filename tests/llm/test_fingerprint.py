@@ -81,6 +81,20 @@ def test_texts_on_both_sides_of_the_short_length():
     assert fingerprint.likeness(printed(62), printed(62)) == 1
 
 
+def test_texts_of_any_two_lengths_compare():
+    """Against the share of common spans, counted."""
+    rng = random.Random(1)
+    base = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    printed = {n: fingerprint.fingerprint(PrefixHashes(code_points(base[:n]))) for n in (20, 40, 63, 64, 100, 127, 128, 129, 200, 400, 2000)}
+    for a in printed:
+        for b in printed:
+            width = fingerprint.SPAN if min(a, b) >= fingerprint.SHORT else fingerprint.SHORT_SPAN
+            x, y = ({base[k : k + width] for k in range(n - width + 1)} for n in (a, b))
+            true = 2 * len(x & y) / (len(x) + len(y))
+            assert abs(fingerprint.likeness(printed[a], printed[b]) - true) < 0.25, (a, b)
+    assert fingerprint.likeness(printed[63], printed[128]) > 0.4 and fingerprint.likeness(printed[63], printed[127]) > 0.4
+
+
 def test_likeness_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = fingerprint_documents(docs).filter("n_chars > 400").toPandas()

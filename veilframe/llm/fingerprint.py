@@ -3,7 +3,7 @@
 A text's prefix array holds, modulo a prime, the running sum of code point times power. The hash
 of any span is a difference of two entries, so equality of spans takes constant time and the
 longest common extension of two positions is found by binary search. The fingerprint keeps the
-hash of the whole text and the smallest distinct hashes of its fixed-width spans.
+hash of the whole text and the smallest distinct hashes of its spans of two fixed widths.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,10 @@ from veilframe.llm.common import slices, texts
 
 PRIME = (1 << 31) - 1
 BASES = (911382323, 972663749)
-#: Spans sketched, in code points: of texts from SHORT code points on, and of those under twice as many.
+#: Spans sketched, in code points: two texts compare by SPAN if both have SHORT code points or more, else by SHORT_SPAN, so any two compare.
 SPAN, SHORT_SPAN, SHORT = 16, 4, 64
-SKETCH = 64
+#: Hashes of a sketch, and of the sketch by SHORT_SPAN of texts that are not short themselves.
+SKETCH, FINE = 64, 32
 #: Documents of one range of ids (neighbours meet in a range); at least MIN_RANGES ranges.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 20_000, 1024, 20_000
 #: An id that fills so many ranges is cut by its texts, too.
@@ -94,34 +96,49 @@ def common_extension(a: PrefixHashes, i: int, b: PrefixHashes, j: int) -> int:
     return low
 
 
-def _sketch(hashes: PrefixHashes) -> np.ndarray:
+def _sketch(hashes: PrefixHashes, width: int, most: int) -> np.ndarray:
+    """The smallest distinct hashes of the spans of that width (of the whole text, if it is shorter)."""
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
-    widths = [min(n, w) for w, used in ((SHORT_SPAN, n < 2 * SHORT), (SPAN, n >= SHORT)) if used]  # both in between, so that texts on either side compare
-    order = np.concatenate([hashes.spans(np.arange(n - w + 1), w) for w in widths]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
-    few = order[order < np.uint64(min(2**48, 4 * SKETCH * 2**48 // len(order)))]
+    width = min(n, width)
+    order = hashes.spans(np.arange(n - width + 1), width) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+    few = order[order < np.uint64(min(2**48, 4 * most * 2**48 // len(order)))]
     found = np.unique(few)
-    if len(found) < SKETCH and len(few) < len(order):
+    if len(found) < most and len(few) < len(order):
         found = np.unique(order)
-    return found[:SKETCH]
+    return found[:most]
 
 
-def fingerprint(hashes: PrefixHashes) -> tuple[str, np.ndarray]:
-    """length:whole hash:sketch in hex, and the sketch. Equal texts have equal fingerprints."""
-    found = _sketch(hashes)
-    return f"{len(hashes)}:{hashes.span(0, len(hashes)):016x}:" + found.astype(">u8").tobytes().hex(), found
+class Print(NamedTuple):
+    """A fingerprint: length:whole hash:wide:fine in hex, the length, and the two sketches (wide is empty for short texts)."""
 
+    text: str
+    size: int
+    wide: np.ndarray
+    fine: np.ndarray
 
-def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
+
+def fingerprint(hashes: PrefixHashes) -> Print:
+    """Equal texts have equal fingerprints."""
+    n = len(hashes)
+    wide = _sketch(hashes, SPAN, SKETCH) if n >= SHORT else np.empty(0, np.uint64)
+    fine = _sketch(hashes, SHORT_SPAN, FINE if n >= SHORT else SKETCH)
+    written = [x.astype(">u8").tobytes().hex() for x in (wide, fine)]
+    return Print(":".join([str(n), f"{hashes.span(0, n):016x}", *written]), n, wide, fine)
+
+
+def likeness(a: Print, b: Print) -> float:
     """Estimated share (Dice) of common spans, from two fingerprints; 1 for equal ones."""
-    if a[0] == b[0]:
+    if a.text == b.text:
         return 1.0
-    if not len(a[1]) or not len(b[1]):
+    wide = min(a.size, b.size) >= SHORT
+    x, y = (a.wide, b.wide) if wide else (a.fine, b.fine)
+    if not len(x) or not len(y):
         return 0.0
-    size = SKETCH if max(len(a[1]), len(b[1])) == SKETCH else len(a[1]) + len(b[1])
-    both = np.union1d(a[1], b[1])[:size]
-    share = len(np.intersect1d(np.intersect1d(both, a[1], True), b[1], True)) / len(both)
+    full = [most for own, most in ((x, FINE if not wide and a.size >= SHORT else SKETCH), (y, FINE if not wide and b.size >= SHORT else SKETCH)) if len(own) == most]
+    both = np.union1d(x, y)[: min(full, default=len(x) + len(y))]
+    share = len(np.intersect1d(np.intersect1d(both, x, True), y, True)) / len(both)
     return 2 * share / (1 + share)
 
 
@@ -148,7 +165,7 @@ class _Document:
         printed = fingerprint(hashes)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         common = common_extension(self.hashes, 0, hashes, 0)
-        return self.doc_id, n, digest, self.print[0], printed[0], likeness(self.print, printed), likeness(self.print, following.print), common
+        return self.doc_id, n, digest, self.print.text, printed.text, likeness(self.print, printed), likeness(self.print, following.print), common
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
