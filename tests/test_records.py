@@ -160,3 +160,15 @@ def test_rows_of_several_files_follow_each_other(spark, tmp_path):
     df = sources.load(spark, str(tmp_path / "books"), "xlsx")
     assert headers(df) == ["p", "q", "r"] and rows(df) == [("3", "2", None), (None, "4", "5")] and [r[ROW] for r in df.orderBy(ROW).collect()] == [1, 2]
     assert df.filter(F.col(ROW) == 2).count() == 1
+
+
+def test_json_lines_of_files_of_any_sizes_follow_each_other(spark, tmp_path, blocks):
+    (tmp_path / "in").mkdir()
+    want = []
+    for name, n in (("a", 3), ("b", 200), ("c", 40)):  # the largest file is read first
+        own = [f"{name}{k}" for k in range(n)]
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n\n".join(json.dumps({"k": x}) for x in own) + "\n \n")
+        want += own
+    blocks(600)
+    got = plain.read_json(spark, str(tmp_path / "in")).orderBy(ROW).collect()
+    assert [(r[ROW], r["k"]) for r in got] == list(enumerate(want, 1))

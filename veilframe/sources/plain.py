@@ -85,6 +85,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
     return rows.select(ROW, *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(n) for n, i in last.items()])
 
 
+#: Rows whose value isn't blank.
+_FILLED = r"value rlike '\\S'"
+
+
 def read_json(spark: SparkSession, path: str, strict_utf8: bool = True) -> DataFrame:
     """An array of objects, one object, or an object a line. Headers: all keys, in the order first seen.
 
@@ -105,12 +109,14 @@ def read_json(spark: SparkSession, path: str, strict_utf8: bool = True) -> DataF
         items = _number_parts(items, "file", "number")
     elif first.startswith("{"):
         single = spark.range(1).select(json_objects(F.lit(first)).isNotNull()).first()[0]
-        source = lines(spark, path).filter(r"value rlike '\\S'") if single else number_rows(spark.read.text(path, wholetext=True))
+        source = lines(spark, path).filter(_FILLED) if single else number_rows(spark.read.text(path, wholetext=True))
         items = source.select(ROW, json_objects(F.col("value")).alias("object"))
         bad = items.filter("object is null").first()
         if bad is not None:  # by number of the line, or of the file
             raise InvalidInput(f"{path}: row {bad[ROW]} isn't a JSON object")
-        items = number_rows(items.select("object"), in_files=False) if single else items
+        if single:  # numbered anew without blank lines, by places in files: partitions don't follow each other as files do
+            filled = number_rows(spark.read.option("lineSep", "\n").text(path).filter(_FILLED))
+            items = filled.select(ROW, json_objects(F.make_valid_utf8("value")).alias("object"))
     else:
         return spark.createDataFrame([], f"{ROW} long")
     names = json_headers(items)
