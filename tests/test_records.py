@@ -7,6 +7,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from veilframe import sources
 from veilframe.errors import InvalidInput
@@ -172,3 +173,15 @@ def test_json_lines_of_files_of_any_sizes_follow_each_other(spark, tmp_path, blo
     blocks(600)
     got = plain.read_json(spark, str(tmp_path / "in")).orderBy(ROW).collect()
     assert [(r[ROW], r["k"]) for r in got] == list(enumerate(want, 1))
+
+
+def test_no_whole_line_of_json_reaches_the_driver(spark, tmp_path, monkeypatch):
+    kept, first = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda self: kept.append(first(self)) or kept[-1])
+    for text in (json.dumps([{"k": k} for k in range(500)]), json.dumps({str(k): k for k in range(500)})):
+        (tmp_path / "a.json").write_text(text)
+        plain.read_json(spark, str(tmp_path / "a.json"))
+    assert kept and max(len(str(r)) for r in kept) < 200
+    for text in ("} [1]", ' \n}{"a":1}', "}"):
+        (tmp_path / "a.json").write_text(text)
+        assert plain.read_json(spark, str(tmp_path / "a.json")).columns == [ROW]

@@ -21,9 +21,9 @@ from veilframe.storage import written
 CHUNK_BYTES = 4096
 
 
-def require_utf8(spark: SparkSession, path: str) -> None:
-    """Raises for files that aren't UTF-8; the strict formats ask for it with one narrow pass."""
-    if not spark.read.option("lineSep", "\n").text(path).filter(~F.is_valid_utf8("value")).isEmpty():
+def require_utf8(spark: SparkSession, path: str, sep: str = "\n") -> None:
+    """Raises for files that aren't UTF-8; the strict formats ask for it with one narrow pass. sep: any ASCII character, where the files are cut for it."""
+    if not spark.read.option("lineSep", sep).text(path).filter(~F.is_valid_utf8("value")).isEmpty():
         raise DataSourceError(f"{path} isn't valid UTF-8")
 
 
@@ -89,6 +89,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
 _FILLED = r"value rlike '\\S'"
 
 
+def _first_sign(spark: SparkSession, path: str) -> str:
+    """The first character that isn't white space, of files cut at closing braces: a line may be as long as its file. Empty where there is none, or a closing brace comes first."""
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    start = pieces.filter(_FILLED).select(F.regexp_extract("value", r"\S", 0).alias("sign"), "file").first()
+    if start is None or pieces.filter(F.col("file") == start["file"]).select(~F.col("value").rlike(r"\S")).first()[0]:
+        return ""
+    return start["sign"]
+
+
 def read_json(spark: SparkSession, path: str, strict_utf8: bool = True) -> DataFrame:
     """An array of objects, one object, or an object a line. Headers: all keys, in the order first seen.
 
@@ -96,19 +105,17 @@ def read_json(spark: SparkSession, path: str, strict_utf8: bool = True) -> DataF
     Other documents give an empty sheet. Missing keys and JSON null are null.
     """
     if strict_utf8:
-        require_utf8(spark, path)
-    text = spark.read.text(path)
-    start = text.filter(r"value rlike '\\S'").first()
-    first = start["value"].strip() if start else ""
-    if first.startswith("["):
+        require_utf8(spark, path, "}")
+    first = _first_sign(spark, path)
+    if first == "[":
         elements = written(json_elements(spark, path), "elements")  # looked at, then read
         wrong = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]"))), F.lit(0)) != 1
         if not elements.filter(wrong).isEmpty():
             raise InvalidInput(f"{path} isn't a JSON array")
         items = elements.select("file", "number", json_objects(F.col("value")).alias("object")).filter("object is not null")
         items = _number_parts(items, "file", "number")
-    elif first.startswith("{"):
-        single = spark.range(1).select(json_objects(F.lit(first)).isNotNull()).first()[0]
+    elif first == "{":
+        single = spark.read.text(path).filter(_FILLED).select(json_objects(F.col("value")).isNotNull()).first()[0]
         source = lines(spark, path).filter(_FILLED) if single else number_rows(spark.read.text(path, wholetext=True))
         items = source.select(ROW, json_objects(F.col("value")).alias("object"))
         bad = items.filter("object is null").first()
