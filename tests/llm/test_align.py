@@ -114,6 +114,13 @@ def test_forgetting_and_groups_change_nothing(spark, monkeypatch):
             assert found == whole[doc_id]
 
 
+def test_a_word_is_aligned_once_in_two_million_code_points(spark):
+    own = [f"word{k % 50} and more of them " * 25 for k in range(2000)]  # 1.2 million
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(own)], "doc_id long, text string").coalesce(1)
+    made = align.tokenised(docs, JSON, MODEL).selectExpr("size(docs) AS docs", "size(words) AS words").collect()
+    assert [tuple(r) for r in made] == [(2000, len({w for t in own for w in align.words(t)}))]
+
+
 def test_words_are_cut_where_no_token_reaches():
     for text in texts():
         cut = align.words(text)

@@ -1,7 +1,7 @@
 """Alignment of the tokens of two vocabularies.
 
 Python only tokenises. Both vocabularies cut a text at each space that follows a character which isn't
-white space, so a text is a list of words and the words of some hundred texts are tokenised, and
+white space, so a text is a list of words and the words of about a thousand texts are tokenised, and
 aligned, once. From there on Spark's higher-order functions work: array_intersect of the end arrays
 gives the byte offsets where tokens of both end, these cut the tokens into groups, and all pairs of
 a group's tokens are links. Counts of linked id pairs over the corpus are joined back to documents.
@@ -27,12 +27,12 @@ from veilframe.llm.token_count import PIECES, byte_symbols
 from veilframe.llm.token_count import _check as check_byte_level
 
 SPACE = "▁"
-#: Code points and rows of the texts whose words are aligned together.
-GROUP_CHARS, GROUP_ROWS = 1 << 19, 1024
+#: Code points and rows of the texts whose words are aligned together: a word is aligned once a group, and four times the text has about twice the distinct words.
+GROUP_CHARS, GROUP_ROWS = 1 << 21, 4096
 #: Words, and code points in them, that a worker remembers the tokens of; beyond either it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 700_000, 1 << 24
-#: Words that are tokenised together.
-LEARN_BLOCK = 256
+REMEMBERED, REMEMBERED_CHARS = 250_000, 1 << 23
+#: Words that are tokenised together, and texts that are cut into words together.
+LEARN_BLOCK, CUT_TEXTS = 256, 64
 #: Counts of id pairs up to this number (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: Tokens of a word in which a place is looked up by going through them.
@@ -140,10 +140,13 @@ class Encoder:
             self.ends[side].frombytes((reached[side] - np.repeat(ends - sizes, counts)).astype(np.int32).tobytes())
             self.starts[side].frombytes((until + self.starts[side][-1]).astype(np.int64).tobytes())
 
-    def codes(self, cut: list[list[str]]) -> list[np.ndarray]:
-        """A number for each word of each text; words not seen before are tokenised in blocks."""
+    def begin(self) -> None:
+        """Before each group: what is remembered stays, unless it is too much."""
         if len(self.places) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
+
+    def codes(self, cut: list[list[str]]) -> list[np.ndarray]:
+        """A number for each word of each text, which holds until the next begin(); words not seen before are tokenised in blocks."""
         places, new = self.places, []
         for one in cut:
             for w in set(one).difference(places):
@@ -166,7 +169,8 @@ class Encoder:
 
 def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]) -> pa.RecordBatch:
     """One row: the texts as lists of places among their distinct words, and these words' tokens."""
-    found = encoder.codes([words(t) if t else [] for t in many])
+    encoder.begin()
+    found = [c for k in range(0, len(many), CUT_TEXTS) for c in encoder.codes([words(t) if t else [] for t in many[k : k + CUT_TEXTS]])]
     good = np.frombuffer(encoder.good, np.uint8) if encoder.good else np.zeros(0, np.uint8)
     found = [c if good[c].all() else c[:0] for c in found]
     flat = np.concatenate(found)
@@ -186,7 +190,7 @@ def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]
 
 
 def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of some hundred texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), words (a, a_ends, b, b_ends: ids, and the bytes of the word at which they end).
+    """Rows of about a thousand texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), words (a, a_ends, b, b_ends: ids, and the bytes of the word at which they end).
 
     byte_level, pieces: paths of a byte-level .json vocabulary and of a piece .model on the driver. Other
     kinds of vocabulary are refused: ValueError. Texts that are null, empty or change on the way through a
@@ -255,9 +259,9 @@ def _in_groups(word: Column, at: Column) -> Column:
         single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
         every = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
         links = F.transform(found, lambda g: F.when(single(g), F.array(_pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(every(g)))
-        text = found.cast("string")  # [{[1, 2], [3]}, {[4], [5]}]
-        line = F.replace(F.replace(F.replace(text, F.lit("]}, {["), F.lit(";")), F.lit("], ["), F.lit("|")), F.lit(", "), F.lit(","))
-        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), F.substring(line, F.lit(4), F.length(line) - 6).alias("line"))
+        ids = lambda side: F.array_join(side.cast("array<string>"), ",")
+        line = F.array_join(F.transform(found, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), line.alias("line"))
 
     return let(F.struct(starts("a").alias("a"), starts("b").alias("b")), lambda begin: let(groups(begin), made))
 
@@ -266,13 +270,11 @@ def aligned(word: Column) -> Column:
     """struct<n_groups, links array<long>, line> of a word's tokens (a, a_ends, b, b_ends); line has ids as a1,a2|b1 of each group, joined by ;."""
 
     def of(ends: Column) -> Column:
-        at = F.struct(_upto(word["a_ends"], ends).alias("a"), _upto(word["b_ends"], ends).alias("b"))
-        text = F.arrays_zip(word["a"], word["b"]).cast("string")  # [{1, 3}, {4, 5}]
-        line = F.replace(F.replace(F.substring(text, F.lit(3), F.length(text) - 4), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|"))
-        one_to_one = F.struct(F.size(ends).alias("n_groups"), F.zip_with(word["a"], word["b"], _pair).alias("links"), line.alias("line"))
-        return F.when((F.size(ends) == F.size(word["a"])) & (F.size(ends) == F.size(word["b"])), one_to_one).otherwise(let(at, lambda x: _in_groups(word, x)))
+        return let(F.struct(_upto(word["a_ends"], ends).alias("a"), _upto(word["b_ends"], ends).alias("b")), lambda at: _in_groups(word, at))
 
-    return let(F.array_intersect(word["a_ends"], word["b_ends"]), of)
+    line = F.array_join(F.zip_with(word["a"], word["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+    one_to_one = F.struct(F.size(word["a"]).alias("n_groups"), F.zip_with(word["a"], word["b"], _pair).alias("links"), line.alias("line"))
+    return F.when(word["a_ends"] == word["b_ends"], one_to_one).otherwise(let(F.array_intersect(word["a_ends"], word["b_ends"]), of))
 
 
 def _documents(docs: Column, words: Column) -> Column:
