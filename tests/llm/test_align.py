@@ -121,6 +121,31 @@ def test_a_word_is_aligned_once_in_two_million_code_points(spark):
     assert [tuple(r) for r in made] == [(2000, len({w for t in own for w in align.words(t)}))]
 
 
+def test_words_of_several_groups_are_kept_and_no_word_is_learned_alone_for_its_neighbour(monkeypatch):
+    own = align.Encoder(open(JSON, encoding="utf-8").read(), open(MODEL, "rb").read())
+    seen, tokens = [], own._tokens
+    monkeypatch.setattr(own, "_tokens", lambda text: (seen.append(text), tokens(text))[1])
+    monkeypatch.setattr(align, "REMEMBERED", 30)
+    usual = [f"often{k}" for k in range(20)]
+    some = [" ".join([*usual, f"once{group}", f"line{group}\n"]) for group in range(9)]
+    rows = [unpacked(align._group(own, 0, [k], [t]).to_pylist()[0])[k] for k, t in enumerate(some)]
+    # what several groups had is tokenised once; a word that ends in a line break goes alone, and its block stays whole
+    assert seen[:2] == [" ".join([*usual, "once0"]), "line0\n"]
+    assert [sum(w in text.split(" ") for text in seen) for w in usual] == [1] * 20
+    plain = align.Encoder(open(JSON, encoding="utf-8").read(), open(MODEL, "rb").read())
+    for k, t in enumerate(some):
+        plain._forget()
+        assert rows[k] == unpacked(align._group(plain, 0, [k], [t]).to_pylist()[0])[k]
+
+
+def test_the_batch_size_of_the_session_stays(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with align._sent(spark, 512):
+        assert spark.conf.get(name) == "512"
+    assert spark.conf.get(name) == before
+
+
 def test_words_are_cut_where_no_token_reaches():
     for text in texts():
         cut = align.words(text)

@@ -9,17 +9,19 @@ a group's tokens are links. Counts of linked id pairs over the corpus are joined
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import if_small, join_groups, texts, written
@@ -29,10 +31,12 @@ from veilframe.llm.token_count import _check as check_byte_level
 SPACE = "▁"
 #: Code points and rows of the texts whose words are aligned together: a word is aligned once a group, and four times the text has about twice the distinct words.
 GROUP_CHARS, GROUP_ROWS = 1 << 21, 4096
-#: Words, and code points in them, that a worker remembers the tokens of; beyond either it starts anew.
+#: Words, and code points in them, that a worker remembers the tokens of; beyond either only those stay that several groups had.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 1 << 23
 #: Words that are tokenised together, and texts that are cut into words together.
-LEARN_BLOCK, CUT_TEXTS = 256, 64
+LEARN_BLOCK, CUT_TEXTS = 1024, 64
+#: Texts that Spark sends to a worker at once: its usual 10,000 are some 30 MB, which both sides hold.
+SENT_ROWS = 512
 #: Counts of id pairs up to this number (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: Tokens of a word in which a place is looked up by going through them.
@@ -81,6 +85,19 @@ def check_pieces(model: bytes) -> None:
         raise ValueError("vocabulary not supported: " + ", ".join(k for k, good in plain.items() if not good))
 
 
+class _Places(dict):
+    """A number for each word, given when it is first asked for; words that got one since are in `new`."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+
 class Encoder:
     """Tokens of words under both vocabularies: ids, and where each ends in the bytes of the word and the space before it."""
 
@@ -111,9 +128,11 @@ class Encoder:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace(SPACE, " ").encode()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.chars = 0
         self.good = bytearray()
+        #: In how many groups a word was, since it was kept last.
+        self.groups = np.zeros(0, np.int32)
         #: Of each vocabulary: ids and ends of all words one after another, and where each word's begin.
         self.ids, self.ends, self.starts = (array("i"), array("i")), (array("i"), array("i")), (array("q", [0]), array("q", [0]))
 
@@ -121,16 +140,23 @@ class Encoder:
         return self.a.encode_ordinary(f" {text}"), self.b.encode(text, num_threads=1) if text else [self.only_space]
 
     def _learn(self, new: list[str]) -> None:
-        """The words, joined by spaces, are tokenised together; one by one where that could give other tokens or a vocabulary changes one."""
+        """The words, joined by spaces, are tokenised together; alone those that this could give other tokens, or that a vocabulary changes."""
+        odd = [k for k, w in enumerate(new) if not w or w[-1].isspace()]
+        if odd and len(new) > 1:
+            for start, k in zip([0, *[k + 1 for k in odd]], [*odd, len(new)], strict=True):
+                for part in (new[start:k], new[k : k + 1]):
+                    if part:
+                        self._learn(part)
+            return
         text = " ".join(new)
         sizes = np.array([len(w.encode()) for w in new] if len(text) < len(text.encode()) else [len(w) for w in new]) + 1
         whole, ends = f" {text}".encode(), np.cumsum(sizes)
         tokens = self._tokens(text)
         reached = [np.cumsum(self.sizes[side][tokens[side]]) for side in (0, 1)]
         good = all(b"".join(map(self.bytes[side].__getitem__, tokens[side])) == whole for side in (0, 1))
-        if len(new) > 1 and not (good and all(w and not w[-1].isspace() for w in new)):
-            for w in new:
-                self._learn([w])
+        if len(new) > 1 and not good:
+            for part in (new[: len(new) // 2], new[len(new) // 2 :]):
+                self._learn(part)
             return
         self.good.extend([good] * len(new))
         for side in (0, 1):
@@ -140,22 +166,46 @@ class Encoder:
             self.ends[side].frombytes((reached[side] - np.repeat(ends - sizes, counts)).astype(np.int32).tobytes())
             self.starts[side].frombytes((until + self.starts[side][-1]).astype(np.int64).tobytes())
 
+    def _too_much(self) -> bool:
+        return len(self.places) > REMEMBERED or self.chars > REMEMBERED_CHARS
+
     def begin(self) -> None:
         """Before each group: what is remembered stays, unless it is too much."""
-        if len(self.places) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self._forget()
+        if self._too_much():
+            self._keep(np.flatnonzero(self.groups > 1))
+            if self._too_much():
+                self._forget()
+
+    def _keep(self, codes: np.ndarray) -> None:
+        """Remembers only these words (ascending numbers), under new numbers."""
+        every = list(self.places)
+        words = [every[k] for k in codes.tolist()]
+        lists = [self.tokens(side, codes) for side in (0, 1)]
+        good = bytes(np.frombuffer(self.good, np.uint8)[codes])
+        self._forget()
+        self.places, self.chars = _Places(words), sum(map(len, words))
+        self.good.extend(good)
+        self.groups = np.zeros(len(words), np.int32)
+        for side in (0, 1):
+            ids, ends = lists[side]
+            self.ids[side].frombytes(ids.values.to_numpy().tobytes())
+            self.ends[side].frombytes(ends.values.to_numpy().tobytes())
+            self.starts[side].frombytes(ids.offsets.to_numpy()[1:].astype(np.int64).tobytes())
+
+    def count(self, codes: np.ndarray) -> None:
+        """After each group: these are its distinct words."""
+        self.groups = np.append(self.groups, np.zeros(len(self.places) - len(self.groups), np.int32))
+        self.groups[codes] += 1
 
     def codes(self, cut: list[list[str]]) -> list[np.ndarray]:
         """A number for each word of each text, which holds until the next begin(); words not seen before are tokenised in blocks."""
-        places, new = self.places, []
-        for one in cut:
-            for w in set(one).difference(places):
-                places[w] = len(places)
-                self.chars += len(w)
-                new.append(w)
+        places = self.places
+        found = [np.fromiter(map(places.__getitem__, one), np.int64, len(one)) for one in cut]
+        new, places.new = places.new, []
+        self.chars += sum(map(len, new))
         for start in range(0, len(new), LEARN_BLOCK):
             self._learn(new[start : start + LEARN_BLOCK])
-        return [np.fromiter(map(places.__getitem__, one), np.int64, len(one)) for one in cut]
+        return found
 
     def tokens(self, side: int, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Lists of ids and of ends, a list for each word."""
@@ -174,7 +224,10 @@ def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]
     good = np.frombuffer(encoder.good, np.uint8) if encoder.good else np.zeros(0, np.uint8)
     found = [c if good[c].all() else c[:0] for c in found]
     flat = np.concatenate(found)
-    distinct, refs = np.unique(flat, return_inverse=True)
+    used = np.zeros(len(encoder.places), bool)
+    used[flat] = True
+    distinct, refs = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[flat]
+    encoder.count(distinct)
     offsets = np.append(0, np.cumsum([len(c) for c in found]))
 
     def total(side: int) -> np.ndarray:
@@ -182,13 +235,24 @@ def _group(encoder: Encoder, number: int, ids: list[int | None], many: list[str]
         return np.diff(np.append(0, np.cumsum(starts[flat + 1] - starts[flat]))[offsets])
 
     docs = pa.StructArray.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(total(0), pa.int64()), pa.array(total(1), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(refs.astype(np.int32)))], ["doc_id", "n_a", "n_b", "refs"]
+        [pa.array(ids, pa.int64()), pa.array(total(0), pa.int64()), pa.array(total(1), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(refs))], ["doc_id", "n_a", "n_b", "refs"]
     )
     table = pa.StructArray.from_arrays([*encoder.tokens(0, distinct), *encoder.tokens(1, distinct)], ["a", "a_ends", "b", "b_ends"])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), one(table)], ["batch", "docs", "words"])
 
 
+def _encoder(vocabularies: str, query: str, read: Callable[[], tuple[str, bytes]]) -> Encoder:
+    """The worker's encoder of these vocabularies, built once; words are remembered for one query."""
+    if _built.get("vocabularies") != vocabularies:
+        _built.clear()
+        _built.update(vocabularies=vocabularies, query=query, encoder=Encoder(*read()))
+    elif _built["query"] != query:
+        _built["encoder"]._forget()
+        _built["query"] = query
+    return _built["encoder"]
+
+
 def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of about a thousand texts each: batch (a number of its own), docs (doc_id, n_a, n_b, places of its words among the row's), words (a, a_ends, b, b_ends: ids, and the bytes of the word at which they end).
 
@@ -203,13 +267,10 @@ def tokenised(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_
         model = file.read()
     check_pieces(model)
     shared = docs.sparkSession.sparkContext.broadcast((description, model))
-    key = uuid.uuid4().hex
+    vocabularies, query = hashlib.sha256(description.encode() + model).hexdigest(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _built.get(key)
-        if encoder is None:
-            _built.clear()
-            encoder = _built[key] = Encoder(*shared.value)
+        encoder = _encoder(vocabularies, query, lambda: shared.value)
         number = TaskContext.get().partitionId() << 33
         ids: list[int | None] = []
         many: list[str] = []
@@ -248,22 +309,28 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def _in_groups(word: Column, at: Column) -> Column:
-    """n_groups, links and line of a word whose groups end at tokens at["a"], at["b"]."""
-    starts = lambda side: F.concat(F.array(F.lit(0)), at[side])
+    """n_groups, links and line of a word whose groups end at tokens at["a"], at["b"].
 
-    def groups(begin: Column) -> Column:
-        own = lambda side, k, end: F.slice(word[side], F.get(begin[side], k) + 1, end - F.get(begin[side], k))
-        return F.transform(F.sequence(F.lit(0), F.size(at["a"]) - 1), lambda k: F.struct(own("a", k, F.get(at["a"], k)).alias("a"), own("b", k, F.get(at["b"], k)).alias("b")))
+    Most groups have one token of each vocabulary: these are read where they stand, only the others are cut out as lists.
+    """
+    text = lambda token: token.cast("string")
 
-    def made(found: Column) -> Column:
-        single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
-        every = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
-        links = F.transform(found, lambda g: F.when(single(g), F.array(_pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(every(g)))
+    def of_lists(g: Column) -> Column:
         ids = lambda side: F.array_join(side.cast("array<string>"), ",")
-        line = F.array_join(F.transform(found, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-        return F.struct(F.size(found).alias("n_groups"), F.flatten(links).alias("links"), line.alias("line"))
+        every = F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
+        return F.struct(every.alias("links"), F.concat(ids(g["a"]), F.lit("|"), ids(g["b"])).alias("line"))
 
-    return let(F.struct(starts("a").alias("a"), starts("b").alias("b")), lambda begin: let(groups(begin), made))
+    def group(end_a: Column, k: Column) -> Column:
+        ends = {"a": end_a, "b": F.get(at["b"], k)}
+        begin = {side: F.coalesce(F.get(at[side], k - 1), F.lit(0)) for side in "ab"}
+        counts = {side: ends[side] - begin[side] for side in "ab"}
+        x, y = [F.get(word[side], ends[side] - 1) for side in "ab"]
+        single = F.struct(F.array(_pair(x, y)).alias("links"), F.concat(text(x), F.lit("|"), text(y)).alias("line"))
+        lists = F.struct(*[F.slice(word[side], begin[side] + 1, counts[side]).alias(side) for side in "ab"])
+        return F.when((counts["a"] == 1) & (counts["b"] == 1), single).otherwise(let(lists, of_lists))
+
+    made = lambda found: F.struct(F.size(found).alias("n_groups"), F.flatten(found["links"]).alias("links"), F.array_join(found["line"], ";").alias("line"))
+    return let(F.transform(at["a"], group), made)
 
 
 def aligned(word: Column) -> Column:
@@ -279,23 +346,36 @@ def aligned(word: Column) -> Column:
 
 def _documents(docs: Column, words: Column) -> Column:
     """Each document's columns from its words'."""
-    by_word = F.struct(words["n_groups"].alias("n_groups"), F.transform(words["links"], F.size).alias("n_links"), words["line"].alias("line"))
+    by_word = F.struct(words["n_groups"].alias("n_groups"), words["line"].alias("line"))
 
     def made(w: Column) -> Column:
-        total = lambda refs, name: F.aggregate(refs, F.lit(0).cast("long"), lambda acc, r: acc + F.get(w[name], r))
+        total = lambda refs: F.aggregate(refs, F.lit(0).cast("long"), lambda acc, r: acc + F.get(w["n_groups"], r))
         return F.transform(docs, lambda d: F.struct(
-            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["refs"], "n_groups").alias("n_groups"), total(d["refs"], "n_links").alias("n_links"),
+            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["refs"]).alias("n_groups"),
             F.when(F.size(d["refs"]) > 0, F.sha2(F.array_join(F.transform(d["refs"], lambda r: F.get(w["line"], r)), ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
         ))
 
     return let(by_word, made)
 
 
+@contextmanager
+def _sent(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs begun meanwhile send workers so many rows at once, or fewer if the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The alignment of all texts, written to the shared folder: batch, made (docs: an entry a document; links: of each distinct word), refs (each document's words)."""
     rows = tokenised(docs, byte_level, pieces, id_col, text_col)
     made = let(F.transform("words", aligned), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), own["links"].alias("links")))
-    return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned")
+    with _sent(docs.sparkSession, SENT_ROWS):
+        return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned")
 
 
 def linked_pairs(alignment: DataFrame, distinct: bool) -> DataFrame:
@@ -327,7 +407,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str =
     small = if_small(counts, broadcast_pairs)
     # more pairs than can be broadcast: those with a large share of all links still are, the others shuffle
     joined = rows.join(small, "pair") if small is not counts else join_groups(rows, counts, "pair", "docs", counts.agg(F.sum("docs")).first()[0])
-    sums = joined.groupBy("batch", "place").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
+    sums = joined.groupBy("batch", "place").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"), F.count(F.lit(1)).alias("n_links"))
     own = alignment.select("batch", F.posexplode("made.docs").alias("place", "d")).select("batch", "place", "d.*")
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    return own.join(sums, ["batch", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return own.join(sums, ["batch", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
