@@ -189,3 +189,12 @@ def test_patterns_that_take_exponential_time_are_refused(spark):
     good = [r"a.*b.*c", r"(\d{1,3}\.){3}\d{1,3}", r"(\d{4} ?){4}", r"(a|b)*c", r"(\w+,)*\w+", r"(?:[a-z]+ )*end", r"(a?){20}", r'"(?:[^"\\]|\\.)*"', r"\p{Han}+", r"(a|b|ab)c*", r"x{1000}", r"(?P<k>\w+)=(?P<v>[^;]*);", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"]
     for pattern in good + [r.pattern for r in built_in() if r.pattern]:
         regex.checked(pattern)
+
+
+def test_repetitions_behind_which_a_match_may_end_are_not_refused(spark):
+    text = "a" * 400 + "!"
+    for pattern in ("(a+)+", "(a*)*", "(a|aa)+", "(a+)+b?", "^(a+)+(bc)?", "(a+)+(x*y)?"):
+        assert over(spark, [text], lambda c, p=pattern: F.length(F.get(regex.extract_all(c, p), F.lit(0)))) == [400]
+    for bad in (r"(a+)+\b", "((a+)+b)*", "((a+)+c|d)?", "(a+)+b", "(a+)+(b|c)", "(a+)+$|x"):
+        with pytest.raises(InvalidInput, match="exponential"):
+            regex.checked(bad)
