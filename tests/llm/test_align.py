@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -138,6 +139,15 @@ def test_words_of_several_groups_are_kept_and_no_word_is_learned_alone_for_its_n
         assert rows[k] == unpacked(align._group(plain, 0, [k], [t]).to_pylist()[0])[k]
 
 
+def test_no_more_than_one_row_of_the_alignment_is_read_at_once(spark, monkeypatch):
+    monkeypatch.setattr(align, "GROUP_ROWS", 3)
+    made = align.align(cases.documents(spark, [(k, f"word{k}", *cases.rows()[0][2:]) for k in range(20)]).coalesce(1), JSON, MODEL)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    groups = [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) == made.count() > 5
+    assert set(groups) == {1}
+
+
 def test_the_batch_size_of_the_session_stays(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

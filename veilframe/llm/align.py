@@ -37,6 +37,8 @@ REMEMBERED, REMEMBERED_CHARS = 250_000, 1 << 23
 LEARN_BLOCK, CUT_TEXTS = 1024, 64
 #: Texts that Spark sends to a worker at once: its usual 10,000 are some 30 MB, which both sides hold.
 SENT_ROWS = 512
+#: How the alignment is written: a row is some MB, and Spark's reader takes up to 4096 rows at once if a row group has them.
+ROW_BY_ROW = {"parquet.block.row.count.limit": 1}
 #: Counts of id pairs up to this number (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: Tokens of a word in which a place is looked up by going through them.
@@ -375,7 +377,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     rows = tokenised(docs, byte_level, pieces, id_col, text_col)
     made = let(F.transform("words", aligned), lambda own: F.struct(_documents(F.col("docs"), own).alias("docs"), own["links"].alias("links")))
     with _sent(docs.sparkSession, SENT_ROWS):
-        return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned")
+        return written(rows.select("batch", made.alias("made"), F.transform("docs", lambda d: d["refs"]).alias("refs")), "aligned", **ROW_BY_ROW)
 
 
 def linked_pairs(alignment: DataFrame, distinct: bool) -> DataFrame:

@@ -32,10 +32,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The DataFrame written to the shared folder as Parquet and read again: lineage ends, columns can be pruned."""
+def written(df: DataFrame, kind: str, **options: str | int | bool) -> DataFrame:
+    """The DataFrame written to the shared folder as Parquet (options: of that writer) and read again: lineage ends, columns can be pruned."""
     path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
